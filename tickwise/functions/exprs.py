@@ -94,7 +94,7 @@ def round_doubles(df, skip: tuple[str, ...] = ()):
 # ---------------------------------------------------------------------------
 
 def _alpha(span: int) -> str:
-    return repr(2.0 / (span + 1.0))
+    return f"CAST('{2.0 / (span + 1.0)!r}' AS DOUBLE)"
 
 
 def _ew_update(e: str, w: str, x: str, a: str, obs: str) -> tuple[str, str]:
@@ -112,35 +112,46 @@ def _ew_update(e: str, w: str, x: str, a: str, obs: str) -> tuple[str, str]:
     return new_e, new_w
 
 
-def ema_fold_step(acc: str = "acc", x: str = "x.v") -> list[tuple[str, str]]:
-    """Field list (name, SQL) of the accumulator after one step."""
+def _line(acc: str) -> tuple[str, str]:
+    """MACD line at the accumulator's last position and whether it exists."""
+    return f"(CASE WHEN {acc}.n >= 26 THEN {acc}.e12 - {acc}.e26 END)", f"({acc}.n >= 26)"
+
+
+def _signal_update(acc: str) -> tuple[str, str, str]:
+    """Signal-EMA (e, w, count) after feeding the line of ``acc``'s last position."""
+    line, line_obs = _line(acc)
+    se, sw = _ew_update(f"{acc}.sg", f"{acc}.wg", line, _alpha(9), line_obs)
+    seen = f"({acc}.p >= 1)"
+    return (
+        f"(CASE WHEN {seen} THEN {se} ELSE {acc}.sg END)",
+        f"(CASE WHEN {seen} THEN {sw} ELSE {acc}.wg END)",
+        f"({acc}.ng + CASE WHEN {seen} AND {line_obs} THEN 1 ELSE 0 END)",
+    )
+
+
+def ema_fold_step(acc: str = "acc", x: str = "x") -> list[tuple[str, str]]:
+    """Field list (name, SQL) of the accumulator after one step.
+
+    The signal EMA runs one position behind: a step first feeds the line of
+    the previous position (stored e12/e26), then advances the price EMAs, so
+    nothing is computed twice; :func:`ema_outputs` feeds the last line.
+    """
     obs = f"({x} IS NOT NULL)"
-    fields: list[tuple[str, str]] = []
-    n_new = f"({acc}.n + CASE WHEN {obs} THEN 1 ELSE 0 END)"
-    fields.append(("n", n_new))
+    fields: list[tuple[str, str]] = [("p", f"({acc}.p + 1)"), ("n", f"({acc}.n + CASE WHEN {obs} THEN 1 ELSE 0 END)")]
     for span in (7, 11, 12, 26):
         e, w = _ew_update(f"{acc}.e{span}", f"{acc}.w{span}", x, _alpha(span), obs)
         fields.append((f"e{span}", e))
         fields.append((f"w{span}", w))
-    # MACD line value at this position, pandas-style: defined once 26 closes seen.
-    e12, _ = _ew_update(f"{acc}.e12", f"{acc}.w12", x, _alpha(12), obs)
-    e26, _ = _ew_update(f"{acc}.e26", f"{acc}.w26", x, _alpha(26), obs)
-    line = f"(CASE WHEN {n_new} >= 26 THEN ({e12}) - ({e26}) END)"
-    line_obs = f"({n_new} >= 26)"
-    # Signal EMA over the line; leading missing line values leave it empty
-    # (pandas skips leading NaNs), later the line is always present.
-    se, sw = _ew_update(f"{acc}.sg", f"{acc}.wg", line, _alpha(9), line_obs)
-    fields.append(("sg", se))
-    fields.append(("wg", sw))
-    fields.append(("ng", f"({acc}.ng + CASE WHEN {line_obs} THEN 1 ELSE 0 END)"))
+    sg, wg, ng = _signal_update(acc)
+    fields += [("sg", sg), ("wg", wg), ("ng", ng)]
     return fields
 
 
-_ACC_TYPES = {"n": "BIGINT", "ng": "BIGINT"}
+_ACC_TYPES = {"p": "BIGINT", "n": "BIGINT", "ng": "BIGINT"}
 
 
 def _init_fields() -> list[tuple[str, str]]:
-    out = [("n", "0")]
+    out = [("p", "0"), ("n", "0")]
     for span in (7, 11, 12, 26):
         out += [(f"e{span}", "NULL"), (f"w{span}", "1.0")]
     out += [("sg", "NULL"), ("wg", "1.0"), ("ng", "0")]
@@ -152,8 +163,13 @@ def _typed(name: str, sql: str) -> str:
 
 
 def ema_fold_sql(hist: str, dialect: str = "spark") -> str:
-    """SQL text folding ``hist`` (array of struct<v: double>) into the EMA accumulator."""
-    step = ema_fold_step()
+    """SQL text folding ``hist`` into the EMA accumulator.
+
+    Spark's history is ``array<double>`` with NaN for a missing close (see
+    ``with_history``); DuckDB's windowed ``list`` keeps NULLs as they are.
+    """
+    x = "nullif(x, CAST('NaN' AS DOUBLE))" if dialect == "spark" else "x"
+    step = ema_fold_step(x=x)
     init = _init_fields()
     if dialect == "spark":
         mk = lambda fs: "named_struct(" + ", ".join(f"'{n}', {_typed(n, s)}" for n, s in fs) + ")"
@@ -164,11 +180,12 @@ def ema_fold_sql(hist: str, dialect: str = "spark") -> str:
 
 def ema_outputs(acc: str) -> dict[str, str]:
     """SQL text of the EMA / MACD outputs from a finished accumulator ``acc``."""
+    sg, _, ng = _signal_update(acc)
     return {
         "ema_7": f"CASE WHEN {acc}.n >= 7 THEN {acc}.e7 END",
         "ema_11": f"CASE WHEN {acc}.n >= 11 THEN {acc}.e11 END",
         "macd_line": f"CASE WHEN {acc}.n >= 26 THEN {acc}.e12 - {acc}.e26 END",
-        "macd_signal": f"CASE WHEN {acc}.ng >= 9 THEN {acc}.sg END",
+        "macd_signal": f"CASE WHEN {ng} >= 9 THEN CAST({sg} AS DOUBLE) END",
     }
 
 

@@ -8,7 +8,7 @@ functions over one hash exchange on the series key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwise.functions.exprs import (
@@ -51,16 +51,37 @@ def true_range(df: DataFrame, spec: SeriesSpec = PLAIN, name: str = "tr") -> Dat
 
 
 def with_history(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = HISTORY, src: str = "close", name: str = "_h") -> DataFrame:
-    """The trailing ``n``-row frame as an array of ``struct<v>`` (keeps null positions)."""
-    return df.withColumn(name, F.collect_list(F.struct(F.col(src).alias("v"))).over(spec.last(n)))
+    """The trailing ``n``-row frame as ``array<double>``; a missing value is kept as NaN
+    so positions survive (``collect_list`` would drop nulls)."""
+    v = F.coalesce(F.col(src), F.lit(float("nan")))
+    return df.withColumn(name, F.collect_list(v).over(spec.last(n)))
 
 
-def ema_macd(df: DataFrame, spec: SeriesSpec = PLAIN, hist: str = "_h") -> DataFrame:
-    """EMA 7/11 and MACD line/signal, one fold over the 60-row frame."""
-    out = df.withColumn("_acc", F.expr(ema_fold_sql(hist, "spark")))
-    for name, sql in ema_outputs("_acc").items():
-        out = out.withColumn(name, F.expr(sql))
-    return out.drop("_acc")
+EMA_METHOD = "arrow"
+
+
+def ema_macd(df: DataFrame, spec: SeriesSpec = PLAIN, hist: str = "_h", method: str | None = None) -> DataFrame:
+    """EMA 7/11 and MACD line/signal over the 60-row frame.
+
+    ``method="fold"`` evaluates the recurrence as a JVM higher-order
+    ``aggregate`` per row; ``"arrow"`` (default) runs the same recurrence
+    vectorised over Arrow batches (``mapInArrow``, a narrow per-partition map),
+    about an order of magnitude faster because Spark interprets lambdas.
+    Both give the same doubles.
+    """
+    method = method or EMA_METHOD
+    if method == "fold":
+        out = df.withColumn("_acc", F.expr(ema_fold_sql(hist, "spark")))
+        for name, sql in ema_outputs("_acc").items():
+            out = out.withColumn(name, F.expr(sql))
+        return out.drop("_acc", hist)
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    from tickwise.functions.ewm_arrow import OUT_COLS, make_mapper
+
+    keep = [c for c in df.columns if c != hist]
+    schema = StructType([f for f in df.schema.fields if f.name != hist] + [StructField(c, DoubleType()) for c in OUT_COLS])
+    return df.mapInArrow(make_mapper(hist, HISTORY, keep), schema)
 
 
 def rsi_stream(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = 14, name: str = "rsi_14") -> DataFrame:
@@ -83,17 +104,30 @@ def rsi_stream(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = 14, name: str =
 
 
 def price_change(df: DataFrame, spec: SeriesSpec = PLAIN, frame: int = HISTORY) -> DataFrame:
-    """Absolute change and percent change (pandas ``pct_change`` pads gaps
-    forward inside the 60-row frame)."""
+    """Absolute change and percent change.
+
+    pandas ``pct_change`` pads gaps forward, and the reference only sees the
+    newest 60 rows, so a missing close is replaced by the last present close
+    at most 59 rows back.  Two running (unbounded-preceding) frames give the
+    last present close and its row number in O(1) per row.
+    """
     prev = F.lag("close", 1).over(spec.base())
-    filled = F.last("close", ignorenulls=True).over(spec.rows(-(frame - 1), 0))
-    filled_prev = F.last("close", ignorenulls=True).over(spec.rows(-(frame - 1), -1))
+    present_rn = F.when(F.col("close").isNotNull(), F.col("rn"))
+    upto = spec.rows(Window.unboundedPreceding, 0)
+    before = spec.rows(Window.unboundedPreceding, -1)
+    back = frame - 1
+    out = (
+        df.withColumn("_lc", F.last("close", ignorenulls=True).over(upto))
+        .withColumn("_lr", F.max(present_rn).over(upto))
+        .withColumn("_pc", F.last("close", ignorenulls=True).over(before))
+        .withColumn("_pr", F.max(present_rn).over(before))
+    )
+    filled = F.when(F.col("rn") - F.col("_lr") <= back, F.col("_lc"))
+    filled_prev = F.when(F.col("rn") - F.col("_pr") <= back, F.col("_pc"))
     return (
-        df.withColumn("price_change", F.col("close") - prev)
-        .withColumn("_cf", filled)
-        .withColumn("_cfp", filled_prev)
-        .withColumn("price_change_pct", (tdiv(F.col("_cf"), F.col("_cfp")) - F.lit(1.0)) * F.lit(100.0))
-        .drop("_cf", "_cfp")
+        out.withColumn("price_change", F.col("close") - prev)
+        .withColumn("price_change_pct", (tdiv(filled, filled_prev) - F.lit(1.0)) * F.lit(100.0))
+        .drop("_lc", "_lr", "_pc", "_pr")
     )
 
 
@@ -111,7 +145,7 @@ def bollinger(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = 20, k: float = 2
     )
 
 
-def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, keep_history: bool = False) -> DataFrame:
+def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, ema_method: str | None = None) -> DataFrame:
     """The 15 stream indicators (no gate; see :func:`warm_rows`).
 
     Adds ``rn`` (row number in the series) unless present, and ``n_sym`` (rows
@@ -126,7 +160,6 @@ def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, keep_history: bool = False
     df = with_history(df, spec)
     df = sma(df, 5, spec=spec)
     df = sma(df, 10, spec=spec)
-    df = ema_macd(df, spec)
     df = true_range(df, spec)
     df = df.withColumn("atr_14", _min_periods_avg("tr", spec, 14))
     df = df.withColumn("momentum", tdiv(F.col("close") - F.col("sma_10"), F.col("sma_10")))
@@ -135,13 +168,13 @@ def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, keep_history: bool = False
     df = df.withColumn("volume_ratio", tdiv(F.col("volume"), F.col("vma_10")))
     df = rsi_stream(df, spec)
     df = price_change(df, spec)
+    df = ema_macd(df, spec, method=ema_method)   # after the other windows: one sort
     for c in INDICATOR_COLS:           # C2: NaN / Inf never leave the operator
         df = df.withColumn(c, nan_to_null(F.col(c)))
     df = df.withColumn(
         "is_enriched", (F.col("rn") >= FIRST_EMITTED) & (F.col("n_sym") >= HISTORY)
     )
-    drop = ["tr"] + ([] if keep_history else ["_h"])
-    return df.drop(*drop)
+    return df.drop("tr")
 
 
 def warm_rows(enriched: DataFrame, warmup: int = HISTORY, first: int = FIRST_EMITTED) -> DataFrame:

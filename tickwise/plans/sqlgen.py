@@ -143,7 +143,7 @@ e1 AS (
     CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) AS BIGINT) AS rn,
     CAST(count(*) OVER (PARTITION BY symbol) AS BIGINT) AS n_sym,
     lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS prev_close,
-    list({{'v': close}}) {last(60)} AS h,
+    list(close) {last(60)} AS h,
     list(close) {last(5)} AS c5,
     list(close) {last(10)} AS c10,
     list(close) {last(20)} AS c20,
