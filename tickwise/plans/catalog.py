@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tickwise.functions.exprs import round_doubles
 from tickwise.operators import indicators as ind
 from tickwise.operators import signals as sg
+from tickwise.plans import flows
 from tickwise.plans import sqlgen as q
 from tickwise.sources import fixtures as fx
 
@@ -46,15 +47,15 @@ SIG_DOUBLES = {c for c in sg.SIGNAL_OUT if c not in ("symbol", "ts", "date", "ti
 # ---------------------------------------------------------------------------
 
 def daily_enriched(spark, sf_dir):
-    return ind.enrich(fx.bars_daily(spark, sf_dir))
+    return flows.enriched_bars(fx.bars_daily(spark, sf_dir))
 
 
 def daily_signals(spark, sf_dir):
-    return sg.signal_table(daily_enriched(spark, sf_dir))
+    return flows.signals(fx.bars_daily(spark, sf_dir))
 
 
 def hourly_signals(spark, sf_dir):
-    return sg.signal_table(ind.enrich(fx.bars_hourly(spark, sf_dir)))
+    return flows.signals(fx.bars_hourly(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -88,7 +89,14 @@ def d27_enriched_bars(spark, sf_dir):
     f"WITH {q.enriched_ctes(q.BARS_HOURLY)} SELECT {r6_select(ENR_COLS, ENR_DOUBLES)} FROM enr WHERE rn >= 35 AND n_sym >= 60",
 )
 def d27_enriched_hourly(spark, sf_dir):
-    return round_doubles(ind.warm_rows(ind.enrich(fx.bars_hourly(spark, sf_dir))).select(*ENR_COLS))
+    return round_doubles(ind.warm_rows(flows.enriched_bars(fx.bars_hourly(spark, sf_dir))).select(*ENR_COLS))
+
+
+@register("d27_enriched_hourly_chunked", ORACLE["d27_enriched_hourly"])
+def d27_enriched_hourly_chunked(spark, sf_dir):
+    """Same result as ``d27_enriched_hourly`` through the hot-symbol layout (small chunks)."""
+    enr = flows.enriched_bars(fx.bars_hourly(spark, sf_dir), chunk_rows=150, force_chunks=True)
+    return round_doubles(ind.warm_rows(enr).select(*ENR_COLS))
 
 
 # ---------------------------------------------------------------------------
@@ -111,6 +119,12 @@ def e11_signal_table_hourly(spark, sf_dir):
     return round_doubles(hourly_signals(spark, sf_dir))
 
 
+@register("e11_signal_table_hourly_chunked", ORACLE["e11_signal_table_hourly"])
+def e11_signal_table_hourly_chunked(spark, sf_dir):
+    """Same result as ``e11_signal_table_hourly`` with every symbol split into ~150-row chunks."""
+    return round_doubles(flows.signals(fx.bars_hourly(spark, sf_dir), chunk_rows=150, force_chunks=True))
+
+
 @register(
     "e12_latest_signal",
     f"WITH {q.enriched_ctes(q.BARS_DAILY)}, {q.signal_ctes()} "
