@@ -145,3 +145,81 @@ def e12_latest_signal(spark, sf_dir):
 )
 def e13_ranked_summary(spark, sf_dir):
     return round_doubles(sg.ranked_summary(sg.latest_signal(hourly_signals(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------------------
+# 2.F portfolio rebalancing (hourly signals, all customers as portfolios)
+# ---------------------------------------------------------------------------
+
+from tickwise.operators import portfolio as pf  # noqa: E402
+
+_PF_SQL = f"WITH {q.enriched_ctes(q.BARS_HOURLY)}, {q.signal_ctes()}, {q.portfolio_ctes()} "
+
+
+def rebalance_all(spark, sf_dir):
+    return pf.rebalance(fx.portfolios(spark, sf_dir), fx.positions(spark, sf_dir), hourly_signals(spark, sf_dir))
+
+
+FRESH_COLS = ["cycle_ts", "cycle", "symbol", "signal_ts", "close", "atr_14", "marker_final_score", "regime",
+              "regime_confidence", "volume", "history_len", "confidence", "signal_strength", "signal_class"]
+
+
+@register(
+    "h08_fresh_signals_by_cycle",
+    _PF_SQL + "SELECT cycle_ts, cycle, symbol, signal_ts, "
+    + ", ".join(q.r6(c) + " AS " + c for c in ["close", "atr_14", "marker_final_score"]) + ", regime, "
+    + ", ".join(q.r6(c) + " AS " + c for c in ["regime_confidence", "volume"]) + ", CAST(history_len AS INTEGER) AS history_len, "
+    + q.r6("confidence") + " AS confidence, " + q.r6("signal_strength") + " AS signal_strength, "
+    "CASE WHEN marker_final_score >= 1.5 THEN 'STRONG_BUY' WHEN marker_final_score >= 1.1 THEN 'WEAK_BUY' "
+    "WHEN marker_final_score >= 0.9 THEN 'HOLD' WHEN marker_final_score >= 0.7 THEN 'WEAK_SELL' ELSE 'STRONG_SELL' END AS signal_class FROM fresh",
+)
+def h08_fresh_signals_by_cycle(spark, sf_dir):
+    """C10 + H8 + D26 + F1 + F6 + F7: as-of signal per cycle with confidence and strength."""
+    fresh = pf.score_history(pf.number_cycles(pf.fresh_signals(hourly_signals(spark, sf_dir))))
+    fresh = fresh.withColumn("signal_strength", pf.strength()).withColumn("signal_class", pf.signal_class())
+    fresh = fresh.withColumn("history_len", F.size("signal_history"))
+    return round_doubles(fresh.select(*FRESH_COLS))
+
+
+@register(
+    "f03_portfolio_valuation",
+    _PF_SQL + "SELECT portfolio_id, cycle, " + q.r6("cash") + " AS cash, " + q.r6("total_value") + " AS total_value, position_count, "
+    + q.r6("CASE WHEN total_value > 0 THEN cash / total_value ELSE 1.0 END") + " AS cash_percentage FROM pval",
+)
+def f03_portfolio_valuation(spark, sf_dir):
+    """F2 + F3 + F4: every portfolio at every cycle, positions marked to the freshest close."""
+    out = rebalance_all(spark, sf_dir)["portfolios"]
+    return round_doubles(out.select("portfolio_id", "cycle", "cash", "total_value", "position_count", "cash_percentage"))
+
+
+@register(
+    "f12_target_weights",
+    _PF_SQL + "SELECT portfolio_id, cycle, symbol, bucket, " + ", ".join(
+        q.r6(c) + " AS " + c for c in ["current_weight", "deployable", "target_weight"]) + " FROM cand",
+)
+def f12_target_weights(spark, sf_dir):
+    """buy/hold/sell buckets, deployable capital and target weights."""
+    c = rebalance_all(spark, sf_dir)["candidates"]
+    return round_doubles(c.select("portfolio_id", "cycle", "symbol", "bucket", "current_weight", "deployable", "target_weight"))
+
+
+ORDER_DOUBLES = {"price", "dollar_amount", "target_weight", "current_weight", "signal_score", "signal_strength", "confidence"}
+
+
+@register("f21_rebalance_orders", _PF_SQL + "SELECT " + r6_select(pf.ORDER_COLS, ORDER_DOUBLES) + " FROM ords")
+def f21_rebalance_orders(spark, sf_dir):
+    """Validated, capped orders for every portfolio and cycle."""
+    return round_doubles(rebalance_all(spark, sf_dir)["orders"].select(*pf.ORDER_COLS))
+
+
+@register(
+    "f19_order_summary",
+    _PF_SQL + "SELECT portfolio_id, cycle, CAST(count_if(action = 'BUY') AS BIGINT) AS buy_orders, "
+    + q.r6("coalesce(sum(CASE WHEN action = 'BUY' THEN dollar_amount END), 0.0)") + " AS buy_amount, "
+    "CAST(count_if(action = 'SELL') AS BIGINT) AS sell_orders, "
+    + q.r6("coalesce(sum(CASE WHEN action = 'SELL' THEN dollar_amount END), 0.0)") + " AS sell_amount, "
+    + q.r6("coalesce(sum(CASE WHEN action = 'BUY' THEN dollar_amount END), 0.0) - coalesce(sum(CASE WHEN action = 'SELL' THEN dollar_amount END), 0.0)")
+    + " AS net_flow FROM ords GROUP BY 1, 2",
+)
+def f19_order_summary(spark, sf_dir):
+    return round_doubles(pf.order_summary(rebalance_all(spark, sf_dir)["orders"]))

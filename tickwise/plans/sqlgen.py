@@ -329,3 +329,180 @@ sig AS (
     {nan_null('CAST(sign(marker_raw_score) AS DOUBLE) * pow(abs(marker_raw_score), 1.0 / vconf)')} + 1.0 AS marker_final_score
   FROM s8
 )"""
+
+
+# ---------------------------------------------------------------------------
+# Portfolio (2.F) on top of ``sig``
+# ---------------------------------------------------------------------------
+
+PORTFOLIOS = "SELECT c_custkey AS portfolio_id, c_acctbal * 1000.0 AS cash, CAST(0 AS BIGINT) AS trades_used FROM customer"
+POSITIONS = """
+SELECT user_id AS portfolio_id, event_type AS symbol,
+       CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS shares,
+       floor(sum(floor(value * 100.0 + 0.5)) / count(*) + 0.5) / 100.0 AS avg_price,
+       CAST(0.0 AS DOUBLE) AS last_action_signal
+FROM events GROUP BY 1, 2
+"""
+
+
+def _kw(order: str = "symbol") -> str:
+    return f"OVER (PARTITION BY portfolio_id, cycle ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+def portfolio_ctes(max_age_s: int = 6 * 3600) -> str:
+    """CTE chain ``sig`` -> fresh signals, valuation, candidates, ``ords`` (orders)."""
+    from tickwise.operators import portfolio as pf
+
+    strength = (
+        f"CASE WHEN marker_final_score <= 1.1 THEN CAST(0.0 AS DOUBLE) ELSE "
+        f"least(greatest((marker_final_score - 1.1) / {d(pf.STRENGTH_RANGE)}, 0.0), 1.0) END"
+    )
+    cyc_w = "OVER (PARTITION BY cycle ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    should = lambda tw: (
+        f"(CASE WHEN NOT owned AND {tw} > 0 THEN TRUE WHEN {tw} = 0 AND owned THEN TRUE "
+        f"WHEN abs({tw} - current_weight) < 0.03 THEN FALSE "
+        f"WHEN owned AND abs(marker_final_score - last_action_signal) < 0.2 THEN FALSE ELSE TRUE END)"
+    )
+    fmt2 = "printf('%.2f', floor(marker_final_score * 100.0 + 0.5) / 100.0)"
+    return f"""
+fa AS (
+  SELECT *, CASE WHEN CAST(date_trunc('day', ts) AS TIMESTAMP) = ts THEN CAST(date_trunc('day', ts) AS TIMESTAMP)
+                 ELSE CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY END AS cycle_ts
+  FROM sig
+),
+fb AS (
+  SELECT cycle_ts, symbol, ts AS signal_ts, close, atr_14, marker_final_score, regime, regime_confidence, volume
+  FROM fa WHERE cycle_ts - ts <= INTERVAL {max_age_s} SECOND
+  QUALIFY row_number() OVER (PARTITION BY cycle_ts, symbol ORDER BY ts DESC) = 1
+),
+cyc AS (SELECT cycle_ts, CAST(row_number() OVER (ORDER BY cycle_ts) AS BIGINT) AS cycle FROM (SELECT DISTINCT cycle_ts FROM fb)),
+fc AS (
+  SELECT fb.*, cyc.cycle,
+    list(marker_final_score) OVER (PARTITION BY symbol ORDER BY cycle ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS signal_history
+  FROM fb JOIN cyc USING (cycle_ts)
+),
+fd AS (
+  SELECT *, list_slice(signal_history, greatest(len(signal_history) - 3, 1), len(signal_history)) AS h4 FROM fc
+),
+fe AS (
+  SELECT *, list_reduce(h4, lambda a, x: a + x, CAST(0.0 AS DOUBLE)) / CAST(len(h4) AS DOUBLE) AS hmean FROM fd
+),
+ff AS (
+  SELECT *, sqrt(list_reduce(h4, lambda a, x: a + (x - hmean) * (x - hmean), CAST(0.0 AS DOUBLE)) / CAST(len(h4) AS DOUBLE)) AS hstd FROM fe
+),
+fresh AS (
+  SELECT cycle_ts, cycle, symbol, signal_ts, close, atr_14, marker_final_score, regime, regime_confidence, volume,
+    len(signal_history) AS history_len,
+    CASE WHEN len(signal_history) < 2 THEN CAST(0.3 AS DOUBLE)
+         ELSE greatest(1.0 / (1.0 + CASE WHEN hmean > 0 THEN {tdiv('hstd', 'hmean')} ELSE CAST(1.0 AS DOUBLE) END), 0.3) END AS confidence,
+    {strength} AS signal_strength,
+    {lavg(f"list(CASE WHEN marker_final_score > 1.1 AND atr_14 > 0 THEN atr_14 END) {cyc_w}")} AS atr_mean
+  FROM ff
+),
+pf AS ({PORTFOLIOS}),
+pos AS ({POSITIONS}),
+ncyc AS (SELECT max(cycle) AS n FROM fresh),
+posc AS (
+  SELECT p.*, c.cycle, f.close AS px
+  FROM pos p CROSS JOIN (SELECT DISTINCT cycle FROM cyc) c
+  LEFT JOIN fresh f ON f.symbol = p.symbol AND f.cycle = c.cycle
+),
+posv AS (
+  SELECT portfolio_id, symbol, cycle, shares, avg_price, last_action_signal,
+    coalesce(last(px IGNORE NULLS) OVER (PARTITION BY portfolio_id, symbol ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), avg_price) AS current_price
+  FROM posc
+),
+posm AS (SELECT *, CAST(shares AS DOUBLE) * current_price AS market_value FROM posv),
+pagg AS (
+  SELECT portfolio_id, cycle, list_reduce(list(market_value ORDER BY symbol), lambda a, b: a + b, CAST(0.0 AS DOUBLE)) AS mv_sum,
+         CAST(count(*) AS BIGINT) AS position_count
+  FROM posm GROUP BY 1, 2
+),
+pval AS (
+  SELECT p.portfolio_id, c.cycle, c.cycle_ts, p.cash, p.trades_used,
+    CAST(coalesce(a.position_count, 0) AS BIGINT) AS position_count,
+    p.cash + coalesce(a.mv_sum, 0.0) AS total_value
+  FROM pf p CROSS JOIN cyc c LEFT JOIN pagg a ON a.portfolio_id = p.portfolio_id AND a.cycle = c.cycle
+),
+ca AS (
+  SELECT v.*, f.symbol, f.signal_ts, f.close, f.atr_14, f.marker_final_score, f.regime, f.confidence, f.signal_strength, f.atr_mean,
+    m.shares, m.current_price, m.market_value, m.last_action_signal, (m.shares IS NOT NULL) AS owned,
+    CASE WHEN f.marker_final_score > 1.1 THEN 'buy'
+         WHEN NOT f.marker_final_score < 0.9 AND m.shares IS NOT NULL THEN 'hold'
+         WHEN f.marker_final_score < 0.9 AND m.shares IS NOT NULL THEN 'sell' END AS bucket
+  FROM pval v JOIN fresh f ON f.cycle = v.cycle
+  LEFT JOIN posm m ON m.portfolio_id = v.portfolio_id AND m.cycle = v.cycle AND m.symbol = f.symbol
+),
+cb AS (
+  SELECT *, CASE WHEN owned THEN {tdiv('market_value', 'total_value')} ELSE CAST(0.0 AS DOUBLE) END AS current_weight,
+    {lsum(f"list(CASE WHEN bucket = 'sell' THEN market_value END) {_kw()}")} AS sells_value
+  FROM ca WHERE bucket IS NOT NULL
+),
+cc AS (
+  SELECT *, greatest(cash + sells_value - 0.1 * total_value, 0.0) AS deployable,
+    CASE WHEN atr_mean IS NULL THEN CAST(1.0 AS DOUBLE) WHEN atr_14 <= 0 THEN CAST(0.5 AS DOUBLE)
+         ELSE least(greatest({tdiv('atr_mean', 'atr_14')}, 0.5), 2.0) END AS vol_adj,
+    greatest(1.0 - (current_weight / 0.2) * (current_weight / 0.2), 0.0) AS penalty
+  FROM cb
+),
+cd AS (
+  SELECT *, CASE WHEN bucket = 'buy' THEN least(greatest(0.15 * signal_strength * confidence * vol_adj * penalty, 0.05), 0.2) END AS size
+  FROM cc
+),
+ce AS (
+  SELECT *, {lsum_nullable(f"list(size) {_kw()}")} AS buy_total, {tdiv('deployable', 'total_value')} AS max_w FROM cd
+),
+cand AS (
+  SELECT *,
+    CASE WHEN bucket = 'sell' THEN CAST(0.0 AS DOUBLE) WHEN bucket = 'hold' THEN current_weight
+         WHEN deployable > 0 THEN (CASE WHEN buy_total > max_w THEN size * {tdiv('max_w', 'buy_total')} ELSE size END) END AS target_weight
+  FROM ce
+),
+osell AS (
+  SELECT portfolio_id, cycle, cycle_ts, symbol, cash, 'SELL' AS action,
+    CASE WHEN coalesce(target_weight, 0.0) = 0 THEN shares
+         ELSE least(CAST(trunc((market_value - coalesce(target_weight, 0.0) * total_value) / current_price) AS BIGINT), shares) END AS shares,
+    current_price AS price,
+    CASE WHEN coalesce(target_weight, 0.0) = 0 THEN 'EXIT: Signal ' || {fmt2} || ' bearish'
+         ELSE 'TRIM: Rebalance to ' || printf('%.1f', floor(coalesce(target_weight, 0.0) * 1000.0 + 0.5) / 10.0) || '%' END AS reason,
+    1 AS priority, coalesce(target_weight, 0.0) AS target_weight, current_weight,
+    marker_final_score AS signal_score, signal_strength, confidence, 0 AS side
+  FROM cand WHERE owned AND coalesce(target_weight, 0.0) < current_weight AND {should('coalesce(target_weight, 0.0)')}
+),
+obuy AS (
+  SELECT portfolio_id, cycle, cycle_ts, symbol, cash, 'BUY' AS action,
+    CAST(trunc((target_weight * total_value - current_weight * total_value) / close) AS BIGINT) AS shares,
+    close AS price,
+    CASE WHEN owned THEN 'ADD: Signal ' || {fmt2} || ' strengthening' ELSE 'ENTER: Signal ' || {fmt2} || ' bullish' END AS reason,
+    2 + CAST(trunc((2.0 - marker_final_score) * 10.0) AS INTEGER) AS priority, target_weight, current_weight,
+    marker_final_score AS signal_score, signal_strength, confidence, 1 AS side
+  FROM cand WHERE target_weight IS NOT NULL AND target_weight <> 0 AND target_weight > current_weight AND {should('target_weight')}
+),
+oraw AS (
+  SELECT *, CAST(shares AS DOUBLE) * price AS dollar_amount,
+    row_number() OVER (PARTITION BY portfolio_id, cycle ORDER BY side, symbol) AS seq
+  FROM (SELECT * FROM osell WHERE shares > 0 UNION ALL SELECT * FROM obuy WHERE shares > 0)
+),
+oid AS (SELECT *, printf('ORD-%04d-%03d', cycle, seq) AS order_id FROM oraw),
+ogrp AS (
+  SELECT portfolio_id, cycle, any_value(cash) AS cash,
+    list_reduce(list({{'a': action, 'd': dollar_amount, 's': seq}} ORDER BY priority, seq),
+      lambda acc, o: CASE WHEN o.a = 'SELL' THEN {{'c': acc.c + o.d, 'k': list_append(acc.k, o.s)}}
+                          WHEN acc.c >= o.d THEN {{'c': acc.c - o.d, 'k': list_append(acc.k, o.s)}}
+                          ELSE acc END,
+      {{'c': any_value(cash), 'k': CAST([] AS BIGINT[])}}).k AS kept
+  FROM oid GROUP BY 1, 2
+),
+ocap AS (
+  SELECT g.*, len(kept) AS n,
+    least(30, p.trades_used + coalesce(sum(len(kept)) OVER (PARTITION BY g.portfolio_id ORDER BY g.cycle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS used
+  FROM ogrp g JOIN pf p USING (portfolio_id)
+),
+okeep AS (
+  SELECT portfolio_id, cycle, unnest(list_slice(kept, 1, greatest(0, least(n, 30 - used)))) AS seq FROM ocap
+),
+ords AS (
+  SELECT o.portfolio_id, o.cycle, o.order_id, o.symbol, o.action, o.shares, o.price, o.dollar_amount, o.reason, o.priority,
+         o.target_weight, o.current_weight, o.signal_score, o.signal_strength, o.confidence, o.cycle_ts AS ts
+  FROM oid o JOIN okeep k USING (portfolio_id, cycle, seq)
+)"""

@@ -39,12 +39,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting points at shared storage and is used as is. Only
     when it is unset (local tests) a folder of our own is created and set.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        try:
+            path = spark.conf.get("spark.checkpoint.dir")
+        except Exception:  # noqa: BLE001 - unset
+            path = None
     if not path:
         path = tempfile.mkdtemp(prefix="tickwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
@@ -55,5 +62,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
+    """Reliable checkpoint into the shared folder (survives executor loss); never a local checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)

@@ -80,7 +80,7 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings from activity: a user holds each event type it touched.
 
-    shares = sum of ``props.k``, avg_price = mean value rounded to cents.
+    shares = sum of ``props.k``, avg_price = mean value in cents, rounded to a cent.
     Customers without events hold nothing (pure cash portfolios).
     """
     ev = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "props")
@@ -88,7 +88,8 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev.groupBy(F.col("user_id").alias("portfolio_id"), F.col("event_type").alias("symbol"))
         .agg(
             F.sum(F.get_json_object("props", "$.k").cast("long")).alias("shares"),
-            F.round(F.avg("value"), 2).alias("avg_price"),
+            # mean of whole cents (exact integer sum), rounded half up to a cent
+            (F.floor(F.sum(F.floor(F.col("value") * 100.0 + 0.5)) / F.count(F.lit(1)) + F.lit(0.5)).cast("double") / F.lit(100.0)).alias("avg_price"),
         )
         .withColumn("last_action_signal", F.lit(0.0))
     )
