@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tickwise.functions.sizing import broadcast_if_small
 from tickwise.operators.series import PLAIN, SeriesSpec
-from tickwise.session import cut_lineage
+from tickwise.session import configure, cut_lineage
 
 SIGNAL_HALO = 118
 DEFAULT_CHUNK_ROWS = 2_000_000
@@ -40,7 +40,11 @@ class Layout:
         """Drop halo copies (identity for the plain layout)."""
         if not self.chunked:
             return df
-        return df.filter(F.col("chunk") == F.col("_own_chunk")).drop("chunk", "_own_chunk", "_bucket")
+        return df.filter(self.is_own()).drop("chunk", "_own_chunk", "_bucket")
+
+    def is_own(self):
+        """True for the row's own copy (always true for the plain layout)."""
+        return F.lit(True) if not self.chunked else F.col("chunk") == F.col("_own_chunk")
 
 
 def bucket_counts(bars: DataFrame, unit: str = "hour") -> DataFrame:
@@ -52,15 +56,17 @@ def bucket_counts(bars: DataFrame, unit: str = "hour") -> DataFrame:
     ).withColumn("n_sym", F.sum("_n").over(Window.partitionBy("symbol")).cast("long"))
 
 
-def chunk_plan(counts: DataFrame, chunk_rows: int, halo: int) -> DataFrame:
-    """Per bucket: its own chunk and the (at most two) later chunks it is halo for."""
+def chunk_plan(counts: DataFrame, chunk_rows: int, halo: int, ahead: int = 0) -> DataFrame:
+    """Per bucket: its own chunk, the (at most two) later chunks it is halo for,
+    and - when ``ahead`` rows after a chunk are needed (``lead``) - the
+    previous chunk if the bucket holds one of the first ``ahead`` rows of its chunk."""
     c = counts.withColumn("_own_chunk", F.floor(F.col("_cum") / F.lit(chunk_rows)).cast("long"))
     starts = c.groupBy("symbol", "_own_chunk").agg(F.min("_cum").alias("_start"))
     ws = Window.partitionBy("symbol").orderBy("_own_chunk")
     starts = (
         starts.withColumn("_c1", F.lead("_own_chunk", 1).over(ws)).withColumn("_s1", F.lead("_start", 1).over(ws))
         .withColumn("_c2", F.lead("_own_chunk", 2).over(ws)).withColumn("_s2", F.lead("_start", 2).over(ws))
-        .drop("_start")
+        .withColumn("_p1", F.lag("_own_chunk", 1).over(ws))
     )
     c = c.join(starts, ["symbol", "_own_chunk"])
     end = F.col("_cum") + F.col("_n")
@@ -69,13 +75,14 @@ def chunk_plan(counts: DataFrame, chunk_rows: int, halo: int) -> DataFrame:
             F.col("_own_chunk"),
             F.when(F.col("_s1") - F.lit(halo) < end, F.col("_c1")),
             F.when(F.col("_s2") - F.lit(halo) < end, F.col("_c2")),
+            F.when(F.col("_cum") - F.col("_start") < F.lit(ahead), F.col("_p1")),
         )
     )
     return c.select("symbol", "_bucket", "_cum", "n_sym", "_own_chunk", targets.alias("_targets"))
 
 
 def layout(bars: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS, halo: int = SIGNAL_HALO,
-           unit: str = "hour", force: bool = False) -> Layout:
+           unit: str = "hour", force: bool = False, ahead: int = 0) -> Layout:
     """Choose the plain or chunked layout from measured per-symbol sizes.
 
     ``chunk_rows=None`` always uses the plain layout.  Otherwise the per-bucket
@@ -83,6 +90,7 @@ def layout(bars: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS, halo: i
     chunked layout is used when some symbol holds more than ``chunk_rows``
     rows, or when ``force`` is set.
     """
+    configure(bars.sparkSession)
     if chunk_rows is None:
         return Layout(bars, PLAIN, False)
     if chunk_rows < halo:
@@ -91,7 +99,7 @@ def layout(bars: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS, halo: i
     biggest = counts.agg(F.max("n_sym")).first()[0] or 0
     if biggest <= chunk_rows and not force:
         return Layout(bars, PLAIN, False)
-    plan, _ = broadcast_if_small(cut_lineage(chunk_plan(counts, chunk_rows, halo)))
+    plan, _ = broadcast_if_small(cut_lineage(chunk_plan(counts, chunk_rows, halo, ahead)))
     rows = (
         bars.withColumn("_bucket", F.date_trunc(unit, "ts"))
         .join(plan, ["symbol", "_bucket"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tickwise.functions.sizing import broadcast_if_small
 from tickwise.functions.exprs import tdiv
-from tickwise.session import cut_lineage
+from tickwise.session import configure, cut_lineage
 
 # Fixed values that must equal the reference (thresholds and limits).
 STRONG_BUY, WEAK_BUY, NEUTRAL_LOW, WEAK_SELL = 1.5, 1.1, 0.9, 0.7
@@ -212,6 +212,7 @@ def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, m
     portfolios: portfolio_id, cash, trades_used; positions: portfolio_id, symbol,
     shares, avg_price, last_action_signal; signals: SIGNAL rows (E11).
     """
+    configure(signals.sparkSession)
     fresh = cut_lineage(score_history(number_cycles(fresh_signals(signals, max_age_s))))
     fresh = volatility_base(fresh).withColumn("signal_strength", strength())
     n_cycles = max(1, fresh.agg(F.max("cycle")).first()[0] or 0)

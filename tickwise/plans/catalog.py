@@ -223,3 +223,156 @@ def f21_rebalance_orders(spark, sf_dir):
 )
 def f19_order_summary(spark, sf_dir):
     return round_doubles(pf.order_summary(rebalance_all(spark, sf_dir)["orders"]))
+
+
+# ---------------------------------------------------------------------------
+# 2.L ML preparation (hourly bars; the bench runs the daily scale fixture)
+# ---------------------------------------------------------------------------
+
+from tickwise.operators import ml  # noqa: E402
+
+_ML_SQL = f"WITH {q.ml_feature_ctes(q.BARS_HOURLY)} "
+ML_DOUBLES = set(ml.FEATURES) | {"target"}
+
+
+def hourly_prep(spark, sf_dir):
+    return ml.prepare(fx.bars_hourly(spark, sf_dir))
+
+
+@register("d28_ml_features", _ML_SQL + "SELECT symbol, ts, " + r6_select(ml.FEATURES + ["target"], ML_DOUBLES) + " FROM mlf")
+def d28_ml_features(spark, sf_dir):
+    """Whole-history features and next-bar target."""
+    feats, lay = ml.ml_features(fx.bars_hourly(spark, sf_dir))
+    return round_doubles(lay.own(feats).select("symbol", "ts", *ml.FEATURES, "target"))
+
+
+@register(
+    "c16_clean_report",
+    _ML_SQL + "SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST((SELECT count(*) FROM mlc) AS BIGINT) AS rows_after, "
+    "CAST(count(*) - (SELECT count(*) FROM mlc) AS BIGINT) AS rows_removed, "
+    + q.r6("CAST(count(*) - (SELECT count(*) FROM mlc) AS DOUBLE) / count(*) * 100.0") + " AS pct_removed FROM mlf",
+)
+def c16_clean_report(spark, sf_dir):
+    """C11 + C16: rows removed by dropping incomplete feature rows."""
+    feats, lay = ml.ml_features(fx.bars_hourly(spark, sf_dir))
+    return round_doubles(ml.clean_report(lay.own(feats)))
+
+
+@register("l01_chronological_split", _ML_SQL + "SELECT symbol, ts, position, split, split_pos FROM mls")
+def l01_chronological_split(spark, sf_dir):
+    """L1: 70 / 15 / 15 split per symbol in time order over the cleaned rows."""
+    return hourly_prep(spark, sf_dir)["split"].select("symbol", "ts", "position", "split", "split_pos")
+
+
+@register(
+    "g06_split_counts",
+    _ML_SQL + "SELECT symbol, split, CAST(count(*) AS BIGINT) AS rows, "
+    + q.r6("count(*) / sum(count(*)) OVER (PARTITION BY symbol)") + " AS share FROM mls GROUP BY 1, 2",
+)
+def g06_split_counts(spark, sf_dir):
+    return round_doubles(ml.split_counts(hourly_prep(spark, sf_dir)["split"]))
+
+
+@register(
+    "g07_target_stats",
+    _ML_SQL + "SELECT split, " + q.r6("avg(target)") + " AS target_mean, " + q.r6("stddev_samp(target)")
+    + " AS target_std, CAST(count(*) AS BIGINT) AS rows FROM mls GROUP BY 1",
+)
+def g07_target_stats(spark, sf_dir):
+    return round_doubles(ml.target_stats(hourly_prep(spark, sf_dir)["split"]))
+
+
+@register(
+    "g08_train_stats",
+    _ML_SQL + "SELECT symbol, feature, " + ", ".join(q.r6(c) + " AS " + c for c in ["mean", "std", "min", "max"]) + " FROM mlst",
+)
+def g08_train_stats(spark, sf_dir):
+    """G8 + L2 fit: per symbol and feature statistics of the training rows only."""
+    s = hourly_prep(spark, sf_dir)["scalers"]
+    return round_doubles(s.select("symbol", "feature", "mean", "std", "min", "max"))
+
+
+@register("l02_scaled_features", _ML_SQL + "SELECT symbol, ts, split, " + r6_select(ml.FEATURES, set(ml.FEATURES)) + " FROM mlz")
+def l02_scaled_features(spark, sf_dir):
+    """L2 + H6: standard scaling per symbol with scalers fitted on the training split."""
+    z = hourly_prep(spark, sf_dir)["scaled"]
+    return round_doubles(z.select("symbol", "ts", "split", *ml.FEATURES))
+
+
+_SEQ_SQL = (
+    _ML_SQL + ", seq AS (SELECT *, list([" + ", ".join(ml.FEATURES) + "]) OVER (PARTITION BY symbol, split ORDER BY ts "
+    "ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS X FROM mlz) "
+)
+
+
+@register(
+    "l04_sequences",
+    _SEQ_SQL + "SELECT symbol, split, ts, " + q.r6("target") + " AS y, CAST(len(X) AS INTEGER) AS steps, "
+    + q.r6("X[1][4]") + " AS first_close, " + q.r6("X[60][4]") + " AS last_close, "
+    + q.r6("list_reduce(flatten(X), lambda a, b: a + b, CAST(0.0 AS DOUBLE))") + " AS x_sum "
+    "FROM seq WHERE split_pos >= 60 AND len(X) = 60",
+)
+def l04_sequences(spark, sf_dir):
+    """L4 + D24: 60 x 21 windows inside each split (summarised: size, first/last close, sum of all values)."""
+    s = hourly_prep(spark, sf_dir)["sequences"]
+    ci = ml.FEATURES.index("close")
+    return round_doubles(s.select(
+        "symbol", "split", "ts", F.col("y"), F.size("X").alias("steps"),
+        F.element_at(F.element_at("X", 1), ci + 1).alias("first_close"),
+        F.element_at(F.element_at("X", -1), ci + 1).alias("last_close"),
+        F.aggregate(F.flatten("X"), F.lit(0.0), lambda a, b: a + b).alias("x_sum"),
+    ))
+
+
+@register(
+    "l05_inference_windows",
+    _ML_SQL + "SELECT symbol, CAST(count(*) AS INTEGER) AS steps, count(*) = 60 AS ready, "
+    + q.r6("arg_max(close, ts)") + " AS last_close FROM (SELECT * FROM mlz WHERE position >= n_sym - 60) GROUP BY symbol",
+)
+def l05_inference_windows(spark, sf_dir):
+    """Newest 60 scaled rows per symbol."""
+    w = ml.inference_windows(hourly_prep(spark, sf_dir)["scaled"])
+    ci = ml.FEATURES.index("close")
+    return round_doubles(w.select("symbol", F.size("X").alias("steps"), "ready",
+                                  F.element_at(F.element_at("X", -1), ci + 1).alias("last_close")))
+
+
+_PCT = ml.FEATURES.index("price_change_pct")
+_EVAL_SQL = (
+    _SEQ_SQL + ", pr AS (SELECT s.target AS y, X[60][" + str(_PCT + 1) + "] * (CASE WHEN t.std < "
+    + q.d(10 * 2.220446049250313e-16) + " THEN 1.0 ELSE t.std END) + t.mean AS prediction "
+    "FROM seq s JOIN mlst t ON t.symbol = s.symbol AND t.feature = 'price_change_pct' "
+    "WHERE s.split = 'test' AND s.split_pos >= 60 AND len(s.X) = 60) "
+)
+
+
+def hourly_predictions(spark, sf_dir):
+    """Naive model (last step's percent change, unscaled) on the test sequences."""
+    prep = hourly_prep(spark, sf_dir)
+    seqs = prep["sequences"].filter(F.col("split") == "test")
+    scored = ml.score(seqs, ml.naive_last_change_model(_PCT), name="_p")
+    sc = prep["scalers"].filter(F.col("feature") == "price_change_pct").select("symbol", "center", "scale")
+    return scored.join(F.broadcast(sc), "symbol").withColumn("prediction", F.col("_p") * F.col("scale") + F.col("center"))
+
+
+@register(
+    "l07_regression_metrics",
+    _EVAL_SQL + "SELECT " + q.r6("avg((y - prediction) * (y - prediction))") + " AS mse, " + q.r6("avg(abs(y - prediction))")
+    + " AS mae, " + q.r6("avg(abs((y - prediction) / (y + 1e-10))) * 100.0") + " AS mape, CAST(count(*) AS BIGINT) AS n, "
+    + q.r6("sqrt(avg((y - prediction) * (y - prediction)))") + " AS rmse FROM pr",
+)
+def l07_regression_metrics(spark, sf_dir):
+    """L6 + L7 + G10: score the test split with the naive model and measure it."""
+    return round_doubles(ml.regression_metrics(hourly_predictions(spark, sf_dir)))
+
+
+@register(
+    "g12_error_histogram",
+    _EVAL_SQL + ", er AS (SELECT prediction - y AS error FROM pr), b AS (SELECT min(error) AS lo, max(error) AS hi FROM er) "
+    "SELECT CAST(least(floor((error - lo) / ((hi - lo) / 50.0)), 49) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS count "
+    "FROM er, b GROUP BY 1",
+)
+def g12_error_histogram(spark, sf_dir):
+    """G11 + G12: per-sample errors in 50 equal-width bins."""
+    errs = ml.sample_errors(hourly_predictions(spark, sf_dir))
+    return ml.error_histogram(errs).select("bin", "count")

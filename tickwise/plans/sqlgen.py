@@ -506,3 +506,104 @@ ords AS (
          o.target_weight, o.current_weight, o.signal_score, o.signal_strength, o.confidence, o.cycle_ts AS ts
   FROM oid o JOIN okeep k USING (portfolio_id, cycle, seq)
 )"""
+
+
+# ---------------------------------------------------------------------------
+# ML preparation (2.L) on top of ``bars``
+# ---------------------------------------------------------------------------
+
+ML_FEATURES = [
+    "open", "high", "low", "close", "volume", "sma_5", "sma_10", "ema_7", "ema_11",
+    "macd", "macd_signal", "macd_histogram", "atr_14", "momentum", "bb_upper", "bb_lower",
+    "volume_ratio", "volume_ma_15", "rsi", "price_change", "price_change_pct",
+]
+
+
+def _ew_ml(e: str, x: str, span: int) -> str:
+    a = d(2.0 / (span + 1.0))
+    return f"(CASE WHEN {e} IS NULL THEN {x} WHEN {e} <> {x} THEN ((1.0 - {a}) * {e} + {a} * {x}) / ((1.0 - {a}) + {a}) ELSE {e} END)"
+
+
+def ml_ewm_fold(hist: str) -> str:
+    """pandas ``ewm(adjust=False)`` from the first row (no gaps): EMA 7/11/12/26 and signal 9 of the line."""
+    e12, e26 = _ew_ml("acc.e12", "x", 12), _ew_ml("acc.e26", "x", 26)
+    line = f"(({e12}) - ({e26}))"
+    step = (
+        "{" + f"'e7': {_ew_ml('acc.e7', 'x', 7)}, 'e11': {_ew_ml('acc.e11', 'x', 11)}, 'e12': {e12}, 'e26': {e26}, "
+        f"'sg': {_ew_ml('acc.sg', line, 9)}" + "}"
+    )
+    init = "{" + ", ".join(f"'{k}': CAST(NULL AS DOUBLE)" for k in ("e7", "e11", "e12", "e26", "sg")) + "}"
+    return f"list_reduce({hist}, lambda acc, x: {step}, {init})"
+
+
+def ml_feature_ctes(bars_sql: str) -> str:
+    """``bars`` -> ``mlf`` (21 features + target, C2 applied), ``mlc`` (C11 drop),
+    ``mls`` (L1 split), ``mlst`` (G8 train stats), ``mlz`` (L2 scaled)."""
+    unb = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    unb1 = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    feats = ", ".join(ML_FEATURES)
+    stats = ", ".join(
+        f"avg({c}) AS {c}__mean, stddev_pop({c}) AS {c}__std, min({c}) AS {c}__min, max({c}) AS {c}__max" for c in ML_FEATURES
+    )
+    unpivot = " UNION ALL ".join(
+        f"SELECT symbol, '{c}' AS feature, {c}__mean AS mean, {c}__std AS std, {c}__min AS min, {c}__max AS max FROM mlw" for c in ML_FEATURES
+    )
+    scaled = ", ".join(
+        f"(m.{c} - s_{c}.mean) / (CASE WHEN s_{c}.std < {d(10 * 2.220446049250313e-16)} THEN 1.0 ELSE s_{c}.std END) AS {c}"
+        for c in ML_FEATURES
+    )
+    joins = " ".join(f"JOIN mlst s_{c} ON s_{c}.symbol = m.symbol AND s_{c}.feature = '{c}'" for c in ML_FEATURES)
+    return f"""
+bars AS ({bars_sql}),
+m1 AS (
+  SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS prev_close,
+    list(close) {last(5)} AS c5, list(close) {last(10)} AS c10, list(close) {last(20)} AS c20,
+    list(volume) {last(20)} AS v20, list(volume) {last(15)} AS v15,
+    list(close) {unb} AS hall,
+    last(close IGNORE NULLS) {unb} AS cf, last(close IGNORE NULLS) {unb1} AS cfp
+  FROM bars
+),
+m2 AS (
+  SELECT *, greatest(high - low, abs(high - prev_close), abs(low - prev_close)) AS tr,
+    CASE WHEN close - prev_close > 0 THEN close - prev_close ELSE CAST(0.0 AS DOUBLE) END AS g,
+    CASE WHEN close - prev_close < 0 THEN -(close - prev_close) ELSE CAST(0.0 AS DOUBLE) END AS l,
+    {ml_ewm_fold('hall')} AS acc
+  FROM m1
+),
+m3 AS (SELECT *, list(tr) {last(14)} AS tr14, list(g) {last(14)} AS g14, list(l) {last(14)} AS l14 FROM m2),
+m4 AS (
+  SELECT *, {lavg_full('c5', 5)} AS sma_5, {lavg_full('c10', 10)} AS sma_10, {lavg_full('tr14', 14)} AS atr_14,
+    {lavg_full('c20', 20)} AS sma20, CASE WHEN {lcnt('c20')} = 20 THEN {lstd('c20')} END AS sd20,
+    {lavg_full('v20', 20)} AS vavg20, {lavg_full('v15', 15)} AS volume_ma_15,
+    {lavg_full('g14', 14)} AS ag, {lavg_full('l14', 14)} AS al,
+    close - prev_close AS price_change, ({tdiv('cf', 'cfp')} - 1.0) * 100.0 AS price_change_pct,
+    acc.e7 AS ema_7, acc.e11 AS ema_11, acc.e12 - acc.e26 AS macd, acc.sg AS macd_signal, (acc.e12 - acc.e26) - acc.sg AS macd_histogram
+  FROM m3
+),
+m5 AS (
+  SELECT *, {tdiv('close - sma20', 'sma20')} AS momentum, sma20 + sd20 * 2.0 AS bb_upper, sma20 - sd20 * 2.0 AS bb_lower,
+    {tdiv('volume', 'vavg20')} AS volume_ratio,
+    CASE WHEN al = 0 THEN (CASE WHEN ag > 0 THEN CAST(100.0 AS DOUBLE) END) ELSE 100.0 - 100.0 / (1.0 + ag / al) END AS rsi,
+    lead(price_change_pct, 1) OVER (PARTITION BY symbol ORDER BY ts) AS target
+  FROM m4
+),
+mlf AS (
+  SELECT symbol, ts, {', '.join(f'{nan_null(c)} AS {c}' for c in ML_FEATURES + ['target'])} FROM m5
+),
+mlc AS (SELECT * FROM mlf WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ML_FEATURES + ['target'])}),
+mls0 AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS BIGINT) AS position,
+    CAST(count(*) OVER (PARTITION BY symbol) AS BIGINT) AS n_sym
+  FROM mlc
+),
+mls AS (
+  SELECT *, CASE WHEN position < CAST(floor(n_sym * 0.7) AS BIGINT) THEN 'train'
+                 WHEN position < CAST(floor(n_sym * 0.7) AS BIGINT) + CAST(floor(n_sym * 0.15) AS BIGINT) THEN 'val' ELSE 'test' END AS split,
+    position - CASE WHEN position < CAST(floor(n_sym * 0.7) AS BIGINT) THEN 0
+                    WHEN position < CAST(floor(n_sym * 0.7) AS BIGINT) + CAST(floor(n_sym * 0.15) AS BIGINT) THEN CAST(floor(n_sym * 0.7) AS BIGINT)
+                    ELSE CAST(floor(n_sym * 0.7) AS BIGINT) + CAST(floor(n_sym * 0.15) AS BIGINT) END AS split_pos
+  FROM mls0
+),
+mlw AS (SELECT symbol, {stats} FROM mls WHERE split = 'train' GROUP BY symbol),
+mlst AS ({unpivot}),
+mlz AS (SELECT m.symbol, m.ts, m.target, m.position, m.n_sym, m.split, m.split_pos, {scaled} FROM mls m {joins})"""
