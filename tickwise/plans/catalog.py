@@ -376,3 +376,146 @@ def g12_error_histogram(spark, sf_dir):
     """G11 + G12: per-sample errors in 50 equal-width bins."""
     errs = ml.sample_errors(hourly_predictions(spark, sf_dir))
     return ml.error_histogram(errs).select("bin", "count")
+
+
+# ---------------------------------------------------------------------------
+# 2.A / 2.B / 2.C / 2.G / 2.I: documents, messages, sinks, reports
+# ---------------------------------------------------------------------------
+
+from tickwise.operators import clean as cl  # noqa: E402
+from tickwise.operators import reports as rp  # noqa: E402
+from tickwise.sources import ingest as ig  # noqa: E402
+from tickwise.sources import sinks as sk  # noqa: E402
+
+_MSG_SQL = (
+    f"WITH bars AS ({q.BARS_HOURLY}), "
+    "o AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS BIGINT) AS ordinal FROM bars), "
+    "m AS (SELECT symbol, ts, open, high, low, close, volume, date, time, CAST(ordinal % 3 AS INTEGER) AS \"partition\", "
+    "CAST(ordinal // 3 AS BIGINT) AS \"offset\", strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(ordinal), '%Y-%m-%dT%H:%M:%S') AS doc_ts FROM o) "
+)
+MSG_COLS = ["symbol", "ts", "open", "high", "low", "close", "volume", "date", "time", "partition", "offset", "doc_ts"]
+
+
+def hourly_messages(spark, sf_dir):
+    """H7 -> B7 -> A2 -> A3: bars as wide documents, as messages, decoded and exploded again."""
+    docs = ig.documents_wide(fx.bars_hourly(spark, sf_dir))
+    return ig.explode_bars(ig.decode_messages(ig.to_messages(docs)))
+
+
+@register("a03_explode_messages", _MSG_SQL + "SELECT " + r6_select(MSG_COLS, BAR_DOUBLES).replace("partition,", '"partition",').replace("offset,", '"offset",') + " FROM m")
+def a03_explode_messages(spark, sf_dir):
+    """H7 + B7 + A2 + A3: the document / message round trip returns every bar once."""
+    return round_doubles(hourly_messages(spark, sf_dir).select(*MSG_COLS))
+
+
+@register(
+    "b01_latest_per_symbol",
+    _MSG_SQL + "SELECT " + r6_select(MSG_COLS, BAR_DOUBLES).replace("partition,", '"partition",').replace("offset,", '"offset",')
+    + ' FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, "partition" DESC, "offset" DESC) = 1',
+)
+def b01_latest_per_symbol(spark, sf_dir):
+    """B1: newest bar per symbol, ties on time to the later arrival."""
+    return round_doubles(sk.latest_per_symbol(hourly_messages(spark, sf_dir).select(*MSG_COLS)).select(*MSG_COLS))
+
+
+@register(
+    "b08_write_stats",
+    _MSG_SQL + "SELECT CAST(count_if(ts IS NOT NULL AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL) AS BIGINT) AS accepted, "
+    "CAST(count_if(NOT (ts IS NOT NULL AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL)) AS BIGINT) AS rejected, "
+    "CAST(count(DISTINCT symbol) AS BIGINT) AS symbols, "
+    + q.r6("count_if(ts IS NOT NULL AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL) / count(*) * 100.0") + " AS success_pct FROM m",
+)
+def b08_write_stats(spark, sf_dir):
+    """Sink acceptance statistics of a decoded batch."""
+    return round_doubles(sk.write_stats(hourly_messages(spark, sf_dir)))
+
+
+@register("a14_list_symbols", f"SELECT DISTINCT symbol FROM ({q.BARS_DAILY}) ORDER BY symbol")
+def a14_list_symbols(spark, sf_dir):
+    return ig.list_symbols(fx.bars_daily(spark, sf_dir))
+
+
+@register("g01_rows_per_symbol", f"SELECT symbol, CAST(count(*) AS BIGINT) AS rows FROM ({q.BARS_DAILY}) GROUP BY 1")
+def g01_rows_per_symbol(spark, sf_dir):
+    return rp.rows_per_symbol(fx.bars_daily(spark, sf_dir))
+
+
+@register(
+    "g02_symbol_set",
+    f"SELECT CAST(count(DISTINCT symbol) AS BIGINT) AS symbols, array_to_string(list_sort(list(DISTINCT symbol)), ',') AS symbol_list FROM ({q.BARS_DAILY})",
+)
+def g02_symbol_set(spark, sf_dir):
+    s = rp.symbol_set(fx.bars_daily(spark, sf_dir))
+    return s.select("symbols", F.array_join("symbol_list", ",").alias("symbol_list"))
+
+
+@register("g03_date_range", f"SELECT min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS BIGINT) AS rows FROM ({q.BARS_DAILY})")
+def g03_date_range(spark, sf_dir):
+    return rp.date_range(fx.bars_daily(spark, sf_dir))
+
+
+@register(
+    "g04_count_in_range",
+    f"SELECT symbol, CAST(count(*) AS BIGINT) AS rows FROM ({q.BARS_HOURLY}) WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00' GROUP BY 1",
+)
+def g04_count_in_range(spark, sf_dir):
+    """Rows of one day per symbol (the verification query after a write)."""
+    import datetime as dt
+    return rp.count_in_range(fx.bars_hourly(spark, sf_dir), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 11))
+
+
+@register(
+    "g05_first_record",
+    f"SELECT symbol, ts, {r6_select(['open','high','low','close','volume'], BAR_DOUBLES)}, date, time, (SELECT CAST(count(*) AS BIGINT) FROM ({q.BARS_HOURLY})) AS rows "
+    f"FROM ({q.BARS_HOURLY}) ORDER BY ts, symbol LIMIT 1",
+)
+def g05_first_record(spark, sf_dir):
+    bars = fx.bars_hourly(spark, sf_dir)
+    first = bars.agg(F.min_by(F.struct(*bars.columns), F.struct("ts", "symbol")).alias("f"), F.count(F.lit(1)).alias("rows"))
+    return round_doubles(first.select("f.*", "rows"))
+
+
+@register(
+    "i05_top_volume_bars",
+    f"SELECT symbol, ts, {q.r6('volume')} AS volume FROM ({q.BARS_DAILY}) ORDER BY volume DESC, symbol, ts LIMIT 5",
+)
+def i05_top_volume_bars(spark, sf_dir):
+    """I4 + I5: top-k report (the limit is the feature)."""
+    return round_doubles(rp.top_k(fx.bars_daily(spark, sf_dir).select("symbol", "ts", "volume"), 5, F.desc("volume"), "symbol", "ts"))
+
+
+@register(
+    "i06_tail_per_symbol",
+    f"SELECT symbol, ts, {q.r6('close')} AS close FROM ({q.BARS_DAILY}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 10",
+)
+def i06_tail_per_symbol(spark, sf_dir):
+    """I6 + I7: newest 10 bars per symbol."""
+    return round_doubles(rp.tail_per_symbol(fx.bars_daily(spark, sf_dir).select("symbol", "ts", "close"), 10))
+
+
+@register(
+    "c15_profile",
+    f"SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count_if(volume < 100) AS BIGINT) AS matching, count_if(volume < 100) > 0 AS exists FROM ({q.BARS_HOURLY})",
+)
+def c15_profile(spark, sf_dir):
+    """Filtered count / existence (low-volume hourly bars)."""
+    return cl.profile(fx.bars_hourly(spark, sf_dir), "volume < 100")
+
+
+@register(
+    "f20_holdings_report",
+    _PF_SQL + "SELECT m.portfolio_id, m.symbol, m.shares, " + ", ".join(q.r6(e) + " AS " + n for e, n in [
+        ("m.current_price", "current_price"), ("m.market_value", "market_value"),
+        (q.tdiv("m.market_value", "v.total_value"), "weight"), ("(m.current_price - m.avg_price) * CAST(m.shares AS DOUBLE)", "unrealized_pnl"),
+        ("CASE WHEN m.avg_price > 0 THEN (m.current_price - m.avg_price) / m.avg_price ELSE 0.0 END", "unrealized_pnl_pct")])
+    + " FROM posm m JOIN pval v ON v.portfolio_id = m.portfolio_id AND v.cycle = m.cycle WHERE m.cycle = (SELECT max(cycle) FROM cyc)",
+)
+def f20_holdings_report(spark, sf_dir):
+    """F2 + F20: holdings at the last cycle with weight and unrealised P&L."""
+    out = rebalance_all(spark, sf_dir)
+    last = out["fresh"].agg(F.max("cycle")).first()[0]
+    pos = pf.position_valuation(out["positions"].filter(F.col("cycle") == last))
+    val = out["portfolios"].filter(F.col("cycle") == last).select("portfolio_id", "total_value")
+    rep = pos.join(val, "portfolio_id").withColumn("weight", F.try_divide("market_value", "total_value"))
+    return round_doubles(rep.select("portfolio_id", "symbol", "shares", "current_price", "market_value", "weight",
+                                    "unrealized_pnl", "unrealized_pnl_pct"))
