@@ -30,10 +30,30 @@ INDICATOR_COLS = [
 ]
 
 
+def last_present_rn(x: str, spec: SeriesSpec):
+    """Row number of the newest row (up to this one) where ``x`` is present.
+
+    A running frame (O(1) per row) instead of a sliding count: ``x`` has a
+    value in the last ``n`` rows iff ``rn - last_present_rn < n``.
+    """
+    return F.max(F.when(F.col(x).isNotNull(), F.col("rn"))).over(spec.rows(Window.unboundedPreceding, 0))
+
+
+def full_frame(x: str, spec: SeriesSpec, n: int):
+    """``count(x)`` over the last ``n`` rows equals ``n`` (pandas ``min_periods = n``).
+
+    Equivalent to: at least ``n`` rows so far in the partition and no missing
+    ``x`` among the last ``n``; both are O(1) per row (row number and a running
+    max of the row number of the last missing value).
+    """
+    last_missing = F.max(F.when(F.col(x).isNull(), F.col("rn"))).over(spec.rows(Window.unboundedPreceding, 0))
+    rows_so_far = F.row_number().over(spec.base())
+    return (rows_so_far >= n) & (last_missing.isNull() | (F.col("rn") - last_missing >= n))
+
+
 def _min_periods_avg(x: str, spec: SeriesSpec, n: int):
     """pandas ``rolling(n, min_periods=n).mean()``."""
-    w = spec.last(n)
-    return F.when(F.count(F.col(x)).over(w) == n, F.avg(F.col(x)).over(w))
+    return F.when(full_frame(x, spec, n), F.avg(F.col(x)).over(spec.last(n)))
 
 
 def sma(df: DataFrame, n: int, src: str = "close", name: str | None = None, spec: SeriesSpec = PLAIN) -> DataFrame:
@@ -96,8 +116,8 @@ def rsi_stream(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = 14, name: str =
     loss = F.when(delta < 0, -delta).otherwise(F.lit(0.0))
     w = spec.last(n)
     out = df.withColumn("_gain", gain).withColumn("_loss", loss)
-    avg_gain = F.when(F.count("_gain").over(w) == n, F.avg("_gain").over(w))
-    avg_loss = F.when(F.count("_loss").over(w) == n, F.avg("_loss").over(w))
+    avg_gain = F.when(full_frame("_gain", spec, n), F.avg("_gain").over(w))
+    avg_loss = F.when(full_frame("_loss", spec, n), F.avg("_loss").over(w))
     out = out.withColumn("_ag", avg_gain).withColumn("_al", avg_loss)
     rs = tdiv(F.col("_ag"), F.nullif(F.col("_al"), F.lit(0.0)))
     return out.withColumn(name, F.lit(100.0) - tdiv(F.lit(100.0), F.lit(1.0) + rs)).drop("_gain", "_loss", "_ag", "_al")
@@ -134,7 +154,7 @@ def price_change(df: DataFrame, spec: SeriesSpec = PLAIN, frame: int = HISTORY)
 def bollinger(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = 20, k: float = 2.0) -> DataFrame:
     """sma(n) +- k * sample std(n)."""
     w = spec.last(n)
-    full = F.count("close").over(w) == n
+    full = full_frame("close", spec, n)
     mid = F.when(full, F.avg("close").over(w))
     sd = F.when(full, F.stddev_samp("close").over(w))
     return (

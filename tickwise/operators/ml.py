@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from tickwise.functions.exprs import tdiv
 from tickwise.functions.sizing import broadcast_if_small
 from tickwise.operators import chunking
+from tickwise.operators.indicators import full_frame
 from tickwise.operators.series import PLAIN, SeriesSpec
 from tickwise.session import cut_lineage
 
@@ -41,8 +42,7 @@ EWM_OUT = ["ema_7", "ema_11", "macd", "macd_signal", "macd_histogram"]
 
 
 def _full_avg(x: str, spec: SeriesSpec, n: int):
-    w = spec.last(n)
-    return F.when(F.count(F.col(x)).over(w) == n, F.avg(F.col(x)).over(w))
+    return F.when(full_frame(x, spec, n), F.avg(F.col(x)).over(spec.last(n)))
 
 
 def window_features(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
@@ -54,7 +54,7 @@ def window_features(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
     df = df.withColumn("_sma20", _full_avg("close", spec, 20))
     df = df.withColumn("momentum", tdiv(F.col("close") - F.col("_sma20"), F.col("_sma20")))
     w20 = spec.last(20)
-    sd = F.when(F.count("close").over(w20) == 20, F.stddev_samp("close").over(w20))
+    sd = F.when(full_frame("close", spec, 20), F.stddev_samp("close").over(w20))
     df = df.withColumn("_sd20", sd)
     df = df.withColumn("bb_upper", F.col("_sma20") + F.col("_sd20") * F.lit(2.0)).withColumn(
         "bb_lower", F.col("_sma20") - F.col("_sd20") * F.lit(2.0)

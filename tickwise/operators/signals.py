@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwise.functions.exprs import EPS_PERCENT, EPS_SMALL, EPS_VOLUME, clip, nan_to_null, tdiv
-from tickwise.operators.indicators import HISTORY, SIGNAL_READY
+from tickwise.operators.indicators import HISTORY, SIGNAL_READY, full_frame, last_present_rn
 from tickwise.operators.series import PLAIN, SeriesSpec
 
 SIGNAL_COLS = [
@@ -123,7 +123,7 @@ def bollinger_dynamics(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
 def volume_conviction(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
     """E5 (+D19, D21): net % move of 10 rows scaled by the volume surge over the 15-row median."""
     w10 = spec.last(10)
-    net = F.when(F.count("price_change_pct").over(w10) == 10, F.sum("price_change_pct").over(w10))
+    net = F.when(full_frame("price_change_pct", spec, 10), F.sum("price_change_pct").over(w10))
     sorted15 = F.array_sort(F.collect_list("volume_ratio").over(spec.last(15)))
     df = df.withColumn("_net", net).withColumn("_s15", sorted15)
     n = F.size("_s15")
@@ -190,11 +190,15 @@ def volume_stats(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
 
 
 def ready_flags(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
-    """C6 + C7: window fully enriched and no required column entirely null in it."""
-    w60 = spec.last(HISTORY)
+    """C6 + C7: window fully enriched and no required column entirely null in it.
+
+    "Some value in the last 60 rows" is ``rn - (row number of the newest
+    present value) < 60``: one running max per column (O(1) per row) instead
+    of 13 sliding 60-row counts.
+    """
     ok = F.col("rn") >= SIGNAL_READY
     for c in REQUIRED_COLS:
-        ok = ok & (F.count(c).over(w60) > 0)
+        ok = ok & (F.col("rn") - last_present_rn(c, spec) < HISTORY)
     return df.withColumn("_ready", ok)
 
 
