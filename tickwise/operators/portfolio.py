@@ -296,11 +296,25 @@ def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, m
     raw = raw.withColumn("_seq", F.row_number().over(gen))
     raw = raw.withColumn("order_id", F.format_string("ORD-%04d-%03d", F.col("cycle"), F.col("_seq")))
 
-    # greedy cash validation per (portfolio, cycle), priority order, stable.
-    fields = ["priority", "_seq", "order_id", "symbol", "action", "shares", "price", "dollar_amount", "reason",
-              "target_weight", "current_weight", "signal_score", "signal_strength", "confidence"]
+    orders = validate_and_cap(raw, portfolios)
+    return {"fresh": fresh, "positions": pos_cycle, "portfolios": pval, "candidates": cand, "orders": orders}
+
+
+ORDER_FIELDS = ["priority", "_seq", "order_id", "symbol", "action", "shares", "price", "dollar_amount", "reason",
+                "target_weight", "current_weight", "signal_score", "signal_strength", "confidence"]
+
+
+def validate_and_cap(raw: DataFrame, portfolios: DataFrame, max_trades: int = MAX_TRADES) -> DataFrame:
+    """F17 + F18: greedy cash validation per (portfolio, cycle) in (priority, generation) order,
+    then the lifetime trade cap dropping from the tail.
+
+    ``raw``: portfolio_id, cycle, cycle_ts, cash and ORDER_FIELDS.  A SELL adds
+    its amount to the running cash; a BUY is kept only if the running cash
+    covers it (an unaffordable BUY is skipped, later smaller ones may pass).
+    The fold runs over one (portfolio, cycle)'s orders - at most one per symbol.
+    """
     grouped = raw.groupBy("portfolio_id", "cycle", "cycle_ts", "cash").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("_orders")
+        F.array_sort(F.collect_list(F.struct(*ORDER_FIELDS))).alias("_orders")
     )
     empty = F.filter(F.col("_orders"), lambda o: F.lit(False))
     init = F.struct(F.col("cash").alias("c"), empty.alias("k"))
@@ -313,18 +327,17 @@ def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, m
         ).otherwise(acc)
 
     val = grouped.withColumn("_kept", F.aggregate("_orders", init, step)["k"]).withColumn("_n", F.size("_kept"))
-    # lifetime cap of 30 trades; earlier cycles' kept orders count.
+    # Lifetime cap: orders kept in earlier cycles count against it.
     pw = Window.partitionBy("portfolio_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
     val = val.join(portfolios.select("portfolio_id", "trades_used"), "portfolio_id")
-    used = F.least(F.lit(MAX_TRADES), F.col("trades_used") + F.coalesce(F.sum("_n").over(pw), F.lit(0)))
-    val = val.withColumn("_allowed", F.greatest(F.lit(0), F.least(F.col("_n"), F.lit(MAX_TRADES) - used)).cast("int"))
+    used = F.least(F.lit(max_trades), F.col("trades_used") + F.coalesce(F.sum("_n").over(pw), F.lit(0)))
+    val = val.withColumn("_allowed", F.greatest(F.lit(0), F.least(F.col("_n"), F.lit(max_trades) - used)).cast("int"))
     kept = val.select("portfolio_id", "cycle", "cycle_ts", F.posexplode(F.slice("_kept", 1, F.col("_allowed"))).alias("_pos", "o"))
-    orders = kept.select(
+    return kept.select(
         "portfolio_id", "cycle", "o.order_id", "o.symbol", "o.action", "o.shares", "o.price", "o.dollar_amount", "o.reason",
         "o.priority", "o.target_weight", "o.current_weight", "o.signal_score", "o.signal_strength", "o.confidence",
         F.col("cycle_ts").alias("ts"),
     )
-    return {"fresh": fresh, "positions": pos_cycle, "portfolios": pval, "candidates": cand, "orders": orders}
 
 
 def order_summary(orders: DataFrame) -> DataFrame:

@@ -62,11 +62,25 @@ def line_quality(lines: DataFrame, spark: SparkSession | None = None, path: str
                          F.sum("invalid_lines").alias("invalid_lines"))
     out = per_file.unionByName(total)
     if spark is not None and path is not None:
-        skipped = file_listing(spark, path).filter(F.col("length") == 0).count()
+        skipped = count_empty_files(spark, path)
         out = out.withColumn("skipped_files", F.when(F.col("file_name").isNull(), F.lit(skipped)).otherwise(F.lit(0)).cast("long"))
     return out
 
 
+def count_empty_files(spark: SparkSession, path: str) -> int:
+    """Zero-length files under ``path`` (file-system metadata; file scans skip them)."""
+    jvm = spark._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    it = hp.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hp, True)
+    n = 0
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if st.getLen() == 0 and not name.startswith((".", "_")):
+            n += 1
+    return n
+
+
 def file_listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """File paths and sizes only (``binaryFile`` without touching the content column)."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -254,7 +268,7 @@ def explode_bars(decoded: DataFrame, value_col: str = "value", strict: bool = Fa
     e = e.withColumn("_bad", bad)
     if strict:
         w = Window.partitionBy("partition", "offset")
-        e = e.filter(~F.max(F.col("_bad").cast("int")).over(w).cast("boolean"))
+        e = e.withColumn("_doc_bad", F.max(F.col("_bad").cast("int")).over(w)).filter(F.col("_doc_bad") == 0)
     b = F.col("_bar")
     ts = F.try_to_timestamp(F.concat_ws(" ", b["Date"].cast("string"), b["Time"]), F.lit("yyyyMMdd HH:mm")).cast("timestamp_ntz")
     return e.select(
