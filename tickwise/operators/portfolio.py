@@ -213,7 +213,8 @@ def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, m
     shares, avg_price, last_action_signal; signals: SIGNAL rows (E11).
     """
     configure(signals.sparkSession)
-    fresh = cut_lineage(score_history(number_cycles(fresh_signals(signals, max_age_s))))
+    fresh = cut_lineage(fresh_signals(signals, max_age_s))      # signals are computed once
+    fresh = cut_lineage(score_history(number_cycles(fresh)))
     fresh = volatility_base(fresh).withColumn("signal_strength", strength())
     n_cycles = max(1, fresh.agg(F.max("cycle")).first()[0] or 0)
     fresh_b, _ = broadcast_if_small(cut_lineage(fresh))
