@@ -519,3 +519,65 @@ def f20_holdings_report(spark, sf_dir):
     rep = pos.join(val, "portfolio_id").withColumn("weight", F.try_divide("market_value", "total_value"))
     return round_doubles(rep.select("portfolio_id", "symbol", "shares", "current_price", "market_value", "weight",
                                     "unrealized_pnl", "unrealized_pnl_pct"))
+
+
+@register(
+    "c08_quality_flags",
+    f"WITH {q.enriched_ctes(q.BARS_HOURLY)} SELECT symbol, ts, concat_ws(',', "
+    "CASE WHEN volume < 100 THEN 'low_volume' END, CASE WHEN atr_14 <= 0 THEN 'bad_atr' END, "
+    "CASE WHEN bb_upper <= bb_lower THEN 'bad_bands' END, "
+    "CASE WHEN rsi_14 IS NULL OR rsi_14 < 0 OR rsi_14 > 100 THEN 'bad_rsi' END) AS flags FROM enr WHERE rn >= 35 AND n_sym >= 60",
+)
+def c08_quality_flags(spark, sf_dir):
+    """The reference's data warnings as a column (rows are kept)."""
+    enr = ind.warm_rows(flows.enriched_bars(fx.bars_hourly(spark, sf_dir)))
+    return sg.quality_flags(enr).select("symbol", "ts", F.array_join("quality_flags", ",").alias("flags"))
+
+
+@register(
+    "c13_head_per_symbol",
+    f"SELECT symbol, ts, {q.r6('close')} AS close FROM ({q.BARS_TICK}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts) <= 52000",
+)
+def c13_head_per_symbol(spark, sf_dir):
+    """First 52,000 bars per symbol (the document build's per-file row limit)."""
+    return round_doubles(cl.head_per_symbol(fx.bars_tick(spark, sf_dir).select("symbol", "ts", "close")))
+
+
+@register(
+    "h07_documents_wide",
+    f"WITH bars AS ({q.BARS_HOURLY}), o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ordinal FROM bars) "
+    "SELECT CAST(ordinal AS BIGINT) AS ordinal, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(ordinal) AS timestamp, "
+    "CAST(count(*) AS INTEGER) AS entries, array_to_string(list_sort(list(symbol || '.csv')), ',') AS files, "
+    + q.r6("sum(close)") + " AS close_sum FROM o GROUP BY ordinal",
+)
+def h07_documents_wide(spark, sf_dir):
+    """H7: ordinal alignment of the symbol tables into wide documents (a short table has no entry)."""
+    docs = ig.documents_wide(fx.bars_hourly(spark, sf_dir))
+    closes = F.transform(F.array_sort(F.map_keys("bars")), lambda k: F.element_at(F.col("bars"), k)["close"])
+    return round_doubles(docs.select(
+        "ordinal", "timestamp", F.size("bars").alias("entries"),
+        F.array_join(F.array_sort(F.map_keys("bars")), ",").alias("files"),
+        F.aggregate(closes, F.lit(0.0), lambda a, x: a + x).alias("close_sum"),
+    ))
+
+
+@register(
+    "b07_message_keys",
+    f"WITH bars AS ({q.BARS_HOURLY}), o AS (SELECT DISTINCT row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ordinal FROM bars) "
+    "SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(ordinal), '%Y-%m-%dT%H:%M:%S') AS key, "
+    'CAST(ordinal % 3 AS INTEGER) AS "partition", CAST(ordinal // 3 AS BIGINT) AS "offset" FROM o',
+)
+def b07_message_keys(spark, sf_dir):
+    """Message key (ISO time), partition and offset of every document."""
+    return ig.to_messages(ig.documents_wide(fx.bars_hourly(spark, sf_dir))).select("key", "partition", "offset")
+
+
+@register(
+    "c01_normalized_bars",
+    _MSG_SQL + "SELECT symbol, ts, coalesce(date, '') AS date, coalesce(time, '') AS time, "
+    'coalesce("partition", 0) AS "partition", coalesce("offset", 0) AS "offset", strptime(doc_ts, \'%Y-%m-%dT%H:%M:%S\') AS doc_time FROM m',
+)
+def c01_normalized_bars(spark, sf_dir):
+    """C1 + C3: normalised decoded bars and the document time parsed from ISO text."""
+    out = cl.normalize_bars(hourly_messages(spark, sf_dir))
+    return out.select("symbol", "ts", "date", "time", "partition", "offset", cl.parse_ts("doc_ts").alias("doc_time"))
