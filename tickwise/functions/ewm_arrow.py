@@ -1,7 +1,7 @@
-"""Vectorised windowed EMA/MACD for ``mapInArrow``.
+"""Vectorised windowed EMA/MACD (and MACD alignment) for ``mapInArrow``.
 
-Input rows carry their trailing frame ``_h`` (``array<struct<v: double>>``, at
-most ``width`` values, oldest first).  Frames are left-padded with NaN into a
+Input rows carry their trailing frame ``_h`` (``array<double>``, NaN for a
+missing close, oldest first).  Frames are left-padded with NaN into a
 ``rows x width`` matrix - leading gaps do not change a pandas EWM - and the
 recurrence of :mod:`tickwise.functions.exprs` is run column by column over
 the whole batch at once, with the same operations in the same order, so the
@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 SPANS = (7, 11, 12, 26)
 OUT_COLS = ("ema_7", "ema_11", "macd_line", "macd_signal")
+E2_BACK = 14          # E2 looks at the MACD line of the current and 14 previous rows
+E2_OUT = "signal_2_macd"
 
 
 def _alpha(span: int) -> float:
@@ -31,8 +33,8 @@ def _ew(e, w, x, a, obs):
     return new_e, new_w
 
 
-def frame_matrix(h: pa.Array, width: int) -> np.ndarray:
-    """Left-padded ``rows x width`` matrix of the list column's values."""
+def frame_matrix(h: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Left-padded ``rows x width`` matrix of the list column's values, and the list lengths."""
     n = len(h)
     lengths = pc.list_value_length(h).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.list_flatten(h)
@@ -46,7 +48,7 @@ def frame_matrix(h: pa.Array, width: int) -> np.ndarray:
         pos = np.arange(len(vals)) - np.repeat(starts, lengths)
         cols = np.repeat(width - lengths, lengths) + pos
         m[rows, cols] = vals
-    return m
+    return m, lengths
 
 
 def ema_macd_matrix(m: np.ndarray) -> dict[str, np.ndarray]:
@@ -76,18 +78,85 @@ def ema_macd_matrix(m: np.ndarray) -> dict[str, np.ndarray]:
         }
 
 
-def make_mapper(hist_col: str, width: int, keep: list[str]):
-    """Return a ``mapInArrow`` function adding OUT_COLS and dropping ``hist_col``."""
+def _masked(fn, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Row-wise max or min over valid, non-NaN entries; NaN when there is none."""
+    ok = valid & ~np.isnan(x)
+    fill = -np.inf if fn is np.max else np.inf
+    return np.where(ok.any(axis=1), fn(np.where(ok, x, fill), axis=1), np.nan)
+
+
+def with_macd_alignment(m: np.ndarray, lengths: np.ndarray, adjacent: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """EMA/MACD of each row plus E2 (MACD alignment) from ``width + 14``-wide frames.
+
+    ``adjacent[i]``: row ``i-1`` of the batch is the direct predecessor of row
+    ``i`` in the same series.  The line of row ``r-k`` is then read from the
+    row ``k`` places earlier; otherwise it is recomputed from the frame (which
+    holds the values ending at ``r-k``).  Both give the same doubles.  E2 is
+    the window definition: range of the 15 lines (at least 1e-8), velocity
+    against the line 9 rows back, line - signal against the largest gap.
+    """
+    n = m.shape[0]
+    back = m.shape[1] - width
+    base = ema_macd_matrix(m[:, back:])
+    idx = np.arange(n)
+    last_break = np.maximum.accumulate(np.where(adjacent, 0, idx))
+    run = idx - last_break                       # adjacent predecessors in this batch
+    avail = lengths - 1                          # predecessors inside the window partition
+    lines = np.full((n, back + 1), np.nan)
+    sigs = np.full((n, back + 1), np.nan)
+    lines[:, 0], sigs[:, 0] = base["macd_line"], base["macd_signal"]
+    for k in range(1, back + 1):
+        j = idx[(run >= k) & (avail >= k)]
+        lines[j, k], sigs[j, k] = base["macd_line"][j - k], base["macd_signal"][j - k]
+        far = idx[(run < k) & (avail >= k)]
+        if len(far):
+            r = ema_macd_matrix(m[far, back - k: back - k + width])
+            lines[far, k], sigs[far, k] = r["macd_line"], r["macd_signal"]
+    exists = np.arange(back + 1)[None, :] <= avail[:, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        hi, lo = _masked(np.max, lines, exists), _masked(np.min, lines, exists)
+        rng = np.where(np.isnan(hi), 1e-8, np.maximum(hi - lo, 1e-8))
+        lag9 = np.where(exists[:, 9], lines[:, 9], np.nan)
+        line, sig = lines[:, 0], sigs[:, 0]
+        velocity = (line - lag9) / rng
+        gap = _masked(np.max, np.abs(lines - sigs), exists)
+        den = gap + 1e-8
+        position = np.where(den == 0, np.nan, (line - sig) / den)
+        combined = 0.6 * velocity + 0.4 * position
+        base[E2_OUT] = np.where(np.isnan(combined), np.nan, np.maximum(-1.0, np.minimum(1.0, combined)))
+    return base
+
+
+def _col(b: pa.RecordBatch, name: str) -> pa.Array:
+    return b.column(b.schema.get_field_index(name))
+
+
+def make_mapper(hist_col: str, width: int, keep: list[str], e2_part: list[str] | None = None, extra: int = 0):
+    """Return a ``mapInArrow`` function adding OUT_COLS (and E2 when ``e2_part``
+    names the series key) and dropping ``hist_col`` (``width + extra`` closes)."""
+    outs = list(OUT_COLS) + ([E2_OUT] if e2_part is not None else [])
 
     def mapper(batches):
         for b in batches:
-            h = b.column(b.schema.get_field_index(hist_col))
-            out = ema_macd_matrix(frame_matrix(h, width))
-            arrays = [b.column(b.schema.get_field_index(c)) for c in keep]
-            for c in OUT_COLS:
+            m, lengths = frame_matrix(_col(b, hist_col), width + extra)
+            if e2_part is None:
+                out = ema_macd_matrix(m[:, extra:])
+            else:
+                rn = _col(b, "rn").to_numpy(zero_copy_only=False)
+                adjacent = np.zeros(len(rn), dtype=bool)
+                if len(rn) > 1:
+                    same = rn[1:] == rn[:-1] + 1
+                    for c in e2_part:
+                        v = _col(b, c)
+                        eq = pc.equal(v.slice(1), v.slice(0, len(v) - 1)).fill_null(False)
+                        same &= eq.to_numpy(zero_copy_only=False)
+                    adjacent[1:] = same
+                out = with_macd_alignment(m, lengths, adjacent, width)
+            arrays = [_col(b, c) for c in keep]
+            for c in outs:
                 v = out[c]
                 arrays.append(pa.array(v, mask=np.isnan(v), type=pa.float64()))
-            yield pa.RecordBatch.from_arrays(arrays, names=list(keep) + list(OUT_COLS))
+            yield pa.RecordBatch.from_arrays(arrays, names=list(keep) + outs)
 
     return mapper
 

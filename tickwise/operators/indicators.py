@@ -78,30 +78,40 @@ def with_history(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = HISTORY, src:
 
 
 EMA_METHOD = "arrow"
+E2_BACK = 14
 
 
-def ema_macd(df: DataFrame, spec: SeriesSpec = PLAIN, hist: str = "_h", method: str | None = None) -> DataFrame:
+def ema_macd(df: DataFrame, spec: SeriesSpec = PLAIN, hist: str = "_h", method: str | None = None,
+             extra: int = 0, with_e2: bool = False) -> DataFrame:
     """EMA 7/11 and MACD line/signal over the 60-row frame.
 
-    ``method="fold"`` evaluates the recurrence as a JVM higher-order
-    ``aggregate`` per row; ``"arrow"`` (default) runs the same recurrence
-    vectorised over Arrow batches (``mapInArrow``, a narrow per-partition map),
-    about an order of magnitude faster because Spark interprets lambdas.
-    Both give the same doubles.
+    ``hist`` holds the trailing ``60 + extra`` closes.  ``method="fold"``
+    evaluates the recurrence as a JVM higher-order ``aggregate`` per row;
+    ``"arrow"`` (default) runs the same recurrence vectorised over Arrow batches
+    (``mapInArrow``, a narrow per-partition map), several times faster because
+    Spark interprets lambdas.  Both give the same doubles.  With ``with_e2``
+    the Arrow path also returns ``signal_2_macd`` (E2 needs the line of the 14
+    previous rows, ``extra`` must be 14): no window has to run after the map,
+    whose output Spark no longer knows to be partitioned by the series key.
     """
     method = method or EMA_METHOD
     if method == "fold":
-        out = df.withColumn("_acc", F.expr(ema_fold_sql(hist, "spark")))
+        h = F.col(hist) if extra == 0 else F.slice(F.col(hist), F.greatest(F.size(hist) - F.lit(HISTORY - 1), F.lit(1)), F.lit(HISTORY))
+        out = df.withColumn("_hf", h).withColumn("_acc", F.expr(ema_fold_sql("_hf", "spark")))
         for name, sql in ema_outputs("_acc").items():
             out = out.withColumn(name, F.expr(sql))
-        return out.drop("_acc", hist)
+        return out.drop("_acc", "_hf", hist)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    from tickwise.functions.ewm_arrow import OUT_COLS, make_mapper
+    from tickwise.functions.ewm_arrow import E2_OUT, OUT_COLS, make_mapper
 
+    if with_e2 and extra != E2_BACK:
+        raise ValueError(f"E2 needs {E2_BACK} extra history rows")
+    outs = list(OUT_COLS) + ([E2_OUT] if with_e2 else [])
     keep = [c for c in df.columns if c != hist]
-    schema = StructType([f for f in df.schema.fields if f.name != hist] + [StructField(c, DoubleType()) for c in OUT_COLS])
-    return df.mapInArrow(make_mapper(hist, HISTORY, keep), schema)
+    schema = StructType([f for f in df.schema.fields if f.name != hist] + [StructField(c, DoubleType()) for c in outs])
+    mapper = make_mapper(hist, HISTORY, keep, e2_part=list(spec.part) if with_e2 else None, extra=extra)
+    return df.mapInArrow(mapper, schema)
 
 
 def rsi_stream(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = 14, name: str = "rsi_14") -> DataFrame:
@@ -165,19 +175,22 @@ def bollinger(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = 20, k: float = 2
     )
 
 
-def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, ema_method: str | None = None) -> DataFrame:
+def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, ema_method: str | None = None, with_ema: bool = True,
+           extra_history: int = 0) -> DataFrame:
     """The 15 stream indicators (no gate; see :func:`warm_rows`).
 
     Adds ``rn`` (row number in the series) unless present, and ``n_sym`` (rows
     in the symbol) unless present.  Every window shares one partition/order
     spec, so the plan has a single exchange + sort on the series key.
+    ``with_ema=False`` stops before the EMA step and keeps the frame ``_h``
+    (``60 + extra_history`` closes) for :func:`ema_macd` after further windows.
     """
     df = bars
     if "rn" not in df.columns:
         df = df.withColumn("rn", F.row_number().over(spec.base()).cast("long"))
     if "n_sym" not in df.columns:
         df = df.withColumn("n_sym", F.count(F.lit(1)).over(spec.whole()).cast("long"))
-    df = with_history(df, spec)
+    df = with_history(df, spec, n=HISTORY + extra_history)
     df = sma(df, 5, spec=spec)
     df = sma(df, 10, spec=spec)
     df = true_range(df, spec)
@@ -188,9 +201,11 @@ def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, ema_method: str | None = N
     df = df.withColumn("volume_ratio", tdiv(F.col("volume"), F.col("vma_10")))
     df = rsi_stream(df, spec)
     df = price_change(df, spec)
-    df = ema_macd(df, spec, method=ema_method)   # after the other windows: one sort
+    if with_ema:   # last: the map's output is no longer known to be partitioned
+        df = ema_macd(df, spec, method=ema_method, extra=extra_history)
     for c in INDICATOR_COLS:           # C2: NaN / Inf never leave the operator
-        df = df.withColumn(c, nan_to_null(F.col(c)))
+        if c in df.columns:
+            df = df.withColumn(c, nan_to_null(F.col(c)))
     df = df.withColumn(
         "is_enriched", (F.col("rn") >= FIRST_EMITTED) & (F.col("n_sym") >= HISTORY)
     )

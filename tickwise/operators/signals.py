@@ -23,6 +23,10 @@ REQUIRED_COLS = [
     "close", "volume", "sma_10", "macd_line", "macd_signal", "atr_14", "momentum",
     "bb_upper", "bb_lower", "volume_ratio", "rsi_14", "price_change", "price_change_pct",
 ]
+# MACD columns are not window-checked: when the current row's value is
+# missing, E2 is missing and the row is dropped anyway (C9); when it is present
+# the 60-row window is not entirely null.  This lets the MACD come last.
+WINDOW_CHECKED = [c for c in REQUIRED_COLS if c not in ("macd_line", "macd_signal")]
 SIGNAL_OUT = (
     ["symbol", "ts", "date", "time", "open", "high", "low", "close", "volume",
      "sma_10", "macd_line", "macd_signal", "atr_14", "momentum", "bb_upper", "bb_lower",
@@ -198,7 +202,8 @@ def ready_flags(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
     """
     ok = F.col("rn") >= SIGNAL_READY
     for c in REQUIRED_COLS:
-        ok = ok & (F.col("rn") - last_present_rn(c, spec) < HISTORY)
+        if c in WINDOW_CHECKED:
+            ok = ok & (F.col("rn") - last_present_rn(c, spec) < HISTORY)
     return df.withColumn("_ready", ok)
 
 
@@ -237,23 +242,36 @@ def score(df: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def signal_table(enriched: DataFrame, spec: SeriesSpec = PLAIN, extra: tuple[str, ...] = ()) -> DataFrame:
+def signal_table(enriched: DataFrame, spec: SeriesSpec = PLAIN, extra: tuple[str, ...] = (),
+                 ema_method: str | None = None) -> DataFrame:
     """SIGNAL rows for every ready bar; rows with any missing signal are dropped.
 
     ``enriched`` is the ungated output of :func:`tickwise.operators.indicators.enrich`
-    (all rows, so windows can look back).  Windows share the series spec, so
-    this adds no exchange to the indicator plan.
+    (all rows, so windows can look back), preferably with ``with_ema=False,
+    extra_history=14``: then every window runs first and the EMA/MACD step
+    (which also yields E2) runs last, so the plan keeps one exchange on the
+    series key.  A frame that already has the MACD columns is also accepted.
     """
+    from tickwise.operators import indicators as ind
+
     spark = enriched.sparkSession
     df = ready_flags(enriched, spec)
     df = momentum_strength(df, spec)
-    df = macd_alignment(df, spec)
     df = rsi_reversion(df, spec)
     df = bollinger_dynamics(df, spec)
     df = volume_conviction(df, spec)
     df = trend_quality(df, spec)
     df = volatility_regime(df, spec)
     df = volume_stats(df, spec)
+    if "macd_line" in df.columns:
+        df = macd_alignment(df, spec)
+    else:
+        method = ema_method or ind.EMA_METHOD
+        df = ind.ema_macd(df, spec, method=method, extra=ind.E2_BACK, with_e2=(method == "arrow"))
+        for c in ("ema_7", "ema_11", "macd_line", "macd_signal"):
+            df = df.withColumn(c, nan_to_null(F.col(c)))
+        if method != "arrow":
+            df = macd_alignment(df, spec)
     for c in SIGNAL_COLS:
         df = df.withColumn(c, nan_to_null(F.col(c)))
     df = df.filter(F.col("_ready"))

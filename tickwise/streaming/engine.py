@@ -79,19 +79,22 @@ class BarStream:
         ).drop("_base").withColumn("emitted", F.lit(False)).withColumn("is_new", F.lit(True))
         hist = new if prev is None else prev.withColumn("is_new", F.lit(False)).unionByName(new)
         hist = hist.withColumn("n_sym", F.max("rn").over(Window.partitionBy("symbol")))
-        enr = ind.enrich(hist).persist()
+        base = ind.enrich(hist, with_ema=False, extra_history=ind.E2_BACK).persist()
+        enr = ind.ema_macd(base, extra=ind.E2_BACK)
+        for c in ("ema_7", "ema_11", "macd_line", "macd_signal"):
+            enr = enr.withColumn(c, F.when(F.isnan(c), None).otherwise(F.col(c)))
         release = F.col("is_enriched") & ~F.col("emitted")
         out_cols = ind.BAR_COLS + ind.INDICATOR_COLS + ["rn", "is_enriched"]
         enr.filter(release).select(*out_cols).write.mode("overwrite").parquet(f"{self.root}/enriched/batch_id={batch_id}")
         if self.with_signals:
-            sig = sg.signal_table(enr, extra=("is_new",)).filter("is_new").drop("is_new")
+            sig = sg.signal_table(base, extra=("is_new",)).filter("is_new").drop("is_new")
             sig.write.mode("overwrite").parquet(f"{self.root}/signals/batch_id={batch_id}")
             sk.upsert_latest(spark.read.parquet(f"{self.root}/signals/batch_id={batch_id}"), f"{self.root}/latest_signal", batch_id)
         state = enr.withColumn("emitted", F.col("emitted") | F.col("is_enriched")).filter(
             F.col("rn") > F.col("n_sym") - F.lit(self.keep)
         ).select(*STATE_COLS)
         state.write.mode("overwrite").parquet(self.state_path(batch_id))
-        enr.unpersist()
+        base.unpersist()
         self.batches.append({"batch_id": batch_id, "rows": None, "seconds": time.time() - t0})
 
 
