@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,10 +31,23 @@ def parse_ts(col) -> Column:
     ).cast("timestamp_ntz")
 
 
-def head_per_symbol(df: DataFrame, n: int = 52_000, order: str = "ts") -> DataFrame:
-    """First ``n`` rows of each symbol (a feature of the document build, not a work cap)."""
-    w = Window.partitionBy("symbol").orderBy(order)
-    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+def head_per_symbol(df: DataFrame, n: int = 52_000) -> DataFrame:
+    """First ``n`` rows of each symbol by time (a feature of the document build, not a work cap).
+
+    Row numbers come from the series layout (count table per symbol and hour),
+    so a symbol holding most rows is not ranked in one task.
+    """
+    from tickwise.operators import chunking
+
+    if "rn" in df.columns:
+        return df.filter(F.col("rn") <= n)
+    # chunks of n rows: in the plain layout every symbol has at most n rows;
+    # a filter on the global row number needs no halo rows
+    lay = chunking.layout(df, max(n, 1), halo=0)
+    rows = lay.rows
+    if "rn" not in rows.columns:
+        rows = rows.withColumn("rn", F.row_number().over(lay.spec.base()))
+    return lay.own(rows.filter(F.col("rn") <= n)).drop("rn", "n_sym")
 
 
 def conform(df: DataFrame, cols: list[str]) -> DataFrame:

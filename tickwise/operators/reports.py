@@ -51,10 +51,22 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def tail_per_symbol(df: DataFrame, n: int, order: str = "ts") -> DataFrame:
-    """Newest ``n`` rows per symbol (bounded trim)."""
-    w = Window.partitionBy("symbol").orderBy(F.desc(order))
-    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+def tail_per_symbol(df: DataFrame, n: int) -> DataFrame:
+    """Newest ``n`` rows per symbol by time (bounded trim).
+
+    Uses global row numbers and symbol sizes from the series layout (count
+    table per symbol and hour), so no task ranks a whole hot symbol.
+    """
+    from tickwise.operators import chunking
+
+    if "rn" not in df.columns or "n_sym" not in df.columns:
+        lay = chunking.layout(df.drop(*[c for c in ("rn", "n_sym") if c in df.columns]))
+        rows = lay.rows
+        if "rn" not in rows.columns:
+            rows = rows.withColumn("rn", F.row_number().over(lay.spec.base())).withColumn(
+                "n_sym", F.count(F.lit(1)).over(lay.spec.whole()))
+        return lay.own(rows.filter(F.col("rn") > F.col("n_sym") - F.lit(n))).drop("rn", "n_sym")
+    return df.filter(F.col("rn") > F.col("n_sym") - F.lit(n))
 
 
 def keep_last(arr: str, n: int):
