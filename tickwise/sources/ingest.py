@@ -179,7 +179,7 @@ def load_bars(csv_bars: DataFrame) -> DataFrame:
 def bar_record(df: DataFrame) -> DataFrame:
     """BAR rows -> the reference's 8-field record (Date as yyyyMMdd number)."""
     return df.select(
-        "symbol", "ts",
+        "symbol", "ts", *[c for c in ("rn",) if c in df.columns],
         F.struct(F.col("symbol").alias("Type"), F.col("date").cast("long").alias("Date"), F.col("time").alias("Time"),
                  "open", "high", "low", "close", "volume").alias("bar"),
     )
@@ -192,7 +192,15 @@ def documents_wide(bars: DataFrame, start: str = DOC_EPOCH, suffix: str = ".csv"
     has no entry.  The n-way full outer join of the reference is one shuffle
     on the ordinal here.
     """
-    rec = bar_record(bars).withColumn("ordinal", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("long"))
+    from tickwise.operators import chunking
+
+    # ordinal = global row number - 1 from the series layout (no whole-symbol window)
+    lay = chunking.layout(bars.drop(*[c for c in ("rn", "n_sym") if c in bars.columns]), halo=0)
+    rows = lay.rows
+    if "rn" not in rows.columns:
+        rows = rows.withColumn("rn", F.row_number().over(lay.spec.base()))
+    rows = lay.own(rows)
+    rec = bar_record(rows).withColumn("ordinal", (F.col("rn") - 1).cast("long"))
     docs = rec.groupBy("ordinal").agg(
         F.map_from_entries(F.collect_list(F.struct(F.concat("symbol", F.lit(suffix)), "bar"))).alias("bars")
     )
