@@ -581,3 +581,46 @@ def c01_normalized_bars(spark, sf_dir):
     """C1 + C3: normalised decoded bars and the document time parsed from ISO text."""
     out = cl.normalize_bars(hourly_messages(spark, sf_dir))
     return out.select("symbol", "ts", "date", "time", "partition", "offset", cl.parse_ts("doc_ts").alias("doc_time"))
+
+
+# ---------------------------------------------------------------------------
+# 2.K streaming: the stream must give the batch tables (same oracles)
+# ---------------------------------------------------------------------------
+
+MSG_SCHEMA = "key string, value string, partition int, offset long, timestamp timestamp_ntz"
+
+
+def replay_stream(spark, sf_dir, slices: int = 3):
+    """K8 + K1 + K2/K4: write the hourly bars as message files in ``slices`` arrivals,
+    drain them with ``availableNow`` (one file per trigger) and return the output folder."""
+    import time
+
+    from tickwise.session import shared_path
+    from tickwise.streaming import engine
+
+    root = shared_path(spark, "replay")
+    msgs = ig.to_messages(ig.documents_wide(fx.bars_hourly(spark, sf_dir)))
+    n = msgs.count()
+    size = max(1, -(-n // slices))
+    ordinal = F.col("offset") * 3 + F.col("partition")
+    for k in range(slices):     # arrival order is modification-time order for the file source
+        msgs.filter(F.floor(ordinal / size) == k).coalesce(1).write.mode("append").parquet(f"{root}/messages")
+        time.sleep(1.1)
+    stream = engine.bars_from_messages(spark, f"{root}/messages", "parquet", max_per_trigger=1, schema=MSG_SCHEMA)
+    q, _ = engine.start(stream, root=f"{root}/out", trigger={"availableNow": True})
+    q.awaitTermination()
+    return f"{root}/out"
+
+
+@register("k02_stream_enriched_hourly", ORACLE["d27_enriched_hourly"])
+def k02_stream_enriched_hourly(spark, sf_dir):
+    """K2: rows released by the streaming warm-up gate equal the batch D27 rows."""
+    out = replay_stream(spark, sf_dir)
+    return round_doubles(spark.read.parquet(f"{out}/enriched").select(*ENR_COLS))
+
+
+@register("k04_stream_signals_hourly", ORACLE["e11_signal_table_hourly"])
+def k04_stream_signals_hourly(spark, sf_dir):
+    """K4: signals produced by the stream equal the batch E11 table."""
+    out = replay_stream(spark, sf_dir)
+    return round_doubles(spark.read.parquet(f"{out}/signals").select(*sg.SIGNAL_OUT))
