@@ -624,3 +624,48 @@ def k04_stream_signals_hourly(spark, sf_dir):
     """K4: signals produced by the stream equal the batch E11 table."""
     out = replay_stream(spark, sf_dir)
     return round_doubles(spark.read.parquet(f"{out}/signals").select(*sg.SIGNAL_OUT))
+
+
+# ---------------------------------------------------------------------------
+# 2.A file paths: bars written as the reference's raw lines / CSV and read back
+# ---------------------------------------------------------------------------
+
+def _raw_lines(bars):
+    """BAR rows as the reference's 8-field text lines (Type,Date,Time,o,h,l,c,v)."""
+    return bars.select("symbol", F.concat_ws(",", "symbol", "date", "time", *[F.col(c).cast("string") for c in
+                                                                            ("open", "high", "low", "close", "volume")]).alias("value"))
+
+
+@register(
+    "a05_line_quality",
+    f"SELECT symbol, CAST(count(*) AS BIGINT) AS valid_lines, CAST(0 AS BIGINT) AS invalid_lines FROM ({q.BARS_HOURLY}) GROUP BY ROLLUP (symbol)",
+)
+def a05_line_quality(spark, sf_dir):
+    """A4 + A5 + G9: raw lines per symbol folder validated (exactly 8 fields), with a total row."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "lines")
+    _raw_lines(fx.bars_hourly(spark, sf_dir)).write.partitionBy("symbol").text(path)
+    lines = ig.read_bar_lines(spark, path).withColumn(
+        "symbol", F.regexp_extract("file_path", r"/symbol=([^/]+)/", 1))
+    per = lines.groupBy("symbol").agg(F.count_if("is_valid").alias("valid_lines"), F.count_if(~F.col("is_valid")).alias("invalid_lines"))
+    total = per.agg(F.lit(None).cast("string").alias("symbol"), F.sum("valid_lines").alias("valid_lines"),
+                    F.sum("invalid_lines").alias("invalid_lines"))
+    return per.unionByName(total)
+
+
+@register(
+    "a08_csv_round_trip",
+    f"SELECT symbol, ts, {r6_select(['open','high','low','close','volume'], BAR_DOUBLES)}, date, time FROM ({q.BARS_HOURLY})",
+)
+def a08_csv_round_trip(spark, sf_dir):
+    """B9 + A6 + A8: bars as reference-layout CSV with header, header detected, ts from Date + Time."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "csv")
+    bars = fx.bars_hourly(spark, sf_dir)
+    ref = bars.select(F.col("symbol").alias("Type"), F.col("date").cast("long").alias("Date"), F.col("time").alias("Time"),
+                      "open", "high", "low", "close", "volume")
+    ref.write.option("header", "true").csv(path)
+    back = ig.load_bars(ig.read_bars_csv(spark, path))
+    return round_doubles(back)
