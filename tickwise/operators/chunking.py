@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +95,10 @@ def layout(bars: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS, halo: i
         return Layout(bars, PLAIN, False)
     if chunk_rows < halo:
         raise ValueError(f"chunk_rows ({chunk_rows}) must be >= halo ({halo})")
-    # The bars are read twice (sizes, then the windows): keep them for the
-    # second read (memory and disk; recomputed from lineage if a block is lost).
-    bars = bars.persist(StorageLevel.MEMORY_AND_DISK)
+    # The bars are read twice (sizes, then the windows): materialise them once
+    # in the shared checkpoint folder (survives executor loss, no cached blocks
+    # left behind in a long-running application).
+    bars = cut_lineage(bars)
     counts = cut_lineage(bucket_counts(bars, unit))
     biggest = counts.agg(F.max("n_sym")).first()[0] or 0
     if biggest <= chunk_rows and not force:
