@@ -95,6 +95,9 @@ def ema_macd(df: DataFrame, spec: SeriesSpec = PLAIN, hist: str = "_h", method:
     whose output Spark no longer knows to be partitioned by the series key.
     """
     method = method or EMA_METHOD
+    if hist not in df.columns:
+        # collected last: earlier window operators would copy the array with every row
+        df = with_history(df, spec, n=HISTORY + extra, name=hist)
     if method == "fold":
         h = F.col(hist) if extra == 0 else F.slice(F.col(hist), F.greatest(F.size(hist) - F.lit(HISTORY - 1), F.lit(1)), F.lit(HISTORY))
         out = df.withColumn("_hf", h).withColumn("_acc", F.expr(ema_fold_sql("_hf", "spark")))
@@ -182,15 +185,14 @@ def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, ema_method: str | None = N
     Adds ``rn`` (row number in the series) unless present, and ``n_sym`` (rows
     in the symbol) unless present.  Every window shares one partition/order
     spec, so the plan has a single exchange + sort on the series key.
-    ``with_ema=False`` stops before the EMA step and keeps the frame ``_h``
-    (``60 + extra_history`` closes) for :func:`ema_macd` after further windows.
+    ``with_ema=False`` stops before the EMA step (:func:`ema_macd` collects the
+    ``60 + extra_history``-row frame itself, as the last window).
     """
     df = bars
     if "rn" not in df.columns:
         df = df.withColumn("rn", F.row_number().over(spec.base()).cast("long"))
     if "n_sym" not in df.columns:
         df = df.withColumn("n_sym", F.count(F.lit(1)).over(spec.whole()).cast("long"))
-    df = with_history(df, spec, n=HISTORY + extra_history)
     df = sma(df, 5, spec=spec)
     df = sma(df, 10, spec=spec)
     df = true_range(df, spec)
