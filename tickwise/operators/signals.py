@@ -267,6 +267,13 @@ def signal_table(enriched: DataFrame, spec: SeriesSpec = PLAIN, extra: tuple[str
         df = macd_alignment(df, spec)
     else:
         method = ema_method or ind.EMA_METHOD
+        if method == "arrow":
+            # frame first (needs every row), then only ready rows and the columns
+            # still needed cross into Python; predecessors that are filtered out
+            # are recomputed from the frame inside the map (exact).
+            df = ind.with_history(df, spec, n=ind.HISTORY + ind.E2_BACK)
+            keep = [c for c in df.columns if c not in ("n_sym", "sma_5", "vma_10", "is_enriched")]
+            df = df.filter(F.col("_ready")).select(*keep)
         df = ind.ema_macd(df, spec, method=method, extra=ind.E2_BACK, with_e2=(method == "arrow"))
         for c in ("ema_7", "ema_11", "macd_line", "macd_signal"):
             df = df.withColumn(c, nan_to_null(F.col(c)))
