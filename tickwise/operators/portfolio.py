@@ -254,7 +254,8 @@ def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, m
         .when(F.col("bucket") == "hold", F.col("current_weight"))
         .when(F.col("deployable") > 0, scaled)
     )
-    cand = cand.withColumn("target_weight", target)
+    # sells and buys both read the candidates: materialise them once
+    cand = cut_lineage(cand.withColumn("target_weight", target))
 
     # trade decision.
     t, w = F.coalesce(F.col("target_weight"), F.lit(0.0)), F.col("current_weight")
