@@ -42,6 +42,8 @@ BINS, BANDS, ROWS = 128, 32, 4
 #: least agreeing coordinates of a candidate pair
 AGREE = 78
 STAR_ROUNDS = 2
+#: rows of 16 bytes that may be broadcast; beyond, they are shuffled
+MAX_BROADCAST = 2_000_000
 _U = np.uint64
 _MULS = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 
@@ -89,8 +91,18 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """id, n_shingles, node (a digest of the set; null if empty), its band hashes, sketch bytes and the packed set."""
+def signatures(df: DataFrame, key: str, text: str, size: int, full: bool = False) -> DataFrame:
+    """id, n_shingles, node (a digest of the set; null if empty) and the set's band hashes.
+
+    With ``full`` the sketch bytes and the packed set instead of the bands.
+    """
+
+    def bands(s: np.ndarray) -> np.ndarray:
+        part = sketch(s).reshape(BANDS, ROWS)
+        band = np.arange(BANDS, dtype=np.uint64)
+        for r in range(ROWS):
+            band = mix(band * _MULS[0] + part[:, r])
+        return band.astype(np.int64)
 
     def run(batches):
         words = WordHashes()
@@ -98,33 +110,16 @@ def signatures(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
             if len(words) > 600_000:
                 words.clear()
             sets = [shingle_set(t, words, size) for t in batch.column("text").to_pylist()]
-            bands, agree = [], []
-            for s in sets:
-                if not len(s):
-                    bands.append(np.zeros(0, np.int64))
-                    agree.append(b"")
-                    continue
-                k = sketch(s)
-                part = k.reshape(BANDS, ROWS)
-                band = np.arange(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    band = mix(band * _MULS[0] + part[:, r])
-                bands.append(band.astype(np.int64))
-                agree.append(mix(k).astype(np.uint8).tobytes())
-            node = [np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(node, pa.int64()),
-                    pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(agree, pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                names=["id", "n_shingles", "node", "bands", "agree", "items"],
-            )
-
-    schema = "id long, n_shingles long, node long, bands array<long>, agree binary, items binary"
+            node = [np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None for s in sets]
+            out = {"id": batch.column("id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array(node, pa.int64())}
+            if full:
+                out["agree"] = pa.array([mix(sketch(s)).astype(np.uint8).tobytes() if len(s) else b"" for s in sets], pa.binary())
+                out["items"] = pa.array([s.tobytes() for s in sets], pa.binary())
+            else:
+                out["bands"] = pa.array([bands(s) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(out)
+
+    schema = "id long, n_shingles long, node long, " + ("agree binary, items binary" if full else "bands array<long>")
     return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -236,13 +231,8 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataF
     return salted_join(x, y, ["token"], on=F.expr(fits)).select("a", "b").dropDuplicates()
 
 
-def linked(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the nodes that share a bucket with another; ``nodes`` has one row per distinct set."""
-    buckets = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "h"))
-    shared = buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h")
-    members = stash(salted_join(buckets, shared, ["band", "h"]), "members")
-    inside = members.select("node").dropDuplicates()
-    nodes = stash(nodes.join(inside, "node", "left_semi").select("node", "n_shingles", "agree", "items"), "nodes")
+def linked(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of ``nodes`` (one row per distinct set that shares a bucket); members are their buckets."""
     state = nodes.select("node", F.col("node").alias("root"))
     links = None
     for turn in range(STAR_ROUNDS + 1):
@@ -257,17 +247,32 @@ def linked(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``df``; component_id is the least id that can be reached."""
+    """(id, n_shingles, component_id) of every row of ``df``; component_id is the least id that can be reached.
+
+    Texts are read twice: for the sketches of all rows, and for the full sets
+    of the rows that represent a set with a candidate.
+    """
     sets = stash(signatures(df, key, text, size), "sets")
     slim = sets.select("id", "n_shingles", "node")
-    classes = stash(slim.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
-    # one row per distinct set: that of the least id (repeated rows of that id are equal)
-    full = sets.where("node IS NOT NULL").join(classes.select("node", F.col("least").alias("id")), ["node", "id"], "left_semi")
-    state = linked(full.dropDuplicates(["node"]), percent)
+    classes = stash(slim.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least")), "classes")
+    bands = sets.where("node IS NOT NULL").select("node", "bands").dropDuplicates(["node"])
+    buckets = stash(bands.select("node", F.posexplode("bands").alias("band", "h")), "buckets")
+    shared = buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h")
+    members = stash(salted_join(buckets, shared, ["band", "h"]), "members")
+    inside = stash(members.select("node").dropDuplicates().join(classes, "node"), "inside")
+    few = inside.count() <= MAX_BROADCAST
+    side = lambda d: F.broadcast(d) if few else d
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    ids = inside.select(F.col("least").alias("id"), F.lit(True).alias("y")).dropDuplicates()
+    chosen = rows.join(side(ids), rows["id"].eqNullSafe(ids["id"]), "left_semi")
+    full = signatures(chosen, "id", "text", size, full=True).join(side(inside.select("node")), "node", "left_semi")
+    nodes = stash(full.select("node", "n_shingles", "agree", "items").dropDuplicates(["node"]), "nodes")
+    state = linked(members, nodes, percent)
     rooted = classes.join(state, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rooted = stash(rooted, "rooted")
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    rooted = stash(salted_join(stash(rooted, "rooted"), lowest, ["root"]).select("node", "component_id"), "final")
-    some = salted_join(stash(slim.where("node IS NOT NULL"), "slim"), rooted, ["node"])
+    final = stash(salted_join(rooted, lowest, ["root"]).select("node", "component_id"), "final")
+    some = salted_join(stash(slim.where("node IS NOT NULL"), "slim"), final, ["node"])
     none = slim.where("node IS NULL").withColumn("component_id", F.col("id"))
     cols = ["id", "n_shingles", "component_id"]
     return some.select(*cols).unionByName(none.select(*cols))
