@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import hot_keys, salted_join, stash, text_slices
+from tickwise.llm.common import SALTS, hot_keys, salted_join, stash, text_slices
 
 BINS, BANDS, ROWS = 128, 32, 4
 #: least agreeing coordinates of a candidate pair
@@ -124,15 +124,15 @@ def signatures(df: DataFrame, key: str, text: str, size: int, full: bool = False
 
 
 def pair_filter(pairs: DataFrame, test) -> DataFrame:
-    """Pairs (a, b) of the rows for which ``test`` of the two packed columns x and y holds."""
+    """Pairs (a, b, salt) of the rows for which ``test`` of the two packed columns x and y holds."""
 
     def run(batches):
         for batch in batches:
             keep = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"))]
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(mask) for c in ("a", "b", "salt")})
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "salt", "x", "y").mapInArrow(run, "a long, b long, salt int")
 
 
 def sketches_agree(x, y) -> bool:
@@ -148,18 +148,26 @@ def similar(percent: int):
     return test
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links among candidate pairs (a, b); ``a`` may be hot.  Sizes, then sketches, then the full sets decide."""
+def verify(pairs: DataFrame, nodes: DataFrame, percent: int, sketched: bool = True) -> DataFrame:
+    """Links among candidate pairs (a, b); ``a`` may be hot and is salted once.
+
+    Sizes, then (if ``sketched``) sketches, then the full sets decide.
+    """
     pairs = stash(pairs, "pairs")
     hot = stash(hot_keys(pairs, ["a"]), "hot")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0)
+    pairs = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", salt.alias("salt"))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
 
     def joined(pairs: DataFrame, column: str) -> DataFrame:
         one = lambda s, v: nodes.select(F.col("node").alias(s), F.col(column).alias(v), F.col("n_shingles").alias(f"n_{s}"))
-        out = salted_join(pairs, one("a", "x"), ["a"], hot=hot).join(one("b", "y"), "b")
+        left = one("a", "x").join(F.broadcast(hot), "a", "left").withColumn("salt", F.explode(salts)).drop("_hot")
+        out = pairs.join(left, ["a", "salt"]).join(one("b", "y"), "b")
         return out.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
-    near = stash(pair_filter(joined(pairs, "agree"), sketches_agree), "near")
-    return stash(pair_filter(joined(near, "items"), similar(percent)), "links")
+    if sketched:
+        pairs = stash(pair_filter(joined(pairs, "agree"), sketches_agree), "near")
+    return stash(pair_filter(joined(pairs, "items"), similar(percent)).select("a", "b"), "links")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -238,7 +246,7 @@ def linked(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     for turn in range(STAR_ROUNDS + 1):
         at = members.join(state, "node")
         pairs = star_pairs(at, turn) if turn < STAR_ROUNDS else remaining_pairs(at, nodes, percent)
-        found = verify(pairs, nodes, percent)
+        found = verify(pairs, nodes, percent, sketched=turn < STAR_ROUNDS)  # the last pairs have passed an exact filter
         if found.isEmpty():
             continue
         links = found if links is None else stash(links.unionByName(found), "links")
