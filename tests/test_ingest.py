@@ -35,7 +35,11 @@ def test_bar_lines_and_quality(spark, tmp_dir):
 def test_csv_header_detection_and_load(spark, tmp_dir):
     _write(f"{tmp_dir}/h/ACC.csv", "Type,Date,Time,open,high,low,close,volume\nACC,20170801,09:16,1,2,0.5,1.5,10\n")
     _write(f"{tmp_dir}/n/ACC.csv", "ACC,20170801,09:16,1,2,0.5,1.5,10\n")
-    assert ig.has_header(spark, f"{tmp_dir}/h") and not ig.has_header(spark, f"{tmp_dir}/n")
+    _write(f"{tmp_dir}/g/x.csv", "a,1,b\n")
+    found = {r.file_path.split("/")[-2]: r for r in ig.csv_structure(ig.csv_lines(spark, tmp_dir)).collect()}
+    assert [found[k].has_header for k in "hng"] == [True, False, False]
+    assert found["g"].columns == ["col_0", "col_1", "col_2"] and found["n"].columns[0] == "Type"
+    assert ig.read_bars_csv(spark, tmp_dir, "ACC.csv").count() == 2
     for d in ("h", "n"):
         b = ig.load_bars(ig.read_bars_csv(spark, f"{tmp_dir}/{d}")).first()
         assert (b.symbol, str(b.ts), b.close) == ("ACC", "2017-08-01 09:16:00", 1.5)
@@ -49,7 +53,7 @@ def test_symbol_folders_and_provenance(spark, tmp_dir):
     assert sorted(r[0] for r in bars.select("folder_symbol").collect()) == ["AAA", "BBB"]
     assert [r[0] for r in missing.collect()] == ["CCC"]
     names = ig.provenance_names(ig.file_listing(spark, f"{tmp_dir}/root"), f"{tmp_dir}/root")
-    assert sorted(r.new_name for r in names.collect()) == ["AAA.txt_part.csv", "BBB_part.csv"]
+    assert sorted(r.new_name for r in names.collect()) == ["root_AAA.txt_part.csv", "root_BBB_part.csv"]
 
 
 def test_explode_bad_documents(spark):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: largest limit that Spark applies before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold)
+RANK_LIMIT = 1000
+
 
 def normalize_bars(df: DataFrame) -> DataFrame:
     """Null text -> '', null partition / offset -> 0, null source time -> now."""
@@ -34,13 +37,17 @@ def parse_ts(col) -> Column:
 def head_per_symbol(df: DataFrame, n: int = 52_000) -> DataFrame:
     """First ``n`` rows of each symbol by time (a feature of the document build, not a work cap).
 
-    Row numbers come from the series layout (count table per symbol and hour),
+    For small ``n`` a rank limit: every task keeps its first ``n`` rows per
+    symbol before the shuffle.  Beyond, row numbers come from the series layout,
     so a symbol holding most rows is not ranked in one task.
     """
     from tickwise.operators import chunking
 
     if "rn" in df.columns:
         return df.filter(F.col("rn") <= n)
+    if n <= RANK_LIMIT:
+        oldest = Window.partitionBy("symbol").orderBy("ts", *[c for c in df.columns if c not in ("symbol", "ts")])
+        return df.withColumn("_r", F.row_number().over(oldest)).filter(F.col("_r") <= n).drop("_r")
     # chunks of n rows: in the plain layout every symbol has at most n rows;
     # a filter on the global row number needs no halo rows
     lay = chunking.layout(df, max(n, 1), halo=0)

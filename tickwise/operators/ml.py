@@ -286,18 +286,19 @@ def sample_errors(df: DataFrame, y: str = "y", p: str = "prediction") -> DataFra
 
 
 def error_histogram(df: DataFrame, bins: int = 50, err: str = "error") -> DataFrame:
-    """Counts in ``bins`` equal-width bins over [min, max] of the error.
+    """Counts in ``bins`` equal-width bins over [min, max] of the error, empty bins included.
 
-    The two bounds are one small aggregate read back as literals.
+    The errors are materialised once; bounds and bins are one-row and
+    ``bins``-row tables.  Without errors there are no bins.
     """
-    lo, hi = df.agg(F.min(err), F.max(err)).first()
-    if lo is None:
-        return df.sparkSession.createDataFrame([], "bin int, count long, bin_start double")
-    width = (hi - lo) / bins
-    idx = F.lit(0) if width <= 0 else F.least(F.floor((F.col(err) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
-    return df.withColumn("bin", idx.cast("int")).groupBy("bin").agg(F.count(F.lit(1)).alias("count")).withColumn(
-        "bin_start", F.lit(lo) + F.lit(width) * F.col("bin")
-    )
+    errors = cut_lineage(df.select(F.col(err).alias("_e")).where("_e IS NOT NULL"))
+    bounds = errors.agg(F.min("_e").alias("lo"), F.max("_e").alias("hi")).where("lo IS NOT NULL")
+    bounds = F.broadcast(bounds.select("lo", ((F.col("hi") - F.col("lo")) / F.lit(bins)).alias("width")))
+    place = F.when(F.col("width") > 0, F.least(F.floor((F.col("_e") - F.col("lo")) / F.col("width")), F.lit(bins - 1))).otherwise(F.lit(0))
+    counts = errors.join(bounds).select(place.cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(bounds)
+    return every.join(counts, "bin", "left").select(
+        "bin", F.coalesce("n", F.lit(0)).cast("long").alias("count"), (F.col("lo") + F.col("width") * F.col("bin")).alias("bin_start"))
 
 
 def prepare(bars: DataFrame, chunk_rows: int | None = chunking.DEFAULT_CHUNK_ROWS, method: str = "standard",

@@ -29,8 +29,8 @@ def count_in_range(df: DataFrame, start, end, by: str = "symbol", col: str = "ts
 
 def first_record(df: DataFrame, col: str = "ts") -> DataFrame:
     """Earliest record over all time and the all-time count."""
-    others = [c for c in df.columns]
-    return df.agg(F.min_by(F.struct(*others), F.col(col)).alias("first"), F.count(F.lit(1)).alias("rows")).select("first.*", "rows")
+    order = F.struct(col, *[c for c in df.columns if c != col])  # ties by the other columns
+    return df.agg(F.min_by(F.struct(*df.columns), order).alias("first"), F.count(F.lit(1)).alias("rows")).select("first.*", "rows")
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:
@@ -54,19 +54,13 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
 def tail_per_symbol(df: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` rows per symbol by time (bounded trim).
 
-    Uses global row numbers and symbol sizes from the series layout (count
-    table per symbol and hour), so no task ranks a whole hot symbol.
+    A rank limit: every task keeps its ``n`` newest rows per symbol before the
+    shuffle, so a hot symbol does not reach one task whole.
     """
-    from tickwise.operators import chunking
-
-    if "rn" not in df.columns or "n_sym" not in df.columns:
-        lay = chunking.layout(df.drop(*[c for c in ("rn", "n_sym") if c in df.columns]))
-        rows = lay.rows
-        if "rn" not in rows.columns:
-            rows = rows.withColumn("rn", F.row_number().over(lay.spec.base())).withColumn(
-                "n_sym", F.count(F.lit(1)).over(lay.spec.whole()))
-        return lay.own(rows.filter(F.col("rn") > F.col("n_sym") - F.lit(n))).drop("rn", "n_sym")
-    return df.filter(F.col("rn") > F.col("n_sym") - F.lit(n))
+    if "rn" in df.columns and "n_sym" in df.columns:
+        return df.filter(F.col("rn") > F.col("n_sym") - F.lit(n))
+    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"), *[F.desc(c) for c in df.columns if c not in ("symbol", "ts")])
+    return df.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n).drop("_r")
 
 
 def keep_last(arr: str, n: int):

@@ -369,8 +369,8 @@ def l07_regression_metrics(spark, sf_dir):
 @register(
     "g12_error_histogram",
     _EVAL_SQL + ", er AS (SELECT prediction - y AS error FROM pr), b AS (SELECT min(error) AS lo, max(error) AS hi FROM er) "
-    "SELECT CAST(least(floor((error - lo) / ((hi - lo) / 50.0)), 49) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS count "
-    "FROM er, b GROUP BY 1",
+    "SELECT CAST(i AS INTEGER) AS bin, CAST(count(error) AS BIGINT) AS count FROM range(50) t(i) LEFT JOIN (SELECT error, "
+    "least(floor((error - lo) / ((hi - lo) / 50.0)), 49) AS k FROM er, b) ON k = i GROUP BY 1",
 )
 def g12_error_histogram(spark, sf_dir):
     """G11 + G12: per-sample errors in 50 equal-width bins."""
@@ -470,9 +470,7 @@ def g04_count_in_range(spark, sf_dir):
     f"FROM ({q.BARS_HOURLY}) ORDER BY ts, symbol LIMIT 1",
 )
 def g05_first_record(spark, sf_dir):
-    bars = fx.bars_hourly(spark, sf_dir)
-    first = bars.agg(F.min_by(F.struct(*bars.columns), F.struct("ts", "symbol")).alias("f"), F.count(F.lit(1)).alias("rows"))
-    return round_doubles(first.select("f.*", "rows"))
+    return round_doubles(rp.first_record(fx.bars_hourly(spark, sf_dir)))
 
 
 @register(
@@ -638,20 +636,19 @@ def _raw_lines(bars):
 
 @register(
     "a05_line_quality",
-    f"SELECT symbol, CAST(count(*) AS BIGINT) AS valid_lines, CAST(0 AS BIGINT) AS invalid_lines FROM ({q.BARS_HOURLY}) GROUP BY ROLLUP (symbol)",
+    f"SELECT symbol, CAST(count(*) AS BIGINT) AS valid_lines, CAST(3 * count(DISTINCT symbol) AS BIGINT) AS invalid_lines FROM ({q.BARS_HOURLY}) GROUP BY ROLLUP (symbol)",
 )
 def a05_line_quality(spark, sf_dir):
     """A4 + A5 + G9: raw lines per symbol folder validated (exactly 8 fields), with a total row."""
     from tickwise.session import shared_path
 
     path = shared_path(spark, "lines")
-    _raw_lines(fx.bars_hourly(spark, sf_dir)).write.partitionBy("symbol").text(path)
-    lines = ig.read_bar_lines(spark, path).withColumn(
-        "symbol", F.regexp_extract("file_path", r"/symbol=([^/]+)/", 1))
-    per = lines.groupBy("symbol").agg(F.count_if("is_valid").alias("valid_lines"), F.count_if(~F.col("is_valid")).alias("invalid_lines"))
-    total = per.agg(F.lit(None).cast("string").alias("symbol"), F.sum("valid_lines").alias("valid_lines"),
-                    F.sum("invalid_lines").alias("invalid_lines"))
-    return per.unionByName(total)
+    bars = fx.bars_hourly(spark, sf_dir)
+    bad = F.array(F.concat("symbol", F.lit(",20240101,00:00,1,2,3,4")), F.concat("symbol", F.lit(",20240101,00:00,1,2,3,4,5,6")), F.lit(" "))
+    _raw_lines(bars).unionByName(bars.select("symbol").distinct().select("symbol", F.explode(bad).alias("value"))).write.partitionBy("symbol").text(path)
+    files = ig.line_quality(ig.read_bar_lines(spark, path))
+    symbol = F.when(F.col("file_path").isNotNull(), F.regexp_extract("file_path", r"/symbol=([^/]+)/", 1))
+    return files.groupBy(symbol.alias("symbol")).agg(F.sum("valid_lines").alias("valid_lines"), F.sum("invalid_lines").alias("invalid_lines"))
 
 
 @register(
@@ -669,3 +666,165 @@ def a08_csv_round_trip(spark, sf_dir):
     ref.write.option("header", "true").csv(path)
     back = ig.load_bars(ig.read_bars_csv(spark, path))
     return round_doubles(back)
+
+
+_CSV_SQL = f"SELECT symbol, ts, {r6_select(['open','high','low','close','volume'], BAR_DOUBLES)}, date, time FROM ({q.BARS_HOURLY})"
+
+
+def _csv_record(bars):
+    return bars.select(F.col("symbol").alias("Type"), F.col("date").cast("long").alias("Date"), F.col("time").alias("Time"),
+                       "open", "high", "low", "close", "volume")
+
+
+@register("a06_mixed_headers", _CSV_SQL)
+def a06_mixed_headers(spark, sf_dir):
+    """A6 + A8: one folder of CSV files with and without a header; no bar is lost."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "mixed")
+    bars = fx.bars_hourly(spark, sf_dir)
+    for header in (True, False):
+        part = bars.where((F.hour("ts") < 12) == F.lit(header))
+        _csv_record(part).write.option("header", str(header).lower()).csv(f"{path}/header={header}")
+    return round_doubles(ig.load_bars(ig.read_bars_csv(spark, path, "*.csv")))
+
+
+_TAKEN = ["click", "view", "NONE"]
+
+
+@register(
+    "a07_symbol_folders",
+    f"SELECT s AS symbol, CAST(count(b.symbol) AS BIGINT) AS rows, {q.r6('coalesce(sum(b.close), 0.0)')} AS close_sum, count(b.symbol) = 0 AS missing "
+    f"FROM (VALUES ('click'), ('view'), ('NONE')) t(s) LEFT JOIN ({q.BARS_HOURLY}) b ON b.symbol = s GROUP BY 1",
+)
+def a07_symbol_folders(spark, sf_dir):
+    """Chosen symbol folders (``x.txt`` or ``x``), one with and one without headers, and the missing symbol."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "folders")
+    bars = fx.bars_hourly(spark, sf_dir)
+    for symbol, folder, header in (("click", "click.txt", "true"), ("view", "view", "false")):
+        _csv_record(bars.where(F.col("symbol") == symbol)).write.option("header", header).csv(f"{path}/{folder}")
+    found, missing = ig.read_symbol_folders(spark, path, _TAKEN)
+    per = found.groupBy(F.col("folder_symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close_sum"))
+    none = missing.select(F.col("folder_symbol").alias("symbol"), F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("close_sum"))
+    return round_doubles(per.withColumn("missing", F.lit(False)).unionByName(none.withColumn("missing", F.lit(True))))
+
+
+@register(
+    "a12_rows_per_file",
+    f"SELECT CAST(count(*) AS BIGINT) AS rows, true AS every_file FROM ({q.BARS_HOURLY})",
+)
+def a12_rows_per_file(spark, sf_dir):
+    """B9 + A12: per-symbol Parquet tables; the files' row counts add up and no file of equal name is merged."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "tables")
+    sk.write_symbol_tables(fx.bars_hourly(spark, sf_dir), path)
+    files = ig.rows_per_file(spark, path)
+    listed = ig.file_listing(spark, path, "*.parquet").agg(F.count(F.lit(1)).alias("files"))
+    got = files.agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("n"))
+    return got.join(F.broadcast(listed)).select("rows", (F.col("n") == F.col("files")).alias("every_file"))
+
+
+@register(
+    "a10_exclude_sources",
+    f"SELECT symbol, CAST(count(*) AS BIGINT) AS rows FROM ({q.BARS_HOURLY}) WHERE symbol NOT LIKE '%ie%' GROUP BY 1",
+)
+def a10_exclude_sources(spark, sf_dir):
+    """A4 + A10: raw lines of files whose path names an unwanted source are left out."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "sources")
+    _raw_lines(fx.bars_hourly(spark, sf_dir)).write.partitionBy("symbol").text(path)
+    lines = ig.read_bar_lines(spark, path).withColumn("folder", F.element_at(F.split("file_path", "/"), -2))
+    kept = ig.exclude_sources(lines, "IE", col="folder")
+    return ig.parse_bar_lines(kept).groupBy(F.col("Type").alias("symbol")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register(
+    "b02_points",
+    f"SELECT symbol, CAST(count(*) AS BIGINT) AS points, {q.r6('sum(close)')} AS close_sum, CAST(count(DISTINCT strftime(ts, '%Y-%m-%d')) AS BIGINT) AS days "
+    f"FROM ({q.BARS_HOURLY}) GROUP BY 1",
+)
+def b02_points(spark, sf_dir):
+    """B2: bar points appended by measurement and day, read back."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "points")
+    sk.append_points(fx.bars_hourly(spark, sf_dir), path, "bars")
+    back = spark.read.parquet(path).where("measurement = 'bars'")
+    return round_doubles(back.groupBy("symbol").agg(F.count(F.lit(1)).alias("points"), F.sum("close").alias("close_sum"), F.count_distinct("day").alias("days")))
+
+
+@register("b04_columnar", _CSV_SQL)
+def b04_columnar(spark, sf_dir):
+    """B4 + I3: bars appended to the columnar table clustered by symbol and time, read back without the ingest time."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "columnar")
+    sk.append_columnar(fx.bars_hourly(spark, sf_dir), path)
+    return round_doubles(spark.read.parquet(path).drop("inserted_at"))
+
+
+@register(
+    "b06_audit_lines",
+    f"SELECT symbol, ts, {q.r6('close')} AS close, CAST(7 AS BIGINT) AS batch_id FROM ({q.BARS_HOURLY})",
+)
+def b06_audit_lines(spark, sf_dir):
+    """B6 + C4: audit JSON lines written as text and parsed again."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "audit")
+    sk.to_audit_json(fx.bars_hourly(spark, sf_dir), 7).write.text(path)
+    schema = "data struct<symbol:string,ts:timestamp_ntz,close:double>, batch_id long"
+    back = spark.read.text(path).select(F.from_json("value", schema).alias("j"))
+    return round_doubles(back.select("j.data.symbol", "j.data.ts", "j.data.close", "j.batch_id"))
+
+
+@register(
+    "c13_first_hundred",
+    f"SELECT symbol, ts, {q.r6('close')} AS close FROM ({q.BARS_DAILY}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts) <= 100",
+)
+def c13_first_hundred(spark, sf_dir):
+    """A limit that binds for every symbol."""
+    return round_doubles(cl.head_per_symbol(fx.bars_daily(spark, sf_dir).select("symbol", "ts", "close"), 100))
+
+
+@register(
+    "g11_sample_errors",
+    _EVAL_SQL + f" SELECT CAST(count(*) AS BIGINT) AS n, {q.r6('avg(prediction - y)')} AS mean_error, "
+    f"{q.r6('avg(abs(prediction - y) / (abs(y) + 1e-8) * 100.0 > 50.0)')} AS over_half FROM pr".replace("avg(abs(", "avg(CAST((abs(").replace("> 50.0)", "> 50.0) AS DOUBLE))"),
+)
+def g11_sample_errors(spark, sf_dir):
+    """Error and error percent of every sample."""
+    errs = ml.sample_errors(hourly_predictions(spark, sf_dir))
+    return round_doubles(errs.agg(F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_error"),
+                                  F.avg((F.col("error_pct") > 50.0).cast("double")).alias("over_half")))
+
+
+@register(
+    "i01_union_missing",
+    f"SELECT symbol, CAST(count(*) AS BIGINT) AS rows FROM (SELECT symbol, ts FROM ({q.BARS_HOURLY}) UNION ALL SELECT symbol, ts FROM ({q.BARS_HOURLY}) "
+    "WHERE volume < 300) GROUP BY 1",
+)
+def i01_union_missing(spark, sf_dir):
+    """I1 + I2: the rows missing in a part, united by name with that part and one more copy of it."""
+    bars = fx.bars_hourly(spark, sf_dir)
+    part = bars.where("volume < 300")
+    rest = rp.rows_missing_in(bars, part, ["symbol", "ts"])
+    return rp.rows_per_symbol(rp.union_all(rest.drop("volume"), part, part.select("symbol", "ts")))
+
+
+@register(
+    "j03_sizes",
+    "SELECT CAST(count(*) AS BIGINT) AS rows, '0.50 KB' IS NULL AS none, "
+    "CASE WHEN sum(length(props)) < 1024 THEN printf('%.2f B', sum(length(props))) "
+    "WHEN sum(length(props)) < 1024 * 1024 THEN printf('%.2f KB', sum(length(props)) / 1024.0) "
+    "ELSE printf('%.2f MB', sum(length(props)) / 1048576.0) END AS size FROM events",
+)
+def j03_sizes(spark, sf_dir):
+    """A total of bytes as text."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    total = events.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("props")).alias("b"))
+    return total.select("rows", F.lit(False).alias("none"), ig.human_size("b").alias("size"))

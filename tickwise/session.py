@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "tickwise",
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "tickwise",
               driver_memory: str = "16g") -> SparkSession:
     """Build (or reuse) a session configured the way the library expects.
 
@@ -19,13 +19,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if shuffle_partitions:  # left to the cluster's setting otherwise
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", driver_memory)
+        builder.config("spark.driver.memory", driver_memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # shuffle partitions sized by data (AQE coalesces / splits around this target)
+        # AQE coalesces small partitions and splits skewed joins around this target; it cannot split a window
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.files.maxPartitionBytes", "128m")
         .config("spark.sql.session.timeZone", "UTC")
@@ -72,6 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset
             path = None
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tickwise-ckpt-")
     sc.setCheckpointDir(path)
     return path

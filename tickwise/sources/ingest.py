@@ -6,17 +6,12 @@ uses ``format("kafka")``; tests and the checked queries use files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values that must equal the reference: bar record fields and defaults.
 BAR_FIELDS = ["Type", "Date", "Time", "open", "high", "low", "close", "volume"]
-BAR_JSON = T.StructType([
-    T.StructField("Type", T.StringType()), T.StructField("Date", T.LongType()), T.StructField("Time", T.StringType()),
-    T.StructField("open", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("low", T.DoubleType()),
-    T.StructField("close", T.DoubleType()), T.StructField("volume", T.DoubleType()),
-])
 BAR_CSV_SCHEMA = "Type string, Date long, Time string, open double, high double, low double, close double, volume double"
 DOC_EPOCH = "2024-01-01 00:00:00"
 SKIP_KEYS = ("_id", "timestamp")
@@ -50,20 +45,19 @@ def parse_bar_lines(lines: DataFrame) -> DataFrame:
 
 
 def line_quality(lines: DataFrame, spark: SparkSession | None = None, path: str | None = None) -> DataFrame:
-    """A5 + G9: valid / invalid lines per file and a total row (``file_name`` null).
+    """A5 + G9: valid / invalid lines per file (by path) and a total row (``file_path`` null).
 
-    Zero-length files have no lines; pass ``path`` to count them as skipped
-    (from a ``binaryFile`` listing of lengths, no contents read).
+    Zero-length files have no lines; pass ``path`` to count them as skipped.
     """
-    per_file = lines.groupBy("file_name").agg(
+    per_file = lines.groupBy("file_path", "file_name").agg(
         F.count_if("is_valid").alias("valid_lines"), F.count_if(~F.col("is_valid")).alias("invalid_lines")
     )
-    total = per_file.agg(F.lit(None).cast("string").alias("file_name"), F.sum("valid_lines").alias("valid_lines"),
-                         F.sum("invalid_lines").alias("invalid_lines"))
+    total = per_file.agg(F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("string").alias("file_name"),
+                         F.sum("valid_lines").alias("valid_lines"), F.sum("invalid_lines").alias("invalid_lines"))
     out = per_file.unionByName(total)
     if spark is not None and path is not None:
         skipped = count_empty_files(spark, path)
-        out = out.withColumn("skipped_files", F.when(F.col("file_name").isNull(), F.lit(skipped)).otherwise(F.lit(0)).cast("long"))
+        out = out.withColumn("skipped_files", F.when(F.col("file_path").isNull(), F.lit(skipped)).otherwise(F.lit(0)).cast("long"))
     return out
 
 
@@ -111,40 +105,74 @@ def exclude_sources(df: DataFrame, pattern: str = "_nifty50_", case_sensitive: b
 
 
 def provenance_names(files: DataFrame, root: str) -> DataFrame:
-    """name = folder path joined with '_' + file name; repeats of a name get _1, _2 ..."""
-    rel = F.regexp_replace(F.col("path"), "^(file:)?" + root.rstrip("/") + "/?", "")
+    """name = root folder and folder path joined with '_' + file name; repeats of a name get _1, _2 ...
+
+    Files are grouped by their own name (extension included); numbering is by path within a group.
+    """
+    root = root.rstrip("/")
+    path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    rel = F.when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 2**31 - 1)).otherwise(path)
     parts = F.split(rel, "/")
-    folder = F.concat_ws("_", F.slice(parts, 1, F.size(parts) - 1))
     base = F.element_at(parts, -1)
-    stem = F.when(F.instr(base, ".") > 0, F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
-    ext = F.when(F.instr(base, ".") > 0, F.regexp_extract(base, r"(\.[^.]*)$", 1)).otherwise(F.lit(""))
-    name = F.when(F.length(folder) > 0, F.concat_ws("_", folder, stem)).otherwise(stem)
-    df = files.withColumn("_name", name).withColumn("_ext", ext)
-    k = F.row_number().over(Window.partitionBy("_name").orderBy("path")) - 1
-    suffix = F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("_"), k.cast("string")))
-    return df.withColumn("new_name", F.concat("_name", suffix, "_ext")).drop("_name", "_ext")
+    name = F.concat_ws("_", F.lit(root.rsplit("/", 1)[-1]), F.slice(parts, 1, F.size(parts) - 1), base)
+    df = files.withColumn("_base", base).withColumn("_name", name)
+    k = (F.row_number().over(Window.partitionBy("_base", "_name").orderBy("path")) - 1).cast("string")
+    numbered = F.when(F.instr("_name", ".") > 0, F.regexp_replace("_name", r"(\.[^.]*)$", F.concat(F.lit("_"), k, F.lit("$1"))))
+    numbered = F.coalesce(numbered, F.concat("_name", F.lit("_"), k))
+    return df.withColumn("new_name", F.when(k == "0", F.col("_name")).otherwise(numbered)).drop("_base", "_name")
 
 
 def rows_per_file(spark: SparkSession, path: str) -> DataFrame:
-    """Row count per Parquet file."""
-    return spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file_name")).count()
+    """Row count per Parquet file, by path."""
+    m = F.col("_metadata")
+    return spark.read.parquet(path).groupBy(m["file_path"].alias("file_path"), m["file_name"].alias("file_name")).count()
+
+
+def human_size(size) -> Column:
+    """A number of bytes as text with two decimals and a unit."""
+    c = F.col(size) if isinstance(size, str) else size
+    out = F.concat(F.format_string("%.2f", c / F.lit(1024.0**5)), F.lit(" PB"))
+    for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
+        out = F.when(c < 1024.0 ** (power + 1), F.concat(F.format_string("%.2f", c / F.lit(1024.0**power)), F.lit(f" {unit}"))).otherwise(out)
+    return out
 
 
 # ---------------------------------------------------------------------------
 # CSV folders
 # ---------------------------------------------------------------------------
 
-def has_header(spark: SparkSession, path: str) -> bool:
-    """A header is present unless some first-line field is all digits (a bar date)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return False
-    return not any(f.strip().isdigit() for f in first[0][0].split(","))
+def csv_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Text lines of every file below ``path`` with their file and place."""
+    r = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    m = F.col("_metadata")
+    return r.text(path).select(
+        "value", m["file_path"].alias("file_path"), m["file_name"].alias("file_name"), m["file_block_start"].alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+
+
+def csv_structure(lines: DataFrame) -> DataFrame:
+    """Per file its first line, whether that is a header, and the column names.
+
+    A header is present unless some field of the first line is all digits (a
+    bar date); without one eight columns get the bar names, others ``col_i``.
+    """
+    first = lines.where("_block = 0").groupBy("file_path").agg(F.min_by("value", "_place").alias("first_line"))
+    fields = F.transform(F.split("first_line", ","), lambda x: F.trim(x))
+    generic = F.when(F.size(fields) == len(BAR_FIELDS), F.array(*map(F.lit, BAR_FIELDS))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(fields) - 1), lambda i: F.concat(F.lit("col_"), i.cast("string"))))
+    header = ~F.exists(fields, lambda x: x.rlike("^[0-9]+$"))
+    return first.withColumn("has_header", header).withColumn("columns", F.when(header, fields).otherwise(generic))
 
 
-def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read bar CSVs with or without a header using the fixed schema."""
-    return spark.read.schema(BAR_CSV_SCHEMA).option("header", str(has_header(spark, path)).lower()).csv(path)
+def read_bars_csv(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Bar CSVs with and without headers, decided per file; only header lines are left out."""
+    lines = csv_lines(spark, path, glob)
+    heads = csv_structure(lines).where("has_header").select("file_path", F.col("first_line").alias("_head"))
+    rows = lines.join(heads, "file_path", "left").where(~F.coalesce(F.col("value") == F.col("_head"), F.lit(False)) & (F.length(F.trim("value")) > 0))
+    return rows.select(F.from_csv("value", F.lit(BAR_CSV_SCHEMA)).alias("r"), "file_path", "file_name").select("r.*", "file_path", "file_name")
 
 
 def read_symbol_folders(spark: SparkSession, root: str, symbols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -152,13 +180,12 @@ def read_symbol_folders(spark: SparkSession, root: str, symbols: list[str]) -> t
 
     Returns ``(bars, missing)`` where ``missing`` lists requested symbols without data.
     """
-    df = spark.read.schema(BAR_CSV_SCHEMA + ", _extra string").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.csv").option("header", "true").csv(root)
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    df = df.withColumn("folder_symbol", F.regexp_replace(folder, r"\.txt$", "")).filter(F.col("folder_symbol").isin(symbols))
+    bars = read_bars_csv(spark, root, "*.csv")
+    folder = F.element_at(F.split(F.col("file_path"), "/"), -2)
+    bars = bars.withColumn("folder_symbol", F.regexp_replace(folder, r"\.txt$", "")).filter(F.col("folder_symbol").isin(symbols))
     wanted = spark.createDataFrame([(s,) for s in symbols], "folder_symbol string")
-    missing = wanted.join(df.select("folder_symbol").distinct(), "folder_symbol", "left_anti")
-    return df.drop("_extra"), missing
+    missing = wanted.join(bars.select("folder_symbol").distinct(), "folder_symbol", "left_anti")
+    return bars, missing
 
 
 def load_bars(csv_bars: DataFrame) -> DataFrame:
@@ -260,29 +287,30 @@ def explode_bars(decoded: DataFrame, value_col: str = "value", strict: bool = Fa
     Skips ``_id`` / ``timestamp`` keys, null entries and entries without
     ``Type``; an unparsable document gives no rows; null prices stay null.
     ``strict=True`` drops the whole document when an entry has a bad number
-    (the reference's UDF behaviour).
+    (the reference's UDF behaviour); it is decided inside the document, so it
+    works in a stream.  Each entry is parsed once, as text.
     """
-    doc = F.from_json(F.col(value_col), "map<string,string>")
-    d = decoded.withColumn("_doc", doc).withColumn("_doc_ts", F.col("_doc")["timestamp"])
-    e = d.select("*", F.explode_outer(F.col("_doc")).alias("_k", "_v")).filter(
-        F.col("_k").isNotNull() & ~F.col("_k").isin(*SKIP_KEYS) & F.col("_v").isNotNull()
-    )
-    raw = F.from_json(F.col("_v"), "map<string,string>")
-    e = e.withColumn("_raw", raw).withColumn("_bar", F.from_json(F.col("_v"), BAR_JSON))
-    e = e.filter(F.col("_raw").isNotNull() & F.col("_raw")["Type"].isNotNull())
-    bad = F.lit(False)
-    for c in ["open", "high", "low", "close", "volume"]:
-        bad = bad | (F.col("_raw")[c].isNotNull() & F.col(f"_bar.{c}").isNull())
-    e = e.withColumn("_bad", bad)
+    text = T.StructType([T.StructField(n, T.StringType()) for n in BAR_FIELDS])
+    prices = ["open", "high", "low", "close", "volume"]
+    doc = decoded.withColumn("_doc", F.from_json(F.col(value_col), "map<string,string>"))
+    kept = F.map_filter("_doc", lambda k, v: ~k.isin(*SKIP_KEYS) & v.isNotNull())
+    entries = F.filter(F.transform(F.map_values(kept), lambda v: F.from_json(v, text)), lambda r: r["Type"].isNotNull())
+    doc = doc.withColumn("_entries", entries)
     if strict:
-        w = Window.partitionBy("partition", "offset")
-        e = e.withColumn("_doc_bad", F.max(F.col("_bad").cast("int")).over(w)).filter(F.col("_doc_bad") == 0)
+        def good(r):
+            ok = F.lit(True)
+            for c in prices:
+                ok = ok & (r[c].isNull() | r[c].try_cast("double").isNotNull())
+            return ok
+
+        doc = doc.withColumn("_entries", F.when(F.forall("_entries", good), F.col("_entries")))
+    e = doc.select("*", F.explode("_entries").alias("_bar"))
     b = F.col("_bar")
-    ts = F.try_to_timestamp(F.concat_ws(" ", b["Date"].cast("string"), b["Time"]), F.lit("yyyyMMdd HH:mm")).cast("timestamp_ntz")
+    date = b["Date"].try_cast("long").cast("string")
+    ts = F.try_to_timestamp(F.concat_ws(" ", date, b["Time"]), F.lit("yyyyMMdd HH:mm")).cast("timestamp_ntz")
     return e.select(
-        b["Type"].alias("symbol"), ts.alias("ts"), b["open"].alias("open"), b["high"].alias("high"), b["low"].alias("low"),
-        b["close"].alias("close"), b["volume"].alias("volume"), b["Date"].cast("string").alias("date"), b["Time"].alias("time"),
-        "partition", "offset", "source_ts", F.col("_doc_ts").alias("doc_ts"),
+        b["Type"].alias("symbol"), ts.alias("ts"), *[b[c].try_cast("double").alias(c) for c in prices],
+        date.alias("date"), b["Time"].alias("time"), "partition", "offset", "source_ts", F.col("_doc")["timestamp"].alias("doc_ts"),
     )
 
 

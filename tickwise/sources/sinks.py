@@ -45,7 +45,9 @@ def _read_version(spark: SparkSession, path: str, version: int) -> DataFrame | N
     jvm = spark._jvm
     hp = jvm.org.apache.hadoop.fs.Path(p)
     fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(p) if fs.exists(hp) else None
+    if not fs.exists(hp):
+        raise FileNotFoundError(f"version {version} of {path} is lost; the table cannot go on from it")
+    return spark.read.parquet(p)
 
 
 def append_points(df: DataFrame, path: str, measurement: str, tags=("symbol",), fields=None) -> None:

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tickwise.operators import indicators as ind
 from tickwise.operators import signals as sg
@@ -128,12 +129,30 @@ def start(bars_stream: DataFrame, root: str | None = None, trigger: dict | None
     return w.start(), proc
 
 
-def progress_stats(query) -> dict:
-    """Rows, batches and rates from the query's recent progress."""
-    prog = query.recentProgress or []
-    rows = sum(p.get("numInputRows", 0) for p in prog)
-    dur = sum((p.get("durationMs") or {}).get("triggerExecution", 0) for p in prog) / 1000.0
-    return {"batches": len(prog), "rows": rows, "seconds": dur, "rows_per_s": (rows / dur) if dur else None}
+class ProgressTotals(StreamingQueryListener):
+    """Exact batches, rows and seconds of every query since the listener was added (``spark.streams.addListener``)."""
+
+    def __init__(self) -> None:
+        self.batches, self.rows, self.seconds = 0, 0, 0.0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches += 1
+        self.rows += p.numInputRows
+        self.seconds += (p.durationMs or {}).get("triggerExecution", 0) / 1000.0
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def stats(self) -> dict:
+        return {"batches": self.batches, "rows": self.rows, "seconds": self.seconds,
+                "rows_per_s": self.rows / self.seconds if self.seconds else None}
 
 
 def rebalance_batch(portfolios: DataFrame, positions: DataFrame, signals_path: str, orders_path: str, max_age_s: int):
