@@ -27,6 +27,8 @@ from tickwise.llm.common import stash
 WINDOW, GRAM = 10, 5
 MAX_BROADCAST = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: the same runs in a text whose A-Z are not yet lower-cased
+WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,6 +47,8 @@ def runs(h: str, n: int) -> Column:
 
 def least_of(g: str, n: int) -> Column:
     """The least of each n consecutive values."""
+    if n == 1:
+        return F.col(g)
     starts = F.sequence(F.lit(0), F.size(g) - n)
     each = F.transform(starts, lambda i: F.least(*[F.get(F.col(g), i + k) for k in range(n)]))
     return F.when(F.size(g) >= n, each).otherwise(F.array().cast("array<long>"))
@@ -113,7 +117,7 @@ def contamination(docs: DataFrame, bench: DataFrame, doc: str = "doc_id", text:
     per_doc = stash(spans.select("k", covered("spans").alias("n_hit")).join(lists, "k"), "contaminated")
     side = F.broadcast(per_doc) if per_doc.count() <= MAX_BROADCAST // 10 else per_doc
     rows = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated").withColumn("k", F.xxhash64(F.col(doc), F.col(text)))
-    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
     out = rows.withColumn("n_words", words).join(side, "k", "left").drop("k")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)

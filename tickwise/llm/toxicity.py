@@ -43,7 +43,8 @@ SPAN = 0.5
 REJECT = 0.7
 #: bounds of the labelled rows used for training
 MAX_TOXIC, MAX_CLEAN = 1500, 4500
-MIN_SUPPORT = 4
+#: least toxic documents of a form that labels tokens; a quarter of the root of the toxic sample, if that is more
+MIN_SUPPORT = 3
 WINDOW = 6
 #: rounds of learning from mistakes on clean documents, and windows taken from a document in each
 MINING_ROUNDS, MINED = 4, 6
@@ -200,8 +201,9 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"),
     )
+    support = max(MIN_SUPPORT, int(math.sqrt(chosen.where("y = 1").count()) / 4))
     # support and ratio alone decide; texts of a bounded sample have a bounded number of forms with such support
-    seeds = sorted(r["form"] for r in counts.where(f"toxic >= {MIN_SUPPORT} AND toxic >= 50 * clean").select("form").collect())
+    seeds = sorted(r["form"] for r in counts.where(f"toxic >= {support} AND toxic >= 50 * clean").select("form").collect())
     if not seeds:
         return None
     known = frozenset(seeds)
