@@ -53,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids and their number, and whether decoding gives the text back."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS, PATTERN), RANKS, PATTERN)
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS, PATTERN), RANKS)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -30,7 +30,7 @@ from tickwise.llm.common import appended, text_slices, with_columns
 #: Fixed value: the pattern of the published rank files, for which there is a fast splitter; others run as they are.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: pieces kept per worker; the cache starts anew beyond this many
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 def byte_table() -> list[str]:
@@ -118,10 +118,6 @@ class ByteBpe:
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.classes = char_classes() if pattern == KNOWN_PATTERN else None
         self.pieces: dict[str, bytes] = {}
-        self.bytes: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        back = {c: b for b, c in enumerate(chars)}
-        for token, rank in vocab.items():
-            self.bytes[rank] = bytes(back[c] for c in token)
 
     def split(self, text: str) -> list[str]:
         return split_pieces(text, self.classes) if self.classes is not None else self.pattern.findall(text)
@@ -158,15 +154,27 @@ class ByteBpe:
             at += len(piece)
         return starts, ends
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
-
-
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes | None]:
+    """Bytes of each id: the token's printable characters back through the byte table."""
+    chars = byte_table()
+    back = {c: b for b, c in enumerate(chars)}
+    ranks = load_ranks(path)
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = bytes(back[c] for c in "".join(chars[b] for b in token))
+    return out
+
+
+def decode_ids(ids, path: str) -> bytes:
+    return b"".join(map(token_bytes(path).__getitem__, ids))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
     """All columns of ``df`` and ``ids``; with ``offsets`` also the character ``starts`` and ``ends`` of the tokens."""
     ints = pa.list_(pa.int32())
@@ -193,15 +201,14 @@ def lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``df`` and the bytes of ``ids`` as ``out`` (binary; UTF-8 where the ids cover whole characters)."""
     kept, schema = appended(df, [(out, pa.binary(), "binary")])
 
     def run(batches):
-        bpe = codec(path, pattern)
         for batch in batches:
             column = batch.column(ids)
-            values = [b"" if not v.is_valid else bpe.decode(v.values.to_pylist()) for v in column]
+            values = [b"" if not v.is_valid else decode_ids(v.values.to_pylist(), path) for v in column]
             yield with_columns(batch, kept, [(out, pa.array(values, pa.binary()))])
 
     return df.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: a key is hot from this share of the rows on; so there are at most SHARE hot keys
 SHARE = 200
 SALTS = 64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

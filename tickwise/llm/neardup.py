@@ -107,7 +107,7 @@ def signatures(df: DataFrame, key: str, text: str, size: int, full: bool = False
     def run(batches):
         words = WordHashes()
         for batch in text_slices(batches, "text"):
-            if len(words) > 600_000:
+            if len(words) > 200_000:
                 words.clear()
             sets = [shingle_set(t, words, size) for t in batch.column("text").to_pylist()]
             node = [np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None for s in sets]

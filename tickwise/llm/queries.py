@@ -75,7 +75,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN).drop("text"), RANKS, PATTERN)
+    coded = bpe.decode(bpe.encode(docs, RANKS, PATTERN).drop("text"), RANKS)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -35,7 +35,7 @@ from tickwise.llm.common import appended, text_slices, with_columns
 
 MARK = "▁"
 UNKNOWN = -20.0
-MAX_NODES = 600_000
+MAX_NODES = 300_000
 
 
 @lru_cache(maxsize=2)

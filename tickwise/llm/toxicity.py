@@ -49,10 +49,10 @@ WINDOW = 6
 #: rounds of learning from mistakes on clean documents, and windows taken from a document in each
 MINING_ROUNDS, MINED = 4, 6
 #: forms whose emission a worker keeps
-CACHE_FORMS = 500_000
+CACHE_FORMS = 200_000
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def features(form: str) -> tuple[int, ...]:
     names = ["w:" + form, f"n:{min(len(form), 12)}"]
     names += ["p:" + form[:k] for k in range(3, 7) if len(form) > k]
