@@ -63,6 +63,26 @@ def test_groups_of_a_chain_of_copies(spark):
     assert neardup.groups(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_last_pairs_miss_none_between_components(spark):
+    """The exact prefix filter: every similar pair of different components, once, none inside one; a leading component and minor ones."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 2**62, 60)
+    sets = {}
+    for i in range(120):
+        keep = base[rng.random(60) > 0.06]
+        sets[i] = np.unique(np.concatenate([keep, rng.integers(1, 2**62, 3)])).astype(np.int64)
+    root = {i: 0 if i < 90 else i % 7 for i in sets}
+    nodes = spark.createDataFrame([(i, len(v), bytearray(v.tobytes())) for i, v in sets.items()], "node long, n_shingles long, items binary")
+    members = spark.createDataFrame([(0, 5, i, root[i]) for i in sets], "band int, h long, node long, root long")
+    got = [tuple(r) for r in neardup.remaining_pairs(members, nodes, 80).collect()]
+    alike = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    want = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and alike(a, b)}
+    assert want and want <= set(got) and len(got) == len(set(got))
+    assert all(a < b and root[a] != root[b] for a, b in got)
+
+
 def test_sketch_coordinates_agree_as_the_sets_do():
     import numpy as np
 

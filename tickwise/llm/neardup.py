@@ -225,6 +225,8 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataF
     Similar sets share a shingle among the first ``n - ceil(percent * n) + 1``
     of each in the order of rising frequency, and at its places enough
     shingles are left on both sides for the overlap that the sizes ask for.
+    Of a pair in different components at least one is outside the component
+    that leads a shingle, so only those rows are joined to all of its rows.
     """
     several = members.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "h")
     open_ = salted_join(members, several, ["band", "h"]).select("node", "root").dropDuplicates()
@@ -233,10 +235,14 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataF
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token")) - 1
     first = salted_join(tokens, often, ["token"]).withColumn("i", place)
     first = stash(first.where(f"df > 1 AND 100 * (i + 1) <= {100 - percent} * n + 100").select("node", "root", "n", "token", "i"), "first")
-    x = first.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    y = first.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    fits = f"a < b AND ra <> rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
-    return salted_join(x, y, ["token"], on=F.expr(fits)).select("a", "b").dropDuplicates()
+    share = first.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    lead = share.groupBy("token").agg(F.max(F.struct("c", "root"))["root"].alias("lead"), F.count(F.lit(1)).alias("roots"))
+    first = stash(salted_join(first, lead.where("roots > 1").select("token", "lead"), ["token"]), "open")
+    x = first.select("token", "lead", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    y = first.where("root <> lead").select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    fits = f"ra <> rb AND (ra = lead OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
+    pairs = salted_join(x, y, ["token"], on=F.expr(fits))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
 
 
 def linked(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
