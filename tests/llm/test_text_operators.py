@@ -190,6 +190,26 @@ def test_main_text():
     assert htmlmain.main_text("<div>" * 5000 + "deep text") == "deep text"
 
 
+LONG = "A sentence, with commas, that is long enough to be taken for a part of an article, and not for a menu."
+
+
+@pytest.mark.parametrize("start", ["<body>", "<body><p>", "<p>", "<div>", "", "<link rel=x><body>", "<template><p>x</p></template><body>"])
+def test_open_head_ends_where_the_text_begins(start):
+    page = f"<html><head><title>T</title><meta charset=utf-8>\n{start}{LONG}<p>{LONG}"
+    assert htmlmain.main_text(page).split("\n\n") == [LONG, LONG]
+    assert htmlmain.main_text(f"<head><style>p{{}}</style><script>x</script></head>\n<body><p>{LONG}") == LONG
+
+
+def test_article_keeps_its_sources_and_named_sections():
+    links = "".join(f"<li><a href=/{i}>Source number {i} of this text</a></li>" for i in range(4))
+    page = f"<body><ul>{links}</ul><article><p>{LONG}</p><p>{LONG}</p><h2>Sources</h2><ol>{links}</ol></article>"
+    assert htmlmain.main_text(page).split("\n\n") == [LONG, LONG, "Sources", *[f"Source number {i} of this text" for i in range(4)]]
+    for name in ("related-work", "side-effects", "section-head", "socialHistory", "form_of_government"):
+        assert htmlmain.main_text(f"<article><p>{LONG}</p><section class='x {name}'><p>{LONG}</p></section></article>").count(LONG) == 2
+    for name in ("related", "related-posts", "side-bar", "socialLinks", "search-form", "page-footer", "ad"):
+        assert htmlmain.main_text(f"<article><p>{LONG}</p><section class='x {name}'><p>{LONG}</p></section></article>").count(LONG) == 1
+
+
 def test_pages_keep_every_paragraph(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     rows = htmlmain.extract(pages).withColumn("n_p", F.regexp_count("html", F.lit("<p>"))).collect()

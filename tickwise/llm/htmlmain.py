@@ -4,20 +4,24 @@ A small forgiving reader turns the page into a tree (implied ends of p, li,
 table cells and options; raw script and style contents; comments dropped).
 Subtrees that are never part of an article are cut first: menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments, hidden parts, by
-element, role, and the words of class and id, and lists made of links.
+element, role, and the words of class and id.  A word that articles use too
+("related", "form") counts only where the whole name is that of a box.
 
 Each remaining block of text gives points for its length and commas, less its
 share of link text, to its parent, half to the grandparent and less to higher
 ancestors; a container's points are discounted by its link density.  The best
 container is kept (or the article or main element around it), together with
-siblings that score a fifth of it or are long paragraphs with few links.
+siblings that score a fifth of it or are long paragraphs with few links.  Lists
+and boxes made of links go outside of what is kept, and on a page of which no
+part but the body stands out; a list of sources in an article stays.
 
 The text is every kept block in page order: character references decoded,
 runs of white space turned into one space, trimmed, empty blocks left out,
 joined by two line feeds.  Nothing else is dropped or cut.
 
 Defined results: null, empty and text-free pages give the empty text; markup
-that never ends is read as far as it goes.  Equal pages give equal texts.
+that never ends is read as far as it goes; a head without its end tag ends
+before text or an element that cannot stand in it.  Equal pages give equal texts.
 """
 
 from __future__ import annotations
@@ -51,6 +55,14 @@ CUT_WORDS = frozenset(
     subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager
     search form alert copyright hidden skip trending teaser""".split()
 )
+#: words of CUT_WORDS that name subjects as well: they count only in names of nothing but CUT_WORDS and BOX_WORDS
+WEAK_WORDS = frozenset("side rail related social form discussion share notice notices search alert foot trending comment reply".split())
+BOX_WORDS = frozenset(
+    """area articles bar block bottom box boxes button buttons col column container content entries group icons inner items left
+    links list media module news outer pages panel posts right section site stories top topics wrap wrapper""".split()
+)
+#: start tags that do not end an open head
+HEAD_TAGS = frozenset("base basefont bgsound link meta title style script noscript template head".split())
 KEEP_TAGS = frozenset("html body article main".split())
 #: ancestors that a block gives points to
 LEVELS = 8
@@ -104,11 +116,17 @@ def unwanted(tag: str, raw: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in KEEP_TAGS and any(w.lower() in CUT_WORDS for w in WORD.findall(unescape(value))):
+        if name in ("class", "id") and tag not in KEEP_TAGS and any(names_box(n) for n in unescape(value).split()):
             return True
     return False
 
 
+def names_box(name: str) -> bool:
+    """True for a class or id that marks a part as no article text."""
+    words = {w.lower() for w in WORD.findall(name)}
+    return bool(words & CUT_WORDS) and (bool(words & (CUT_WORDS - WEAK_WORDS)) or words <= CUT_WORDS | BOX_WORDS)
+
+
 def read(page: str) -> Tree:
     tree = Tree()
     stack, links, at = [0], 0, 0  # links: how many open a elements
@@ -134,6 +152,8 @@ def read(page: str) -> Tree:
         m = MARKUP.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
+            if tree.tag[stack[-1]] == "head" and not page[at:end].isspace():
+                pop(len(stack) - 1)
             tree.parts.append((stack[-1], unescape(page[at:end]), links > 0))
         if not m:
             break
@@ -156,8 +176,12 @@ def read(page: str) -> Tree:
             close({"p"}, NOT_P)
             if tag in HEADINGS:
                 close(HEADINGS, NOT_HEADING)
-        if tag in ("body", "html") and tag in (tree.tag[e] for e in stack):
+        if tag in ("body", "html", "head") and tag in (tree.tag[e] for e in stack):
+            if tag == "body" and tree.tag[stack[-1]] == "head":
+                pop(len(stack) - 1)
             continue
+        if tree.tag[stack[-1]] == "head" and tag not in HEAD_TAGS:
+            pop(len(stack) - 1)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else len(page)
@@ -254,7 +278,8 @@ def main_text(page: str | None) -> str:
     inside = [False] * n
     for e in range(n):
         inside[e] = e in kept or (e > 0 and inside[tree.parent[e]])
-    return "\n\n".join(text for e, text, _ in blocks if inside[e] and not menu[e])
+    chosen = not kept & {e for e in range(n) if tree.tag[e] in ("", "html", "body")}
+    return "\n\n".join(text for e, text, _ in blocks if inside[e] and (chosen or not menu[e]))
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
