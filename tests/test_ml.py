@@ -42,6 +42,33 @@ def test_ml_features_chunked_equal_plain(spark):
                 assert u == v
 
 
+def _gap_bars(spark):
+    """One symbol, 2,400 bars, closes null in rows 0-2, 700-1499 and 2100-2110."""
+    close = F.lit(100.0) + F.sin(F.col("id") / 7.0) * 5 + F.col("id") % 13
+    gone = "id < 3 OR id BETWEEN 700 AND 1499 OR id BETWEEN 2100 AND 2110"
+    return spark.range(2400).select(
+        F.lit("a").alias("symbol"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id)").alias("ts"),
+        (close - 0.5).alias("open"), (close + 1).alias("high"), (close - 1).alias("low"),
+        F.when(~F.expr(gone), close).alias("close"), (F.lit(1000.0) + F.col("id") % 17).alias("volume"))
+
+
+def test_chunks_carry_state_over_long_gaps(spark):
+    bars = _gap_bars(spark)
+    cols = ["symbol", "ts"] + ml.FEATURES + ["target"]
+    for rows in (700, 100):
+        for method in (None, "fill"):
+            got = []
+            for chunk_rows in (None, rows):
+                f, lay = ml.ml_features(bars, chunk_rows=chunk_rows, force_chunks=chunk_rows is not None)
+                f = ml.clean_features(f, method, lay.spec) if method else f
+                got.append([tuple(r) for r in lay.own(f).select(*cols).orderBy("ts").collect()])
+            assert len(got[0]) == len(got[1])
+            for x, y in zip(*got):
+                for u, v in zip(x, y):
+                    assert u == v or (isinstance(u, float) and v is not None and abs(u - v) <= 1e-9 * max(1.0, abs(u))), (rows, method, x[1])
+
+
 def test_scoring_and_metrics(spark):
     prep = ml.prepare(fx.bars_hourly(spark, SF001))
     seqs = prep["sequences"].filter("split = 'train'")   # sf0.001 test splits are shorter than 60 rows

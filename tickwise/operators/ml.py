@@ -34,11 +34,17 @@ FEATURES = [
     "rsi", "price_change", "price_change_pct",
 ]
 LOOKBACK = 60
-# EMAs are exact up to rounding once the dropped weight (1 - 2/27)^600 ~ 1e-20
-# is below double precision.
-ML_HALO = 600
+# The longest frame has 20 rows; whatever reaches further back (EMAs, last
+# present values) goes from chunk to chunk as a folded state.
+ML_HALO = 20
 SCALE_EPS = 10 * np.finfo(np.float64).eps
 EWM_OUT = ["ema_7", "ema_11", "macd", "macd_signal", "macd_histogram"]
+SPANS = (7, 11, 12, 26)
+SIGNAL_SPAN = 9
+#: what a chunk starts from: the EMAs, the MACD signal and the rows since the last present close
+SEEDS = [f"_ema{n}" for n in SPANS] + ["_signal", "_gap"]
+#: nulls after which the weight of the value before them is 0.0 in double precision for every span
+FORGOTTEN = 20_000
 
 
 def _full_avg(x: str, spec: SeriesSpec, n: int):
@@ -73,31 +79,119 @@ def window_features(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
     df = df.withColumn("rsi", rsi)
     upto = spec.rows(Window.unboundedPreceding, 0)
     before = spec.rows(Window.unboundedPreceding, -1)
-    filled = F.last("close", ignorenulls=True).over(upto)
-    filled_prev = F.last("close", ignorenulls=True).over(before)
+    # before the first present close of a chunk: the last one of the chunks before
+    carried = F.col("_close0") if "_close0" in df.columns else F.lit(None).cast("double")
+    filled = F.coalesce(F.last("close", ignorenulls=True).over(upto), carried)
+    filled_prev = F.coalesce(F.last("close", ignorenulls=True).over(before), carried)
     df = df.withColumn("price_change", F.col("close") - prev)
     df = df.withColumn("price_change_pct", (tdiv(filled, filled_prev) - F.lit(1.0)) * F.lit(100.0))
     df = df.withColumn("target", F.lead("price_change_pct", 1).over(spec.base()))   # D16
     return df.drop("_tr", "_sma20", "_sd20", "_g", "_l", "_ag", "_al")
 
 
+def _alpha(span: int) -> float:
+    return 2.0 / (span + 1.0)
+
+
+def _ema(x: np.ndarray, span: int, seed: float = np.nan, gap: int = 0) -> np.ndarray:
+    """pandas ``ewm(adjust=False)`` of ``x`` that goes on from ``seed``, ``gap`` missing rows ago."""
+    head = np.full(0 if np.isnan(seed) else 1 + min(gap, FORGOTTEN), np.nan)
+    head[:1] = seed
+    return pd.Series(np.concatenate([head, x])).ewm(span=span, adjust=False).mean().to_numpy()[len(head):]
+
+
 def _ewm_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """D3 + D6 for one series (sorted by ts): pandas ``ewm(adjust=False)`` from the first row."""
+    """D3 + D6 for one series or chunk (sorted by ts): EMAs from its seeds on, none for halo rows."""
     pdf = pdf.sort_values("ts", kind="mergesort")
-    close = pdf["close"].astype("float64")
-    ema = lambda s, span: s.ewm(span=span, adjust=False).mean()
-    line = ema(close, 12) - ema(close, 26)
-    signal = ema(line, 9)
-    pdf["ema_7"] = ema(close, 7)
-    pdf["ema_11"] = ema(close, 11)
-    pdf["macd"] = line
-    pdf["macd_signal"] = signal
-    pdf["macd_histogram"] = line - signal
+    for c in EWM_OUT:
+        pdf[c] = np.nan
+    own = (pdf["_own_chunk"] >= pdf["chunk"]).to_numpy() if "_own_chunk" in pdf.columns else np.ones(len(pdf), bool)
+    if not own.any():
+        return pdf
+    close = pdf["close"].astype("float64").to_numpy()[own]
+    seed = {c: float("nan") if pd.isna(pdf[c].iloc[0]) else float(pdf[c].iloc[0]) for c in SEEDS} if "_gap" in pdf.columns else {}
+    gap = int(seed["_gap"]) if seed else 0
+    ema = {n: _ema(close, n, seed.get(f"_ema{n}", np.nan), gap) for n in SPANS}
+    line = ema[12] - ema[26]
+    signal = _ema(line, SIGNAL_SPAN, seed.get("_signal", np.nan))
+    for c, v in zip(EWM_OUT, (ema[7], ema[11], line, signal, line - signal)):
+        pdf.loc[own, c] = v
     return pdf
 
 
+def _chunk_end(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row that says how a chunk changes the state; pdf holds its own rows.
+
+    From its first present close on every EMA is linear in what it has there:
+    ``e`` if that is the close itself, and ``p`` times any difference to it.
+    The signal adds the responses ``r*`` to those parts of the MACD line.
+    """
+    pdf = pdf.sort_values("ts", kind="mergesort")
+    close = pdf["close"].astype("float64").to_numpy()
+    given = np.flatnonzero(pdf["_given"].to_numpy(dtype=bool))
+    seen = np.flatnonzero(~np.isnan(close))
+    out = {c: pdf[c].iloc[0] for c in ("symbol", "chunk")}
+    out |= {c: np.nan for c in _END_DOUBLES} | {"rows": len(close), "lead": len(close), "tail": 0, "given": len(given) > 0}
+    if len(given):
+        out["last"] = close[given[-1]]
+    if len(seen):
+        x = close[seen[0]:]
+        at = seen - seen[0]
+        out |= {"lead": int(seen[0]), "tail": len(x) - 1 - int(at[-1]), "first": x[0]}
+        e, p = {}, {}
+        for n in SPANS:
+            old = (1.0 - _alpha(n)) ** np.diff(at)
+            factor = np.ones(len(x))
+            factor[at[1:]] = old / (old + _alpha(n))
+            e[n], p[n] = _ema(x, n), np.cumprod(factor)
+            out[f"e{n}"], out[f"p{n}"] = e[n][-1], p[n][-1]
+        response = lambda y: _ema(np.concatenate([[0.0], y[1:]]), SIGNAL_SPAN)[-1]
+        out |= {"r": response(e[12] - e[26]), "r12": response(p[12]), "r26": response(p[26])}
+    return pd.DataFrame([out])[["symbol", "chunk", *_END_LONGS, "given", *_END_DOUBLES]]
+
+
+_END_LONGS = ["rows", "lead", "tail"]
+_END_DOUBLES = ["first", "last", *[f"{k}{n}" for n in SPANS for k in "ep"], "r", "r12", "r26"]
+
+
+def _fold_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per chunk of one symbol the state that the chunks before it leave."""
+    ema, signal, gap, close0 = {n: np.nan for n in SPANS}, np.nan, 0, np.nan
+    keep = 1.0 - _alpha(SIGNAL_SPAN)
+    out = []
+    for c in pdf.sort_values("chunk").to_dict("records"):
+        out.append([c["symbol"], c["chunk"], *[ema[n] for n in SPANS], signal, float(gap), close0])
+        if c["given"]:
+            close0 = c["last"]
+        line = ema[12] - ema[26]
+        signal = line + (signal - line) * keep ** c["lead"]     # rows without a close repeat the line
+        if c["lead"] == c["rows"]:
+            gap += 0 if np.isnan(line) else c["rows"]
+            continue
+        d = {}
+        for n in SPANS:
+            old = (1.0 - _alpha(n)) ** (gap + c["lead"] + 1)
+            d[n] = 0.0 if np.isnan(line) else old / (old + _alpha(n)) * (ema[n] - c["first"])
+            ema[n] = c[f"e{n}"] + d[n] * c[f"p{n}"]
+        start = 0.0 if np.isnan(line) else keep * signal + _alpha(SIGNAL_SPAN) * (d[12] - d[26])
+        signal = keep ** (c["rows"] - c["lead"] - 1) * start + c["r"] + d[12] * c["r12"] - d[26] * c["r26"]
+        gap = c["tail"]
+    return pd.DataFrame(out, columns=["symbol", "chunk", *SEEDS, "_close0"])
+
+
+def chunk_seeds(lay: chunking.Layout) -> DataFrame:
+    """(symbol, chunk, seeds): one row per chunk, folded per symbol in chunk order."""
+    key = [f for f in lay.rows.schema.fields if f.name in ("symbol", "chunk")]
+    key.sort(key=lambda f: f.name, reverse=True)
+    own = lay.rows.filter(lay.is_own()).select("symbol", "chunk", "ts", "close", F.col("close").isNotNull().alias("_given"))
+    ends = T.StructType(key + [T.StructField(c, T.LongType()) for c in _END_LONGS] + [T.StructField("given", T.BooleanType())]
+                        + [T.StructField(c, T.DoubleType()) for c in _END_DOUBLES])
+    seeds = T.StructType(key + [T.StructField(c, T.DoubleType()) for c in [*SEEDS, "_close0"]])
+    return own.groupBy("symbol", "chunk").applyInPandas(_chunk_end, ends).groupBy("symbol").applyInPandas(_fold_ends, seeds)
+
+
 def ewm_features(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
-    """Unbounded EMAs and MACD as one grouped-pandas pass per series.
+    """Unbounded EMAs and MACD as one grouped-pandas pass per series or chunk.
 
     Grouped by the series key the data is already hash-partitioned on, so no
     extra exchange is planned; the chunked layout bounds each group.
@@ -108,13 +202,21 @@ def ewm_features(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
 
 def ml_features(bars: DataFrame, chunk_rows: int | None = chunking.DEFAULT_CHUNK_ROWS, force_chunks: bool = False):
     """The 21 features + target for every bar.  Returns ``(frame, layout)``;
-    the frame still carries halo copies (use ``layout.is_own()``)."""
-    lay = chunking.layout(bars, chunk_rows, halo=ML_HALO, force=force_chunks, ahead=1)
+    the frame still carries halo copies (use ``layout.is_own()``).
+
+    Every size takes the chunked layout, a short symbol as one chunk, and every
+    chunk starts from the state that the rows before it leave (``chunk_seeds``).
+    ``chunk_rows=None`` keeps each symbol whole.
+    """
+    lay = chunking.layout(bars, chunk_rows, halo=ML_HALO, force=True, ahead=1)
     df = lay.rows
     if "rn" not in df.columns:
         df = df.withColumn("rn", F.row_number().over(lay.spec.base()).cast("long"))
-    df = window_features(df, lay.spec)
-    df = ewm_features(df, lay.spec)
+    if lay.chunked:
+        seeds, _ = broadcast_if_small(cut_lineage(chunk_seeds(lay)))
+        df = df.join(seeds, ["symbol", "chunk"])
+    df = window_features(df, lay.spec).drop("_close0")
+    df = ewm_features(df, lay.spec).drop(*SEEDS)
     for c in FEATURES + ["target"]:      # C2: inf / NaN never leave the operator
         df = df.withColumn(c, F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)))
     return df, lay
@@ -126,9 +228,22 @@ def clean_features(df: DataFrame, method: str = "drop", spec: SeriesSpec = PLAIN
         return df.dropna(subset=FEATURES + ["target"])
     if method == "fill":
         upto = spec.rows(Window.unboundedPreceding, 0)
+        if "chunk" not in spec.part:
+            for c in FEATURES:
+                df = df.withColumn(c, F.last(c, ignorenulls=True).over(upto))
+            return df.dropna(subset=["target"])
+        # a chunk goes on from the last present values of the chunks before; its halo rows are in those
+        df = cut_lineage(df)
+        present = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("rn")))
+        ends = df.filter("chunk = _own_chunk").groupBy("symbol", "chunk").agg(*[present(c).alias(c) for c in FEATURES])
+        earlier = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("symbol", "chunk", *[F.last(c, ignorenulls=True).over(earlier).alias(f"_0{c}") for c in FEATURES])
+        carried, _ = broadcast_if_small(cut_lineage(carried))
+        df = df.join(carried, ["symbol", "chunk"])
         for c in FEATURES:
-            df = df.withColumn(c, F.last(c, ignorenulls=True).over(upto))
-        return df.dropna(subset=["target"])
+            here = F.when(F.col("_own_chunk") >= F.col("chunk"), F.col(c))
+            df = df.withColumn(c, F.coalesce(F.last(here, ignorenulls=True).over(upto), F.col(f"_0{c}")))
+        return df.drop(*[f"_0{c}" for c in FEATURES]).dropna(subset=["target"])
     raise ValueError("method must be 'drop' or 'fill'")
 
 
@@ -305,8 +420,8 @@ def prepare(bars: DataFrame, chunk_rows: int | None = chunking.DEFAULT_CHUNK_ROW
             missing: str = "drop", force_chunks: bool = False) -> dict[str, DataFrame]:
     """Load -> D28 -> C11 -> L1 -> L2 -> L4.
 
-    Features run on the series layout with a 660-row halo; the cleaned rows are
-    laid out again (60-row halo) so positions, splits and sequences see only
+    Features run on the series layout with a 20-row halo and folded state; the
+    cleaned rows are laid out again (60-row halo) so positions, splits and sequences see only
     kept rows and no task holds a whole hot symbol.
     """
     feats, lay = ml_features(bars, chunk_rows, force_chunks=force_chunks)
