@@ -2,6 +2,7 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
@@ -59,3 +60,12 @@ def test_stream_matches_batch(spark, tmp_dir):
     last = max(b["batch_id"] for b in proc.batches)
     latest = spark.read.parquet(f"{tmp_dir}/out/latest_signal/v={last}")
     assert latest.count() == sig_want.select("symbol").distinct().count()
+
+
+def test_missing_state_version_is_an_error(spark, tmp_dir):
+    bars = fx.bars_hourly(spark, SF001)
+    proc = engine.BarStream(f"{tmp_dir}/out", with_signals=False)
+    proc(bars.limit(50), 0)
+    assert proc.load_state(spark, 0) is None and proc.load_state(spark, 1).count() > 0
+    with pytest.raises(FileNotFoundError, match="v=1 is lost"):   # batch 1 left no version
+        proc(bars.limit(50), 2)

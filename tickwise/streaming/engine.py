@@ -55,8 +55,13 @@ class BarStream:
         return f"{self.root}/state/v={batch_id}"
 
     def load_state(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """The rows that the batch before left; only the first batch starts without any."""
+        if batch_id == 0:
+            return None
         p = self.state_path(batch_id - 1)
-        return spark.read.parquet(p) if batch_id > 0 and _exists(spark, p) else None
+        if not _exists(spark, p):
+            raise FileNotFoundError(f"stream state {p} is lost; batch {batch_id} cannot go on from it")
+        return spark.read.parquet(p)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
