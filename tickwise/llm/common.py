@@ -5,7 +5,8 @@
   ``spark.checkpoint.dir`` and read back, so a lost executor costs no replay.
 * ``hot_keys`` / ``salted_join`` join a skewed side to a side that is unique
   per key: keys with at least 1/200 of the rows (so at most 200 of them) get
-  64 copies on the unique side and a hash salt on the other.
+  64 copies on the unique side and a hash salt of the row's other columns on
+  the other, so a task that is run again deals its rows as before.
 * ``text_slices`` cuts Arrow batches to a bounded number of text bytes.
 """
 
@@ -83,11 +84,14 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     """``many`` join ``one`` on ``keys`` and, if given, the condition ``on``; hot keys of ``many`` are salted.
 
     Rows of ``one`` with a hot key are copied SALTS times, so it should have few of them.
+    Rows of ``many`` that are equal in all columns share a salt, so they should differ in some.
     """
+    rest = [c for c in many.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int") if rest else F.lit(0)
     hot = F.broadcast(hot_keys(many, keys) if hot is None else hot)
     left = (
         many.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * SALTS).cast("int")).otherwise(0))
+        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
         .drop("_hot")
     )
     right = (

@@ -188,7 +188,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         to = best.join(degree, "a").select(F.col("a").alias("root"), F.least("m", rank("n", "a"))["v"].alias("to"))
         to = stash(to, "to")
         state = stash(salted_join(state, to, ["root"], "left").select("node", F.coalesce("to", "root").alias("root")), "state")
-        moved = salted_join(edges.withColumnRenamed("a", "root"), to, ["root"]).select(F.col("to").alias("a"), "b")
+        moved = salted_join(edges.withColumnRenamed("a", "root"), to, ["root"]).select(F.col("root").alias("was"), F.col("to").alias("a"), "b")
         moved = salted_join(moved.withColumnRenamed("b", "root"), to, ["root"], hot=hot_keys(edges.select(F.col("b").alias("root")), ["root"])).select("a", F.col("to").alias("b"))
         edges = stash(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates(), "edges")
         rounds += 1
