@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwise.llm import bpe, decontam, neardup, quality, toxicity
-from tickwise.llm.common import shared_dir, stash, table
+from tickwise.llm.common import salted_join, shared_dir, stash, table
 from tickwise.llm.queries import PATTERN, RANKS, toxic_field
 
 #: words of a shingle of the near-duplicate stage
@@ -32,17 +32,27 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id; of its repeated rows one."""
-    found = neardup.groups(docs.select("doc_id", "text"), size=SHINGLE)
-    lost = stash(found.where("id <> component_id").select(F.col("id").alias("doc_id")).dropDuplicates(), "lost")
+    """Of each group of near duplicates one document: that of least id, one without an id only if none has one.
+
+    Rows are told apart by a 64-bit hash of id and text: rows that share an id
+    but not the text are documents of their own, rows equal in both (also
+    with a null id) are one, of which one row stays.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = neardup.groups(keyed.select("_key", "text"), key="_key", size=SHINGLE).select("id", "component_id").dropDuplicates()
+    ids = keyed.select(F.col("_key").alias("id"), "doc_id").dropDuplicates(["id"])
+    members = stash(found.join(ids, "id"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "id"))["id"]
+    stays = members.groupBy("component_id").agg(first.alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", "stays")
+    lost = salted_join(members.select("id", "component_id"), stays, ["component_id"]).where("id <> stays")
+    lost = stash(lost.select(F.col("id").alias("_key")), "lost")
     few = lost.count() <= decontam.MAX_BROADCAST
-    kept = docs.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti")
-    # rows that share an id are copies of the document that stays
-    twice = stash(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "twice")
+    kept = keyed.join(F.broadcast(lost) if few else lost, "_key", "left_anti")
+    twice = stash(keyed.groupBy("_key").count().where("count > 1").select("_key"), "twice")
     if twice.isEmpty():
         return kept.select(docs.columns)
-    single = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    single = kept.join(twice, "_key", "left_anti").select(docs.columns)
+    return single.unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

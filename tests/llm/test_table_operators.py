@@ -241,6 +241,15 @@ def test_url_verdicts(spark):
     assert inside.first()[0] >= 0.97
 
 
+def test_near_duplicates_by_id_and_text(spark):
+    """Documents that share an id, or have none, are told apart by their texts."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(1, a), (1, b), (0, a), (None, c), (None, c), (None, d), (5, e), (5, e), (None, e), (7, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == collections.Counter([(0, a), (1, b), (None, c), (None, d), (5, e), (7, None), (8, None)])
+
+
 def test_pipeline_stages(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     before = docs
