@@ -196,6 +196,17 @@ def test_quality_keeps_clean_documents(spark, sf_small):
     assert edge[3]["base_failed"] and edge[3]["ratio"] == 0.0 and not edge[3]["kept"]
 
 
+def test_trusted_ids_have_no_bound(spark, sf_small, monkeypatch):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_small}/labels.parquet")
+    many = spark.range(quality.MAX_TRUSTED + 1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.trusted_ids(many).count() == quality.MAX_TRUSTED + 1000
+    model = quality.fit(docs, quality.trusted_ids(labels))
+    monkeypatch.setattr(quality, "MAX_TRUSTED", 10)    # joined without broadcast
+    joined = quality.fit(docs, quality.trusted_ids(labels))
+    assert joined.ratios == model.ratios and abs(joined.mean - model.mean) < 1e-9
+
+
 def test_rotation_equals_sql(spark):
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "é\n"), (1, 3, "ann", "é\n"), (1, None, None, "?"),

@@ -9,7 +9,7 @@ corpus and for the trusted target, and
 
 is the length-normalised score; the target is smoothed towards the raw corpus
 with ``PRIOR`` counts a bucket.  The trusted target are documents labelled as
-good, at most ``MAX_TRUSTED`` ids in the order of a hash; the raw corpus is
+good, all of them (beyond ``MAX_TRUSTED`` joined by a shuffle); the raw corpus is
 every row.  A third of the trusted documents, by hash, is held back from the
 counts.  They place the threshold: a document is kept if no base rule fails
 and its ratio is not ``DEVIATIONS`` standard deviations (between documents,
@@ -34,7 +34,7 @@ from tickwise.llm.common import barrier
 
 BUCKETS = 1 << 16
 PRIOR, DEVIATIONS, MIN_HELD = 2.0, 3.5, 20
-#: bound of the labelled ids that make up the trusted target
+#: labelled ids of the trusted target that are still broadcast
 MAX_TRUSTED = 200_000
 MIN_WORDS, MAX_REPEAT_PERCENT, SPAN = 20, 30, 8
 WORD, SYMBOL = r"[^\x20\x09-\x0D]+", "[#*$%&|<>]"
@@ -60,10 +60,9 @@ def windows(h: str, n: int) -> Column:
     return F.when(F.size(h) >= n, each).otherwise(F.array().cast(LONGS))
 
 
-def trusted_ids(labels: DataFrame, key: str = "doc_id", max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """Ids of the trusted documents and whether they are ``held`` back from the counts to place the threshold."""
     good = labels.where("quality = 1").select(F.col(key).alias("_id")).where("_id IS NOT NULL").dropDuplicates()
-    good = good.orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
     return good.withColumn("held", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(3)) == 0)
 
 
@@ -83,9 +82,11 @@ class Model:
 
 def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
     """Model counted over all documents; None where fewer than MIN_HELD trusted documents place the threshold."""
+    few = trusted.count() <= MAX_TRUSTED
+    side = lambda d: F.broadcast(d) if few else d
     rows = docs.select(F.col(key).alias("_id"), word_hashes(F.col(text)).alias("h"))
     counted = trusted.where("NOT held").select("_id", F.lit(1).alias("_t"))
-    grams = rows.join(F.broadcast(counted), "_id", "left").select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode(buckets("h")).alias("b"))
+    grams = rows.join(side(counted), "_id", "left").select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode(buckets("h")).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()  # at most BUCKETS rows
     raw, target = [1] * BUCKETS, [0] * BUCKETS
     for r in counts:
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
     if not n_target:
         return None
     ratios = [round(math.log((t + prior * r / n_raw) / (n_target + prior)) - math.log(r / n_raw), 4) for t, r in zip(target, raw)]
-    held = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(trusted.where("held").select("_id")), "_id", "left_semi")
+    held = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(side(trusted.where("held").select("_id")), "_id", "left_semi")
     held = scored(held.select(word_hashes(F.col("text")).alias("_h")), ratios)
     some = lambda c: F.when(F.col("_n") > 0, F.col(c))
     stats = held.agg(F.count(some("ratio")).alias("n"), F.avg(some("ratio")).alias("mean"), F.var_pop(some("ratio")).alias("between"), F.avg(some("_square")).alias("within")).first()
