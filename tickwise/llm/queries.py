@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm import bpe, chatformat, decontam, htmlmain, langid, neardup, quality, tokencount, toxicity, urlfilter
-from tickwise.llm.common import held_out, learnable, table
+from tickwise.llm import bpe, chatformat, decontam, hardneg, htmlmain, langid, neardup, packing, quality, tokencount, toxicity, urlfilter, vqcodes
+from tickwise.llm.common import held_out, learnable, stash, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 # The url rules of the query.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -91,6 +92,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c for c in quality.ADDED if c != "ratio"], F.round("ratio", 6).alias("ratio"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vqcodes.fit(vectors)
+    coded = stash(vqcodes.encode(vectors, books).select("vec_id", "label", "codes", "error"), "codes")
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    found = vqcodes.with_group_total(coded, "label", "error", "label_error")
+    return found.select("vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.sha2(F.lit(books.text()).cast("binary"), 256).alias("codebooks_sha256"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", changed), F.col("vec_id") % 50 == 0)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = stash(packing.pieces(docs, VOCABULARY), "pieces")
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language, op2_chat, op3_tokens, op4_toxicity, op5_urls, op6_neardup, op7_html, op8_decontam, op9_bpe, op10_quality, pipeline)
+    for f in (op1_language, op2_chat, op3_tokens, op4_toxicity, op5_urls, op6_neardup, op7_html, op8_decontam, op9_bpe, op10_quality, op11_codes, op12_negatives, op13_packing, pipeline)
 }
 
-ORACLE = {"op2_chat": chatformat.ORACLE}
+ORACLE = {"op2_chat": chatformat.ORACLE, "op11_codes": vqcodes.ORACLE, "op12_negatives": hardneg.ORACLE}
