@@ -14,8 +14,8 @@ its rank among the pieces of its length.  Ranks come from counts by length
 and hash bucket, so a length that a third of all pieces share is dealt over
 many tasks.
 
-``pieces`` encodes with the ``tokenizers`` library: each distinct pre-token of
-a worker once, in bulk.  Strings of special tokens in a text are ordinary
+``pieces`` encodes with the ``tokenizers`` library, a pre-token that a worker
+has seen before from memory.  Strings of special tokens in a text are ordinary
 text there.
 
 Defined results: a null text counts as empty and is one piece (its end mark);
@@ -30,6 +30,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from codecs import charmap_decode
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,45 +40,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwise.llm.bpe import char_classes, split_pieces
+from tickwise.llm.bpe import byte_table, char_classes, split_pieces
 from tickwise.llm.common import appended, stash, text_slices, with_columns
 
 CAPACITY = 2048
 END = 0
 #: pre-tokens kept per worker; the cache starts anew beyond this many
-CACHE_PIECES = 100_000
+CACHE_PIECES = 200_000
 #: pieces of one length in a rank's hash bucket, about
 BUCKET_ROWS = 50_000
 #: beyond this many counts of (length, bucket) they are joined by a shuffle
 MAX_BROADCAST = 100_000
 
 
-class Encoder:
-    """A byte-level vocabulary file inside a Python worker."""
+class Encoder(dict):
+    """A byte-level vocabulary file inside a Python worker: packed ids of the pre-tokens seen so far."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.classes = char_classes()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [split_pieces(t, self.classes) if t else [] for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            enc = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            packed = np.array(enc.ids, "<u4").tobytes()
-            cuts = (np.searchsorted(np.array(enc.word_ids, np.int64), np.arange(len(some) + 1)) * 4).tolist()
-            self.known.update((p, packed[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        self.model._resize_cache(0)  # what it has seen is kept here
+        self.classes, self.chars = char_classes(), "".join(byte_table())
+        self.packed = [i.to_bytes(4, "little") for i in range(1 + max(tokenizer.get_vocab().values()))]
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        shown = charmap_decode(piece.encode(), "strict", self.chars)[0]
+        ids = self[piece] = b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        return b"".join(map(self.__getitem__, split_pieces(text, self.classes))) if text else b""
 
 
 @lru_cache(maxsize=1)
@@ -100,7 +98,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text
     def run(batches):
         enc, end = encoder(path), END.to_bytes(4, "little")
         for batch in text_slices(batches, text):
-            packed = [p + end for p in enc.encode(batch.column(text).to_pylist())]
+            packed = [enc.encode(t) + end for t in batch.column(text).to_pylist()]
             rows = [(i, k, s, n, p[4 * s : 4 * (s + n)]) for i, p in enumerate(packed) for k, (s, n) in enumerate(cut(len(p) // 4, capacity))]
             out = [[r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [zlib.crc32(r[4]) for r in rows]]
             out += [[np.frombuffer(r[4], "<i4") for r in rows]] if ids else []
