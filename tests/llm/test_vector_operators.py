@@ -226,7 +226,7 @@ def check_packing(rows, got, capacity):
     return len(bins), -(-sum(r.length for r in got) // capacity)
 
 
-@pytest.mark.parametrize("bucket, most", [(50_000, 100_000), (3, 0)])
+@pytest.mark.parametrize("bucket, most", [(2_000, 100_000), (2, 0)])
 def test_packing_equals_plain_encoding(spark, monkeypatch, bucket, most):
     monkeypatch.setattr(packing, "BUCKET_ROWS", bucket)
     monkeypatch.setattr(packing, "MAX_BROADCAST", most)

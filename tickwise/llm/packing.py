@@ -11,8 +11,8 @@ of documents: bins that are filled alike are one class with a range of
 numbers, and a step moves a whole class.  The plan is a short table (length,
 pieces before, first bin, pieces in a bin, offset); a piece finds its line by
 its rank among the pieces of its length.  Ranks come from counts by length
-and hash bucket, so a length that a third of all pieces share is dealt over
-many tasks.
+and hash bucket, and a length has as many buckets as its number of pieces
+needs, so one that a third of all pieces share is dealt over many tasks.
 
 ``pieces`` encodes with the ``tokenizers`` library, a pre-token that a worker
 has seen before from memory.  Strings of special tokens in a text are ordinary
@@ -47,8 +47,8 @@ CAPACITY = 2048
 END = 0
 #: pre-tokens kept per worker; the cache starts anew beyond this many
 CACHE_PIECES = 200_000
-#: pieces of one length in a rank's hash bucket, about
-BUCKET_ROWS = 50_000
+#: pieces of a hash bucket of one length, about
+BUCKET_ROWS = 2_000
 #: beyond this many counts of (length, bucket) they are joined by a shuffle
 MAX_BROADCAST = 100_000
 
@@ -187,13 +187,15 @@ class Plan:
             self.leave(gap, first + whole + bool(rest), number - whole - bool(rest))
 
 
-def ranked(df: DataFrame, length: str, order: list[str]) -> DataFrame:
-    """``df`` with the place (from 0) of each row among those of its length."""
-    few = max(1, df.count() // BUCKET_ROWS)
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(few)).cast("int"))
-    counts = keyed.groupBy(length, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+def ranked(df: DataFrame, counts: dict[int, int], length: str, order: list[str]) -> DataFrame:
+    """``df`` with the place (from 0) of each row among the ``counts`` rows of its length."""
+    rows = [(s, -(-n // BUCKET_ROWS)) for s, n in counts.items()]
+    buckets = df.sparkSession.createDataFrame(rows, "_length long, _buckets long")
+    keyed = df.join(F.broadcast(buckets), F.col(length) == F.col("_length")).drop("_length")
+    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets"))).drop("_buckets")
+    found = keyed.groupBy(length, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(length).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stash(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "starts")
+    starts = stash(found.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "starts")
     starts = F.broadcast(starts) if starts.count() <= MAX_BROADCAST else starts
     own = F.row_number().over(Window.partitionBy(length, "_bucket").orderBy(*order)) - 1
     return keyed.withColumn("_own", own).join(starts, [length, "_bucket"]).withColumn("_rank", (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_bucket")
@@ -212,7 +214,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, length: str = "length", order:
         by_length.setdefault(line.length, []).append(line)
     rows = [(s, [(x.rank, x.first, x.each, x.offset) for x in found]) for s, found in by_length.items()]
     lines = spark.createDataFrame(rows, "_length long, _lines array<struct<rank: long, first: long, each: long, offset: long>>")
-    placed = ranked(df, length, list(order)).join(F.broadcast(lines), F.col(length) == F.col("_length"))
+    placed = ranked(df, counts, length, list(order)).join(F.broadcast(lines), F.col(length) == F.col("_length"))
     # the last line that starts at or before the rank
     line = F.element_at(F.filter("_lines", lambda x: x["rank"] <= F.col("_rank")), -1)
     placed = placed.withColumn("_line", line).withColumn("_at", F.col("_rank") - F.col("_line.rank"))
