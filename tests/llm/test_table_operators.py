@@ -275,3 +275,34 @@ def test_pipeline_stages(spark, sf_small):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_small).count() == 0, name
+
+
+CLASHES = {"k": "K", "items": "mine", "kept": "mine", "score": 9.5, "_key": "mine", "n_words": -1, "node": "n", "ids": "i", "lang": "en", "source": "s", "_in_3": 0, "a.b`c": 1}
+
+
+def test_stages_keep_the_rows_and_columns_they_are_given(spark, sf_small):
+    """Clashing names, null and repeated ids, null, empty and very long texts: rows go or stay, nothing is changed."""
+    given = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").collect()
+    window = spark.read.parquet(f"{sf_small}/benchmark.parquet").first()["text"]
+    good = next(r["text"] for r in given if 500 < len(r["text"] or "") < 2000)
+    rows = [tuple(r) for r in given]
+    rows += [(None, None), (None, ""), (None, good + " and a tail"), (70_000, good[::-1]), (70_000, good[::-1]), (70_001, None), (70_002, " \n ")]
+    rows += [(70_003, good + "\n" + window), (70_004, " ".join(f"{w}{i}" for i in range(40_000) for w in ("alpha", "beta"))), (70_005, "x" * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(v) for c, v in CLASHES.items()})
+    docs = docs.select("k", "text", *[F.col("`" + c.replace("`", "``") + "`") for c in CLASHES if c != "k"], "doc_id")
+    there = collections.Counter(tuple(r) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_small)
+        assert after.columns == docs.columns and after.schema == docs.schema, name
+        left = collections.Counter(tuple(r) for r in after.collect())
+        assert left <= there, name
+        stays = {(r[-1], r[1]) for r in left}
+        empty = [(None, None), (None, ""), (70_001, None), (70_002, " \n ")]
+        kept = [e in stays for e in empty]
+        assert kept in ([[True, False, True, True], [False, True, True, True]] if name == "neardup" else [[name != "quality"] * 4]), name
+        assert ((70_003, rows[-3][1]) in stays) == (name != "decontam"), name
+        twice = sum(n for r, n in left.items() if r[-1] == 70_000)
+        assert twice == (1 if name == "neardup" else 2 if name != "quality" else twice) and twice in (0, 1, 2), name
+    coded = {(r["doc_id"], r["source"]): r for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).collect()}
+    assert all(r["round_trip"] and r["source"] == "s" and len(r["ids"]) == r["n_tokens"] for r in coded.values())
+    assert coded[70_001, "s"]["n_tokens"] == 0 and coded[70_005, "s"]["n_tokens"] > 10_000

@@ -214,6 +214,22 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """All columns of ``df``, ``ids`` and ``decoded``, the bytes that they decode to: both in one Python worker."""
+    kept, schema = appended(df, [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.binary(), "binary")])
+
+    def run(batches):
+        bpe = codec(path, pattern)
+        for batch in text_slices(batches, text):
+            pieces = [bpe.split(t) if t else [] for t in batch.column(text).to_pylist()]
+            bpe.learn(pieces)
+            packed = [bpe.packed(p) for p in pieces]
+            back = [decode_ids(np.frombuffer(p, np.int32).tolist(), path) for p in packed]
+            yield with_columns(batch, kept, [("ids", lists(packed)), ("decoded", pa.array(back, pa.binary()))])
+
+    return df.mapInArrow(run, schema)
+
+
 def to_text(raw: bytes) -> str:
     """Decoded bytes as text; a character cut at either end becomes U+FFFD."""
     return raw.decode("utf-8", "replace")
