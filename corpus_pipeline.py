@@ -1,12 +1,25 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
 ``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir)
-and returns a frame.  All but the last return the columns of ``documents``.
+and returns a frame.  All but the last return rows of ``docs`` with exactly
+its columns and values: whatever a column is called (``score``, ``items``,
+``kept``, ``k`` ...), the operators see only ``doc_id`` and ``text`` under
+their own names, the others step aside and come back.
+
+Every stage has a defined result for every row.  A null or empty text has no
+words: it is not toxic, poor (below the least number of words), in no group
+and without benchmark windows, and it has no tokens.  Rows without an id take
+part like others, except that no label can name them.  Repeated rows are
+judged alike.  Texts of any length are read whole.  An empty table gives none.
+
+Arrow hands texts to Python in batches of about ``BATCH_BYTES``; a session
+that has a bound of its own keeps it.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +30,43 @@ from tickwise.llm.queries import PATTERN, RANKS, toxic_field
 
 #: words of a shingle of the near-duplicate stage
 SHINGLE = 5
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long: without a bound a batch is 10,000 rows of any size."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``doc_id`` and ``text`` under private names, and the way back."""
+    bounded_batches(docs.sparkSession)
+    names = {c: c if c in ("doc_id", "text") else f"_in_{i}" for i, c in enumerate(docs.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    hidden = docs.select(*[quoted(c).alias(n) for c, n in names.items()])
+    return hidden, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the operator's threshold."""
-    scored = toxicity.score(docs, toxic_field(spark, sf_dir, docs), spans=False)
-    return scored.where(F.col("score") < toxicity.REJECT).select(docs.columns)
+    """Documents whose toxicity score is below the operator's threshold.
+
+    The field is fitted on the labelled rows of ``docs`` that may be learned
+    from; without toxic ones among them every row stays.
+    """
+    hidden, back = set_aside(docs)
+    scored = toxicity.score(hidden, toxic_field(spark, sf_dir, docs), spans=False)
+    return back(scored.where(F.col("score") < toxicity.REJECT))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio; the raw corpus is what came in."""
-    model = quality.fit(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
-    return quality.judge(docs, model).where("kept").select(docs.columns)
+    """Documents that pass the base rules and the likelihood ratio; the raw corpus is what came in.
+
+    Null, empty and short texts fail the base rules and go.
+    """
+    hidden, back = set_aside(docs)
+    model = quality.fit(docs.select("doc_id", "text"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return back(quality.judge(hidden, model).where("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +74,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a 64-bit hash of id and text: rows that share an id
     but not the text are documents of their own, rows equal in both (also
-    with a null id) are one, of which one row stays.
+    with a null id, a null text as an empty one) are one, of which one row
+    stays.  Documents without words are in no group.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    hidden, back = set_aside(docs)
+    keyed = hidden.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     found = neardup.groups(keyed.select("_key", "text"), key="_key", size=SHINGLE).select("id", "component_id").dropDuplicates()
     ids = keyed.select(F.col("_key").alias("id"), "doc_id").dropDuplicates(["id"])
     members = stash(found.join(ids, "id"), "members")
@@ -50,20 +90,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = keyed.join(F.broadcast(lost) if few else lost, "_key", "left_anti")
     twice = stash(keyed.groupBy("_key").count().where("count > 1").select("_key"), "twice")
     if twice.isEmpty():
-        return kept.select(docs.columns)
-    single = kept.join(twice, "_key", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns))
+        return back(kept)
+    single = kept.join(twice, "_key", "left_anti").drop("_key")
+    return back(single.unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("NOT contaminated").select(docs.columns)
+    """Documents without a window of the benchmark; those without words have none and stay."""
+    hidden, back = set_aside(docs)
+    found = decontam.contamination(hidden, table(spark, sf_dir, "benchmark"))
+    return back(found.where("NOT contaminated"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, token ids and their number, and whether decoding gives the text back."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), RANKS, PATTERN), RANKS)
+    """doc_id, lang, source, token ids and their number, and whether decoding gives the text back.
+
+    A null text counts as empty: no ids, and the empty text comes back.
+    Columns of ``docs`` beyond these end here.
+    """
+    bounded_batches(spark)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), RANKS, PATTERN)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
