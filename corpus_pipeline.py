@@ -18,6 +18,9 @@ that has a bound of its own keeps it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -39,6 +42,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return the driver's freed memory, as far as the C library can: a fitted model leaves much of it behind."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but ``doc_id`` and ``text`` under private names, and the way back."""
     bounded_batches(docs.sparkSession)
@@ -56,6 +66,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     hidden, back = set_aside(docs)
     scored = toxicity.score(hidden, toxic_field(spark, sf_dir, docs), spans=False)
+    give_back()
     return back(scored.where(F.col("score") < toxicity.REJECT))
 
 
@@ -66,7 +77,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     hidden, back = set_aside(docs)
     model = quality.fit(docs.select("doc_id", "text"), quality.trusted_ids(table(spark, sf_dir, "labels")))
-    return back(quality.judge(hidden, model).where("kept"))
+    out = back(quality.judge(hidden, model).where("kept"))
+    give_back()
+    return out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
