@@ -588,42 +588,127 @@ def c01_normalized_bars(spark, sf_dir):
 MSG_SCHEMA = "key string, value string, partition int, offset long, timestamp timestamp_ntz"
 
 
-def replay_stream(spark, sf_dir, slices: int = 3):
-    """K8 + K1 + K2/K4: write the hourly bars as message files in ``slices`` arrivals,
-    drain them with ``availableNow`` (one file per trigger) and return the output folder."""
-    import time
+def arrived(msgs, number):
+    """Messages as the broker takes them in: partition, offset and time follow from the arrival ``number`` (from 0)."""
+    taken = msgs.withColumn("_n", number)
+    return taken.select("key", "value", (F.col("_n") % 3).cast("int").alias("partition"), F.floor(F.col("_n") / 3).cast("long").alias("offset"),
+                        (F.lit(ig.DOC_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("_n").cast("double"))).alias("timestamp"))
 
-    from tickwise.session import shared_path
+
+def message_number():
+    return F.col("offset") * 3 + F.col("partition")
+
+
+def drained(spark, sf_dir, sinks, number=None, again=0, dedupe=False):
+    """K1: the hourly bars' messages taken from a folder in two runs of one stream; the output folder.
+
+    The first run takes what is there and ends, then the other messages come
+    and the second run goes on from the checkpoint.  ``again`` messages of the
+    first part come once more with the second.
+    """
+    from tickwise.session import cut_lineage, shared_path
     from tickwise.streaming import engine
 
-    root = shared_path(spark, "replay")
+    root = shared_path(spark, "stream")
     msgs = ig.to_messages(ig.documents_wide(fx.bars_hourly(spark, sf_dir)))
-    n = msgs.count()
-    size = max(1, -(-n // slices))
-    ordinal = F.col("offset") * 3 + F.col("partition")
-    for k in range(slices):     # arrival order is modification-time order for the file source
-        msgs.filter(F.floor(ordinal / size) == k).coalesce(1).write.mode("append").parquet(f"{root}/messages")
-        time.sleep(1.1)
-    stream = engine.bars_from_messages(spark, f"{root}/messages", "parquet", max_per_trigger=1, schema=MSG_SCHEMA)
-    q, _ = engine.start(stream, root=f"{root}/out", trigger={"availableNow": True})
-    q.awaitTermination()
+    msgs = cut_lineage(arrived(msgs, message_number() if number is None else number(message_number())))
+    first = 75
+    for low, high in ((0, first), (first, None)):
+        part = msgs.where(message_number() >= low - (again if low else 0))
+        (part.where(message_number() < high) if high else part).write.mode("append").parquet(f"{root}/messages")
+        stream = engine.bars_from_messages(spark, f"{root}/messages", max_per_trigger=1000, schema=MSG_SCHEMA, dedupe=dedupe,
+                                           watermark="1 hour" if dedupe else None)
+        engine.start(stream, f"{root}/out", {"availableNow": True}, sinks, state_partitions=8).awaitTermination()
     return f"{root}/out"
 
 
 @register("k02_stream_enriched_hourly", ORACLE["d27_enriched_hourly"])
 def k02_stream_enriched_hourly(spark, sf_dir):
-    """K2: rows released by the streaming warm-up gate equal the batch D27 rows."""
-    out = replay_stream(spark, sf_dir)
+    """K1 + K2: rows released by the streaming warm-up gate equal the batch D27 rows."""
+    out = drained(spark, sf_dir, ("enriched",))
     return round_doubles(spark.read.parquet(f"{out}/enriched").select(*ENR_COLS))
 
 
 @register("k04_stream_signals_hourly", ORACLE["e11_signal_table_hourly"])
 def k04_stream_signals_hourly(spark, sf_dir):
     """K4: signals produced by the stream equal the batch E11 table."""
-    out = replay_stream(spark, sf_dir)
+    out = drained(spark, sf_dir, ("signals",))
+    return round_doubles(spark.read.parquet(f"{out}/signals").select(*sg.SIGNAL_OUT))
+
+
+def late(number):
+    """Bars 70 and 71 of every symbol come after bar 79."""
+    return F.when(number.isin(69, 70), number + 8).when(number.between(71, 78), number - 2).otherwise(number)
+
+
+_LATE_BARS = (
+    "SELECT symbol, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CASE WHEN n IN (69, 70) THEN n + 8 WHEN n BETWEEN 71 AND 78 THEN n - 2 ELSE n END) AS ts, "
+    "open, high, low, close, volume, date, time FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n FROM ({q.BARS_HOURLY}))"
+)
+
+
+def _own_time(cols):
+    """The bars' own time again, which their text columns hold."""
+    return cols.replace("ts,", "strptime(date || ' ' || time, '%Y%m%d %H:%M') AS ts,", 1)
+
+
+@register(
+    "k07_late_bars",
+    f"WITH {q.enriched_ctes(_LATE_BARS)} SELECT {_own_time(r6_select(ENR_COLS, ENR_DOUBLES))} FROM enr WHERE rn >= 35 AND n_sym >= 60",
+)
+def k07_late_bars(spark, sf_dir):
+    """K3 + K7: late bars take the next numbers, and the windows run over numbers."""
+    out = drained(spark, sf_dir, ("enriched",), late)
+    return round_doubles(spark.read.parquet(f"{out}/enriched").select(*ENR_COLS))
+
+
+@register(
+    "k07_late_signals",
+    f"WITH {q.enriched_ctes(_LATE_BARS)}, {q.signal_ctes()} SELECT {_own_time(r6_select(sg.SIGNAL_OUT, SIG_DOUBLES))} FROM sig",
+)
+def k07_late_signals(spark, sf_dir):
+    """K4 + K7: signals of a stream with late bars."""
+    out = drained(spark, sf_dir, ("signals",), late)
     return round_doubles(spark.read.parquet(f"{out}/signals").select(*sg.SIGNAL_OUT))
 
 
+@register("k09_duplicates", ORACLE["d27_enriched_hourly"])
+def k09_duplicates(spark, sf_dir):
+    """K9: 40 messages are delivered again after a restart; every bar counts once."""
+    out = drained(spark, sf_dir, ("enriched",), again=40, dedupe=True)
+    return round_doubles(spark.read.parquet(f"{out}/enriched").select(*ENR_COLS))
+
+
+_FAN_SQL = (
+    f"WITH {q.enriched_ctes(q.BARS_HOURLY)}, {q.signal_ctes()}, lb AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), "
+    "ls AS (SELECT * FROM sig QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), "
+    "u AS (SELECT 'audit' AS sink, symbol, close FROM bars UNION ALL SELECT 'bar_points', symbol, close FROM bars UNION ALL SELECT 'bars', symbol, close FROM bars "
+    "UNION ALL SELECT 'enriched', symbol, close FROM enr WHERE is_enriched UNION ALL SELECT 'latest_bar', symbol, close FROM lb "
+    "UNION ALL SELECT 'latest_signal', symbol, close FROM ls UNION ALL SELECT 'signal_points', symbol, close FROM sig UNION ALL SELECT 'signals', symbol, close FROM sig) "
+)
+
+
+def sink_rows(spark, out):
+    """(sink, symbol, close) of every table that a stream with all sinks has written."""
+    latest = lambda name: spark.read.parquet(f"{out}/{name}").where(F.col("v") == F.lit(spark.read.parquet(f"{out}/{name}").agg(F.max("v")).first()[0]))
+    audit = spark.read.text(f"{out}/audit").select(F.from_json("value", "data struct<symbol:string,close:double>").alias("j")).select("j.data.symbol", "j.data.close")
+    tables = {n: spark.read.parquet(f"{out}/{n}") for n in ("enriched", "signals", "bar_points", "signal_points", "bars")}
+    tables |= {n: latest(n) for n in ("latest_bar", "latest_signal")} | {"audit": audit}
+    parts = [t.select(F.lit(n).alias("sink"), "symbol", "close") for n, t in sorted(tables.items())]
+    return rp.union_all(*parts)
+
+
+@register("k06_fan_out", _FAN_SQL + f"SELECT sink, symbol, CAST(count(*) AS BIGINT) AS rows, {q.r6('sum(floor(close * 1e6 + 0.5)) / 1e6')} AS close_sum FROM u GROUP BY 1, 2")
+def k06_fan_out(spark, sf_dir):
+    """K6 + B1-B6: one stream feeds every sink; rows and closes of each table by symbol."""
+    from tickwise.streaming import engine
+
+    rows = sink_rows(spark, drained(spark, sf_dir, engine.SINKS))
+    whole = F.sum(F.floor(F.col("close") * 1e6 + 0.5)) / 1e6
+    return round_doubles(rows.groupBy("sink", "symbol").agg(F.count(F.lit(1)).alias("rows"), whole.alias("close_sum")))
+
+
 # ---------------------------------------------------------------------------
 # 2.A file paths: bars written as the reference's raw lines / CSV and read back
 # ---------------------------------------------------------------------------

@@ -24,49 +24,64 @@ def latest_per_symbol(df: DataFrame, order=("ts", "partition", "offset")) -> Dat
     return df.groupBy("symbol").agg(F.max_by(F.struct(*cols), key).alias("_r")).select("symbol", "_r.*")
 
 
-def upsert_latest(batch: DataFrame, path: str, batch_id: int) -> str:
+def upsert_latest(batch: DataFrame, path: str, batch_id: int, order=("ts", "partition", "offset")) -> str:
     """B1 inside ``foreachBatch``: merge a batch into the latest-per-symbol table.
 
     Version ``v=batch_id`` is written from version ``batch_id-1`` plus the
-    batch, so a retried batch rewrites the same version (idempotent).
+    batch, so a retried batch rewrites the same version (idempotent).  The
+    table has one row per symbol; the last two versions are kept.
     """
     spark = batch.sparkSession
     prev = _read_version(spark, path, batch_id - 1)
     merged = batch if prev is None else prev.unionByName(batch, allowMissingColumns=True)
     out = f"{path}/v={batch_id}"
-    latest_per_symbol(merged).write.mode("overwrite").parquet(out)
+    latest_per_symbol(merged, order).write.mode("overwrite").parquet(out)
+    if batch_id > 1:
+        old, fs = _folder(spark, f"{path}/v={batch_id - 2}")
+        fs.delete(old, True)
     return out
 
 
+def _folder(spark: SparkSession, path: str):
+    """The path and the file system that holds it."""
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hp, hp.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _read_version(spark: SparkSession, path: str, version: int) -> DataFrame | None:
     if version < 0:
         return None
-    p = f"{path}/v={version}"
-    jvm = spark._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(p)
-    fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
+    hp, fs = _folder(spark, f"{path}/v={version}")
     if not fs.exists(hp):
         raise FileNotFoundError(f"version {version} of {path} is lost; the table cannot go on from it")
-    return spark.read.parquet(p)
+    return spark.read.parquet(f"{path}/v={version}")
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int | None, fmt: str = "parquet", parts: tuple[str, ...] = ()) -> None:
+    """Append ``df``; as batch ``batch_id`` under its own folder, which a batch delivered again replaces."""
+    w = df.write.mode("append" if batch_id is None else "overwrite").format(fmt).partitionBy(*parts)
+    w.save(path if batch_id is None else f"{path}/batch_id={batch_id}")
 
 
-def append_points(df: DataFrame, path: str, measurement: str, tags=("symbol",), fields=None) -> None:
-    """Append time-series points partitioned by measurement and date."""
+def append_points(df: DataFrame, path: str, measurement: str, tags=("symbol",), fields=None, batch_id: int | None = None) -> None:
+    """Append time-series points partitioned by measurement and date, by batch inside ``foreachBatch``."""
     fields = fields or [c for c in df.columns if c not in tags and c not in ("ts", "date", "time")]
     out = df.select(F.lit(measurement).alias("measurement"), *tags, "ts", *fields,
                     F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    out.write.mode("append").partitionBy("measurement", "day").parquet(path)
+    write_batch(out, path, batch_id, parts=("measurement", "day"))
 
 
-def append_columnar(df: DataFrame, path: str, fallback_ts: str | None = None) -> None:
-    """Append clustered by (symbol, ts) with an ingest-time column.
+def append_columnar(df: DataFrame, path: str, fallback_ts: str | None = None, batch_id: int | None = None) -> None:
+    """Append clustered by (symbol, ts) with an ingest-time column, by batch inside ``foreachBatch``.
 
-    ``fallback_ts`` fills a missing event time (signals fall back to their update time).
+    ``fallback_ts`` fills a missing event time (signals fall back to their
+    update time).  Rows are dealt by symbol and day: a symbol that holds most
+    rows is not one task.
     """
     if fallback_ts and fallback_ts in df.columns:
         df = df.withColumn("ts", F.coalesce(F.col("ts"), F.col(fallback_ts)))
     out = df.withColumn("inserted_at", F.current_timestamp())
-    out.repartition("symbol").sortWithinPartitions("symbol", "ts").write.mode("append").parquet(path)
+    write_batch(out.repartition("symbol", F.to_date("ts")).sortWithinPartitions("symbol", "ts"), path, batch_id)
 
 
 def to_audit_json(df: DataFrame, batch_id: int, extra: list[str] | None = None) -> DataFrame:
@@ -103,7 +118,7 @@ def write_stats(df: DataFrame, required=("open", "high", "low", "close", "volume
 def write_symbol_tables(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One table partitioned by symbol, fixed column order, snappy."""
     cols = ["symbol"] + [c for c in BAR_COLS if c != "symbol" and c in df.columns]
-    w = df.select(*cols).repartition("symbol").write.mode("overwrite").partitionBy("symbol")
+    w = df.select(*cols).repartition("symbol", F.date_trunc("month", "ts")).write.mode("overwrite").partitionBy("symbol")
     if fmt == "csv":
         w.option("header", "true").csv(path)
     else:
@@ -149,9 +164,8 @@ def save_state(state: DataFrame, path: str) -> None:
 
 def load_state(spark: SparkSession, path: str, initial_capital: float = 10_000_000.0) -> DataFrame:
     """B13 load: stored state, or one default portfolio with the initial capital."""
-    jvm = spark._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    if hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp):
+    hp, fs = _folder(spark, path)
+    if fs.exists(hp):
         return spark.read.parquet(path)
     return spark.createDataFrame([(0, float(initial_capital), 0, '{"positions":{},"signal_history":{}}')],
                                  "portfolio_id long, cash double, trades_used long, state string")

@@ -1,137 +1,136 @@
-"""Structured Streaming entry point: messages -> bars -> indicators -> signals.
+"""Structured Streaming entry point: messages -> bars -> indicators -> signals -> sinks.
 
 The count window of the reference (newest 60 rows per symbol, warm-up, rows
-35-60 released at once) is kept as a small versioned state table on shared
-storage: the last ``keep`` rows of every symbol with their row numbers and an
-"emitted" flag.  Each micro-batch runs the *same* batch operators
+35-60 released at once) is Spark state keyed by symbol
+(:mod:`tickwise.streaming.history`).  It hands a micro-batch the rows its
+frames need, numbered by arrival, and the *same* batch operators
 (:func:`tickwise.operators.indicators.enrich`,
-:func:`tickwise.operators.signals.signal_table`) over state + new rows, so a
-stream gives exactly the batch result for ordered input (K2, K4).  Version
-``v=batch_id`` is derived from ``v=batch_id-1`` only, so a retried batch
-rewrites the same files (exactly-once up to the sinks, K6), and nothing lives
-in executor memory between batches (executor loss is harmless).
+:func:`tickwise.operators.signals.signal_table`) run over them, so a stream
+gives exactly the batch result (K2, K4) and a late bar the result of its place
+in the arrival order (K7).
+
+One micro-batch feeds every sink (K6), each under its batch id, so a batch that
+is delivered twice leaves the tables as they were.
 """
 
 from __future__ import annotations
 
-import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from tickwise.operators import indicators as ind
 from tickwise.operators import signals as sg
 from tickwise.operators.clean import normalize_bars
+from tickwise.operators.series import SeriesSpec
 from tickwise.session import configure, ensure_checkpoint_dir, shared_path
 from tickwise.sources import ingest as ig
 from tickwise.sources import sinks as sk
+from tickwise.streaming.history import KEEP_ROWS, with_history
 
-STATE_COLS = ind.BAR_COLS + ["partition", "offset", "rn", "emitted"]
-KEEP_ROWS = 118          # 59 rows for the indicator frames + 59 for the signal frames
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp)
+#: windows of a stream run over arrival numbers
+ARRIVED = SeriesSpec(part=("symbol",), order=("rn",))
+PARTITIONS = "spark.sql.shuffle.partitions"
+SINKS = ("enriched", "signals", "latest_bar", "latest_signal", "audit", "bar_points", "signal_points", "bars")
 
 
 @dataclass
-class BarStream:
-    """``foreachBatch`` function: enrich and score each micro-batch of bars.
-
-    Outputs per batch (directories named by batch id, overwritten on retry):
-    ``enriched/batch_id=N`` (rows released by the warm-up gate), ``signals/batch_id=N``
-    and the keyed table ``latest_signal/v=N`` (B1 upsert).
+class BarSinks:
+    """``foreachBatch`` function over the rows of :func:`with_history`: enrich, score, and write every sink of ``sinks``.
+
+    * ``enriched/batch_id=N``: rows that the warm-up gate releases; ``signals/batch_id=N``
+    * ``latest_bar`` and ``latest_signal``: keyed tables (B1), one row per symbol
+    * ``audit/batch_id=N``: JSON lines of the batch's bars (B6)
+    * ``bar_points``, ``signal_points``: time-series points by batch, measurement and day (B2, B3)
+    * ``bars/batch_id=N``: columnar bars clustered by symbol and arrival (B4); the signal table is the columnar one of B5
     """
 
     root: str
-    keep: int = KEEP_ROWS
-    with_signals: bool = True
-    batches: list = field(default_factory=list)
-
-    def state_path(self, batch_id: int) -> str:
-        return f"{self.root}/state/v={batch_id}"
-
-    def load_state(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """The rows that the batch before left; only the first batch starts without any."""
-        if batch_id == 0:
-            return None
-        p = self.state_path(batch_id - 1)
-        if not _exists(spark, p):
-            raise FileNotFoundError(f"stream state {p} is lost; batch {batch_id} cannot go on from it")
-        return spark.read.parquet(p)
+    sinks: tuple[str, ...] = ("enriched", "signals", "latest_signal")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        configure(spark)
-        t0 = time.time()
-        new = normalize_bars(batch)
-        for c, t in (("partition", "int"), ("offset", "long")):
-            if c not in new.columns:
-                new = new.withColumn(c, F.lit(0).cast(t))
-        new = new.select(*ind.BAR_COLS, "partition", "offset")
-        prev = self.load_state(spark, batch_id)
-        # K3: inside a batch rows are ordered by (ts, partition, offset); rows
-        # continue the symbol's numbering from the state.
-        order = Window.partitionBy("symbol").orderBy("ts", "partition", "offset")
-        if prev is None:
-            base = new.select("symbol").distinct().withColumn("_base", F.lit(0).cast("long"))
-        else:
-            base = prev.groupBy("symbol").agg(F.max("rn").alias("_base"))
-        new = new.join(base, "symbol", "left").withColumn(
-            "rn", (F.coalesce("_base", F.lit(0)) + F.row_number().over(order)).cast("long")
-        ).drop("_base").withColumn("emitted", F.lit(False)).withColumn("is_new", F.lit(True))
-        hist = new if prev is None else prev.withColumn("is_new", F.lit(False)).unionByName(new)
-        hist = hist.withColumn("n_sym", F.max("rn").over(Window.partitionBy("symbol")))
-        base = ind.enrich(hist, with_ema=False, extra_history=ind.E2_BACK).persist()
-        enr = ind.ema_macd(base, extra=ind.E2_BACK)
-        for c in ("ema_7", "ema_11", "macd_line", "macd_signal"):
-            enr = enr.withColumn(c, F.when(F.isnan(c), None).otherwise(F.col(c)))
-        release = F.col("is_enriched") & ~F.col("emitted")
-        out_cols = ind.BAR_COLS + ind.INDICATOR_COLS + ["rn", "is_enriched"]
-        enr.filter(release).select(*out_cols).write.mode("overwrite").parquet(f"{self.root}/enriched/batch_id={batch_id}")
-        if self.with_signals:
-            sig = sg.signal_table(base, extra=("is_new",)).filter("is_new").drop("is_new")
-            sig.write.mode("overwrite").parquet(f"{self.root}/signals/batch_id={batch_id}")
-            sk.upsert_latest(spark.read.parquet(f"{self.root}/signals/batch_id={batch_id}"), f"{self.root}/latest_signal", batch_id)
-        state = enr.withColumn("emitted", F.col("emitted") | F.col("is_enriched")).filter(
-            F.col("rn") > F.col("n_sym") - F.lit(self.keep)
-        ).select(*STATE_COLS)
-        state.write.mode("overwrite").parquet(self.state_path(batch_id))
-        base.unpersist()
-        self.batches.append({"batch_id": batch_id, "rows": None, "seconds": time.time() - t0})
+        configure(batch.sparkSession)
+        at = lambda name: f"{self.root}/{name}/batch_id={batch_id}"
+        rows = batch.withColumn("n_sym", F.max("rn").over(ARRIVED.whole())).persist()
+        try:
+            self.write_bars(rows.filter("is_new"), batch_id)
+            # all frames of a released or new row lie inside the kept rows; a series' first kept row is not its first row
+            base = ind.enrich(rows, ARRIVED, with_ema=False, extra_history=ind.E2_BACK)
+            if "enriched" in self.sinks:
+                enriched = ind.ema_macd(base, ARRIVED, extra=ind.E2_BACK)
+                for c in ("ema_7", "ema_11", "macd_line", "macd_signal"):
+                    enriched = enriched.withColumn(c, F.when(F.isnan(c), None).otherwise(F.col(c)))
+                out = enriched.filter(F.col("is_enriched") & ~F.col("released"))
+                out.select(*ind.BAR_COLS, *ind.INDICATOR_COLS, "rn", "is_enriched").write.mode("overwrite").parquet(at("enriched"))
+            if "signals" in self.sinks:
+                scored = sg.signal_table(base, ARRIVED, extra=("rn", "is_new")).filter("is_new").drop("is_new")
+                scored.write.mode("overwrite").parquet(at("signals"))
+                self.write_signals(batch.sparkSession.read.schema(scored.schema).parquet(at("signals")), batch_id)
+        finally:
+            rows.unpersist()
+
+    def write_bars(self, new: DataFrame, batch_id: int) -> None:
+        bars = new.select(*ind.BAR_COLS, "partition", "offset", "source_ts", "rn")
+        if "latest_bar" in self.sinks:
+            sk.upsert_latest(bars, f"{self.root}/latest_bar", batch_id, order=("rn",))
+        if "audit" in self.sinks:
+            sk.write_batch(sk.to_audit_json(bars, batch_id, extra=["rn"]), f"{self.root}/audit", batch_id, fmt="text")
+        if "bar_points" in self.sinks:
+            sk.append_points(bars.drop("rn"), f"{self.root}/bar_points", "market_data", batch_id=batch_id)
+        if "bars" in self.sinks:
+            sk.append_columnar(bars, f"{self.root}/bars", batch_id=batch_id)
+
+    def write_signals(self, scored: DataFrame, batch_id: int) -> None:
+        if "latest_signal" in self.sinks:
+            sk.upsert_latest(scored, f"{self.root}/latest_signal", batch_id, order=("rn",))
+        if "signal_points" in self.sinks:
+            sk.append_points(scored.drop("rn"), f"{self.root}/signal_points", "trading_signals", tags=("symbol", "regime"), batch_id=batch_id)
 
 
 def bars_from_messages(spark: SparkSession, source: str, fmt: str = "parquet", max_per_trigger: int = 1000,
                        watermark: str | None = None, dedupe: bool = False, schema: str | None = None) -> DataFrame:
-    """A1 -> A2 -> A3 (+ K7, K9) as a streaming frame of BAR rows."""
-    msgs = ig.read_messages(spark, source, fmt, max_per_trigger, schema=schema)
-    bars = ig.explode_bars(ig.decode_messages(msgs))
-    if watermark:
-        bars = bars.withColumn("_wm", F.col("ts").cast("timestamp")).withWatermark("_wm", watermark)
-        if dedupe:
-            bars = bars.dropDuplicatesWithinWatermark(["partition", "offset", "symbol"])
-        bars = bars.drop("_wm")
-    elif dedupe:
-        raise ValueError("duplicate removal needs a watermark to bound its state")
-    return bars
-
-
-def start(bars_stream: DataFrame, root: str | None = None, trigger: dict | None = None, with_signals: bool = True):
-    """K1 + K6: run :class:`BarStream` with a checkpoint on shared storage.
+    """A1 -> A2 -> A3 -> C1 (+ K9) as a streaming frame of BAR rows.
+
+    ``dedupe`` drops a message that is delivered again within ``watermark`` of
+    broker time (K9).  The watermark is on the broker's time, not the bar's: a
+    late bar is no late message and stays (K7).
+    """
+    msgs = ig.decode_messages(ig.read_messages(spark, source, fmt, max_per_trigger, schema=schema))
+    if dedupe:
+        if not watermark:
+            raise ValueError("duplicate removal needs a watermark to bound its state")
+        msgs = msgs.withColumn("_broker", F.col("source_ts").cast("timestamp")).withWatermark("_broker", watermark)
+        msgs = msgs.dropDuplicatesWithinWatermark(["partition", "offset"]).drop("_broker")
+    return normalize_bars(ig.explode_bars(msgs).filter(F.col("ts").isNotNull()))
+
+
+def start(bars_stream: DataFrame, root: str | None = None, trigger: dict | None = None,
+          sinks: tuple[str, ...] = ("enriched", "signals", "latest_signal"), keep: int = KEEP_ROWS,
+          state_partitions: int | None = None):
+    """K1 + K6: run :class:`BarSinks` over the keyed history, with a checkpoint on shared storage.
 
     ``trigger`` defaults to the reference's 500 ms processing-time trigger; pass
-    ``{"availableNow": True}`` to drain what is there (tests, backfills).
+    ``{"availableNow": True}`` to take what is there and end.  A query started
+    again on the same ``root`` goes on where the last one ended.  The state is
+    dealt to ``state_partitions`` (default: the session's shuffle partitions),
+    for as long as the checkpoint lives.
     """
+    unknown = set(sinks) - set(SINKS)
+    if unknown:
+        raise ValueError(f"unknown sinks: {sorted(unknown)}")
     spark = bars_stream.sparkSession
     ensure_checkpoint_dir(spark)
     root = root or shared_path(spark, "bar-stream")
-    proc = BarStream(root, with_signals=with_signals)
-    w = bars_stream.writeStream.foreachBatch(proc).option("checkpointLocation", f"{root}/_checkpoint")
-    w = w.trigger(**(trigger or {"processingTime": "500 milliseconds"}))
-    return w.start(), proc
+    w = with_history(bars_stream, keep).writeStream.foreachBatch(BarSinks(root, sinks))
+    w = w.option("checkpointLocation", f"{root}/_checkpoint").trigger(**(trigger or {"processingTime": "500 milliseconds"}))
+    session = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(state_partitions or session))    # a query takes the settings of its start
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(PARTITIONS, session)
 
 
 class ProgressTotals(StreamingQueryListener):
