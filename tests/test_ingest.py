@@ -56,6 +56,52 @@ def test_symbol_folders_and_provenance(spark, tmp_dir):
     assert sorted(r.new_name for r in names.collect()) == ["root_AAA.txt_part.csv", "root_BBB_part.csv"]
 
 
+def test_csv_columns_go_by_name(spark, tmp_dir):
+    """Three column orders, other columns, quotes and cases: one table; a missing column is an error."""
+    _write(f"{tmp_dir}/in/a.csv", "Type,Date,Time,open,high,low,close,volume\nA,20170801,09:16,1,2,0.5,1.5,10\n")
+    _write(f"{tmp_dir}/in/b.csv", 'Date,Time,"Type",volume,Close,low,high,open,note\n20170801,09:17,"B,1",10,1.5,0.5,2,1,"x, y"\n')
+    _write(f"{tmp_dir}/in/c.csv", "close,low,high,open,volume,extra,Type,Time,Date\n1.5,0.5,2,1,10,,C,09:18,20170801\nbad,,2,1,10,7,C,09:19,20170801\n")
+    got = sorted(tuple(r)[:8] for r in ig.read_bars_csv(spark, f"{tmp_dir}/in").collect())
+    assert got[:3] == [("A", 20170801, "09:16", 1.0, 2.0, 0.5, 1.5, 10.0), ("B,1", 20170801, "09:17", 1.0, 2.0, 0.5, 1.5, 10.0),
+                       ("C", 20170801, "09:18", 1.0, 2.0, 0.5, 1.5, 10.0)]
+    assert got[3] == ("C", 20170801, "09:19", 1.0, 2.0, None, None, 10.0)
+    _write(f"{tmp_dir}/in/d.csv", "Type,Date,Time,open\nD,20170801,09:16,1\n")
+    with pytest.raises(Exception, match="column high is missing in .*d.csv"):
+        ig.read_bars_csv(spark, f"{tmp_dir}/in").collect()
+    assert ig.read_bars_csv(spark, f"{tmp_dir}/in", missing="null").where("Type = 'D' AND close IS NULL").count() == 1
+
+
+def test_symbol_folders_are_searched_deep_and_alone(spark, tmp_dir):
+    row = "Type,Date,Time,open,high,low,close,volume\n{},20170801,09:16,1,2,0.5,1.5,10\n"
+    root = f"{tmp_dir}/my root"
+    for place, name in [("AAA.txt/2024/x.csv", "a1"), ("AAA.txt/y.csv", "a2"), ("deep/AAA/z.csv", "no"), ("deep/er/BBB.txt/q/x.csv", "b1"),
+                        ("BBBB/x.csv", "no"), ("CCC/x.csv", "c1"), ("CCC.txt/x.csv", "no")]:
+        _write(f"{root}/{place}", row.format(name))
+    _write(f"{root}/other/broken.csv", "no,columns\n1,2\n")     # never read
+    bars, missing = ig.read_symbol_folders(spark, root, ["AAA", "BBB.txt", "CCC", "DDD"])
+    assert sorted((r.folder_symbol, r.Type) for r in bars.collect()) == [("AAA", "a1"), ("AAA", "a2"), ("BBB", "b1"), ("CCC", "c1")]
+    assert [r[0] for r in missing.collect()] == ["DDD"]
+    none, missing = ig.read_symbol_folders(spark, root, ["X"])
+    assert none.count() == 0 and missing.count() == 1 and none.columns == bars.columns
+
+
+def test_inventory_counts_empty_files(spark, tmp_dir):
+    for name, text in [("a b.csv", "123"), ("x/c.CSV", "12345"), ("x/e_NIFTY50_.txt", ""), ("none", "")]:
+        _write(f"{tmp_dir}/in/{name}", text)
+    inv = ig.file_inventory(spark, f"{tmp_dir}/in")
+    assert tuple(inv["totals"].first()) == (4, 8, 1, 25.0)
+    assert {r.ext: (r.files, r.bytes) for r in inv["by_ext"].collect()} == {"csv": (2, 8), "txt": (1, 0), "": (1, 0)}
+    assert [r.ext for r in inv["top_ext"].collect()][0] == "csv" and ig.count_empty_files(spark, f"{tmp_dir}/in") == 2
+
+
+def test_head_per_symbol_breaks_ties_alike(spark, monkeypatch):
+    rows = [("A", "2024-01-01 00:00:00", float(i % 7), i % 3) for i in range(60)] + [("B", "2024-01-02 00:00:00", 1.0, 1)]
+    df = spark.createDataFrame(rows, "symbol string, t string, close double, x int").selectExpr("symbol", "cast(t as timestamp_ntz) ts", "close", "x")
+    want = sorted(tuple(r) for r in cl.head_per_symbol(df, 25).collect())
+    monkeypatch.setattr(cl, "RANK_LIMIT", 10)
+    assert sorted(tuple(r) for r in cl.head_per_symbol(df, 25).collect()) == want and len(want) == 26
+
+
 def test_explode_bad_documents(spark):
     vals = [
         '{"timestamp":"2024-01-01T00:00:00","a.csv":{"Type":"A","Date":20240101,"Time":"00:00","open":1,"high":2,"low":0.5,"close":1.5,"volume":10},'

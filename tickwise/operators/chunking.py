@@ -35,6 +35,14 @@ class Layout:
     rows: DataFrame          # bars (plus halo copies) ready for the operators
     spec: SeriesSpec         # window spec to hand to the operators
     chunked: bool
+    ties: tuple[str, ...] = ()   # columns that order rows of equal time
+
+    def numbered(self) -> DataFrame:
+        """The rows with ``rn``, their number in the symbol by time and ``ties``."""
+        if "rn" in self.rows.columns:
+            return self.rows
+        order = Window.partitionBy(*self.spec.part).orderBy("ts", *self.ties)
+        return self.rows.withColumn("rn", F.row_number().over(order).cast("long"))
 
     def own(self, df: DataFrame) -> DataFrame:
         """Drop halo copies (identity for the plain layout)."""
@@ -47,6 +55,11 @@ class Layout:
         return F.lit(True) if not self.chunked else F.col("chunk") == F.col("_own_chunk")
 
 
+def tie_columns(df: DataFrame) -> list[str]:
+    """Columns that tell rows of one symbol and time apart, in a fixed order."""
+    return sorted(f.name for f in df.schema.fields if f.name not in ("symbol", "ts") and f.dataType.typeName() not in ("map", "variant"))
+
+
 def bucket_counts(bars: DataFrame, unit: str = "hour") -> DataFrame:
     """Rows per (symbol, time bucket) with rows before the bucket and symbol totals."""
     counts = bars.groupBy("symbol", F.date_trunc(unit, "ts").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
@@ -82,17 +95,19 @@ def chunk_plan(counts: DataFrame, chunk_rows: int, halo: int, ahead: int = 0) ->
 
 
 def layout(bars: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS, halo: int = SIGNAL_HALO,
-           unit: str = "hour", force: bool = False, ahead: int = 0) -> Layout:
+           unit: str = "hour", force: bool = False, ahead: int = 0, ties: bool = False) -> Layout:
     """Choose the plain or chunked layout from measured per-symbol sizes.
 
     ``chunk_rows=None`` always uses the plain layout.  Otherwise the per-bucket
     counts are computed (one aggregation pass, map-side combined) and the
     chunked layout is used when some symbol holds more than ``chunk_rows``
-    rows, or when ``force`` is set.
+    rows, or when ``force`` is set.  With ``ties`` rows of equal time are
+    numbered by their other columns, in both layouts.
     """
     configure(bars.sparkSession)
+    by = tuple(tie_columns(bars)) if ties else ()
     if chunk_rows is None:
-        return Layout(bars, PLAIN, False)
+        return Layout(bars, PLAIN, False, by)
     if chunk_rows < halo:
         raise ValueError(f"chunk_rows ({chunk_rows}) must be >= halo ({halo})")
     # The bars are read twice (sizes, then the windows): materialise them once
@@ -102,7 +117,7 @@ def layout(bars: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS, halo: i
     counts = cut_lineage(bucket_counts(bars, unit))
     biggest = counts.agg(F.max("n_sym")).first()[0] or 0
     if biggest <= chunk_rows and not force:
-        return Layout(bars, PLAIN, False)
+        return Layout(bars, PLAIN, False, by)
     plan, _ = broadcast_if_small(cut_lineage(chunk_plan(counts, chunk_rows, halo, ahead)))
     rows = (
         bars.withColumn("_bucket", F.date_trunc(unit, "ts"))
@@ -111,6 +126,6 @@ def layout(bars: DataFrame, chunk_rows: int | None = DEFAULT_CHUNK_ROWS, halo: i
         .drop("_targets")
         .repartition("symbol", "chunk")
     )
-    in_bucket = Window.partitionBy("symbol", "chunk", "_bucket").orderBy("ts")
+    in_bucket = Window.partitionBy("symbol", "chunk", "_bucket").orderBy("ts", *by)
     rows = rows.withColumn("rn", (F.col("_cum") + F.row_number().over(in_bucket)).cast("long")).drop("_cum")
-    return Layout(rows, SeriesSpec(part=("symbol", "chunk"), order=("ts",)), True)
+    return Layout(rows, SeriesSpec(part=("symbol", "chunk"), order=("ts",)), True, by)

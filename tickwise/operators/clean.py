@@ -35,26 +35,23 @@ def parse_ts(col) -> Column:
 
 
 def head_per_symbol(df: DataFrame, n: int = 52_000) -> DataFrame:
-    """First ``n`` rows of each symbol by time (a feature of the document build, not a work cap).
+    """First ``n`` rows of each symbol by time, then by all other columns (a feature of the document build, not a work cap).
 
     For small ``n`` a rank limit: every task keeps its first ``n`` rows per
-    symbol before the shuffle.  Beyond, row numbers come from the series layout,
-    so a symbol holding most rows is not ranked in one task.
+    symbol before the shuffle.  Beyond, row numbers in the same order come from
+    the series layout, so a symbol holding most rows is not ranked in one task.
     """
     from tickwise.operators import chunking
 
     if "rn" in df.columns:
         return df.filter(F.col("rn") <= n)
     if n <= RANK_LIMIT:
-        oldest = Window.partitionBy("symbol").orderBy("ts", *[c for c in df.columns if c not in ("symbol", "ts")])
+        oldest = Window.partitionBy("symbol").orderBy("ts", *chunking.tie_columns(df))
         return df.withColumn("_r", F.row_number().over(oldest)).filter(F.col("_r") <= n).drop("_r")
     # chunks of n rows: in the plain layout every symbol has at most n rows;
     # a filter on the global row number needs no halo rows
-    lay = chunking.layout(df, max(n, 1), halo=0)
-    rows = lay.rows
-    if "rn" not in rows.columns:
-        rows = rows.withColumn("rn", F.row_number().over(lay.spec.base()))
-    return lay.own(rows.filter(F.col("rn") <= n)).drop("rn", "n_sym")
+    lay = chunking.layout(df, max(n, 1), halo=0, ties=True)
+    return lay.own(lay.numbered().filter(F.col("rn") <= n)).drop("rn", "n_sym")
 
 
 def conform(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -721,7 +721,7 @@ def _raw_lines(bars):
 
 @register(
     "a05_line_quality",
-    f"SELECT symbol, CAST(count(*) AS BIGINT) AS valid_lines, CAST(3 * count(DISTINCT symbol) AS BIGINT) AS invalid_lines FROM ({q.BARS_HOURLY}) GROUP BY ROLLUP (symbol)",
+    f"SELECT symbol, CAST(count(*) AS BIGINT) AS valid_lines, CAST(3 * count(DISTINCT symbol) AS BIGINT) AS invalid_lines, CAST(CASE WHEN symbol IS NULL THEN 1 ELSE 0 END AS BIGINT) AS skipped_files FROM ({q.BARS_HOURLY}) GROUP BY ROLLUP (symbol)",
 )
 def a05_line_quality(spark, sf_dir):
     """A4 + A5 + G9: raw lines per symbol folder validated (exactly 8 fields), with a total row."""
@@ -731,9 +731,54 @@ def a05_line_quality(spark, sf_dir):
     bars = fx.bars_hourly(spark, sf_dir)
     bad = F.array(F.concat("symbol", F.lit(",20240101,00:00,1,2,3,4")), F.concat("symbol", F.lit(",20240101,00:00,1,2,3,4,5,6")), F.lit(" "))
     _raw_lines(bars).unionByName(bars.select("symbol").distinct().select("symbol", F.explode(bad).alias("value"))).write.partitionBy("symbol").text(path)
-    files = ig.line_quality(ig.read_bar_lines(spark, path))
+    _empty_file(spark, f"{path}/symbol=click/none.txt")
+    files = ig.line_quality(ig.read_bar_lines(spark, path), spark, path)
     symbol = F.when(F.col("file_path").isNotNull(), F.regexp_extract("file_path", r"/symbol=([^/]+)/", 1))
-    return files.groupBy(symbol.alias("symbol")).agg(F.sum("valid_lines").alias("valid_lines"), F.sum("invalid_lines").alias("invalid_lines"))
+    return files.groupBy(symbol.alias("symbol")).agg(F.sum("valid_lines").alias("valid_lines"), F.sum("invalid_lines").alias("invalid_lines"),
+                                                     F.sum("skipped_files").alias("skipped_files"))
+
+
+def _empty_file(spark, path):
+    hp, fs = sk._folder(spark, path)
+    fs.create(hp).close()
+
+
+def _symbol_texts(spark, sf_dir, path):
+    """One text file per symbol (a line per bar: the symbol), and an empty file that bears the unwanted name."""
+    lines = fx.bars_hourly(spark, sf_dir).select("symbol", F.col("symbol").alias("value"))
+    lines.repartition("symbol").write.partitionBy("symbol").text(path)
+    _empty_file(spark, f"{path}/symbol=none/x_NIFTY50_y.CSV")
+
+
+@register(
+    "a09_inventory",
+    f"WITH f AS (SELECT 'txt' AS ext, symbol, sum(length(symbol) + 1) AS b, 0 AS m FROM ({q.BARS_HOURLY}) GROUP BY 2 UNION ALL SELECT 'csv', 'none', 0, 1) "
+    "SELECT ext, CAST(count(*) AS BIGINT) AS files, CAST(sum(b) AS BIGINT) AS bytes, CAST(CASE WHEN ext IS NULL THEN sum(m) END AS BIGINT) AS matching, "
+    f"CASE WHEN ext IS NULL THEN {q.r6('sum(m) / count(*) * 100.0')} END AS matching_pct FROM f GROUP BY ROLLUP (ext)",
+)
+def a09_inventory(spark, sf_dir):
+    """Files, bytes and matching names in all and by extension; an empty file counts."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "inventory")
+    _symbol_texts(spark, sf_dir, path)
+    found = ig.file_inventory(spark, path)
+    return round_doubles(rp.union_all(found["by_ext"], found["totals"]))
+
+
+@register(
+    "a11_provenance_names",
+    f"SELECT 'in_symbol=' || symbol || '_part.txt' AS name FROM (SELECT DISTINCT symbol FROM ({q.BARS_HOURLY})) "
+    "UNION ALL SELECT 'in_symbol=none_x_NIFTY50_y.CSV'",
+)
+def a11_provenance_names(spark, sf_dir):
+    """Names of root folder, folders and file (the writer's own part of a name cut out)."""
+    from tickwise.session import shared_path
+
+    path = f"{shared_path(spark, 'names')}/in"
+    _symbol_texts(spark, sf_dir, path)
+    names = ig.provenance_names(ig.file_listing(spark, path, empty=True), path)
+    return names.select(F.regexp_replace("new_name", r"part-.*\.txt$", "part.txt").alias("name"))
 
 
 @register(
@@ -774,6 +819,24 @@ def a06_mixed_headers(spark, sf_dir):
     return round_doubles(ig.load_bars(ig.read_bars_csv(spark, path, "*.csv")))
 
 
+def _ordered_csv(bars, path):
+    """The same bars in three folders of CSV files whose headers name the columns in three orders."""
+    record = _csv_record(bars).withColumn("note", F.lit("a, b"))
+    orders = [record.columns, ["Date", "Time", "close", "Type", "volume", "low", "high", "open"], sorted(record.columns, reverse=True)]
+    for k, order in enumerate(orders):
+        record.where(F.pmod(F.hash("Time"), F.lit(3)) == k).select(*order).write.option("header", "true").csv(f"{path}/order={k}")
+
+
+@register("a06_column_orders", _CSV_SQL)
+def a06_column_orders(spark, sf_dir):
+    """A6 + A8: columns go by the names in each file's header, whatever their order, and other columns are left out."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "orders")
+    _ordered_csv(fx.bars_hourly(spark, sf_dir), path)
+    return round_doubles(ig.load_bars(ig.read_bars_csv(spark, path, "*.csv")))
+
+
 _TAKEN = ["click", "view", "NONE"]
 
 
@@ -783,13 +846,15 @@ _TAKEN = ["click", "view", "NONE"]
     f"FROM (VALUES ('click'), ('view'), ('NONE')) t(s) LEFT JOIN ({q.BARS_HOURLY}) b ON b.symbol = s GROUP BY 1",
 )
 def a07_symbol_folders(spark, sf_dir):
-    """Chosen symbol folders (``x.txt`` or ``x``), one with and one without headers, and the missing symbol."""
+    """Chosen symbol folders (``x.txt`` or ``x``, files also in subfolders), one with and one without headers, and the missing symbol."""
     from tickwise.session import shared_path
 
     path = shared_path(spark, "folders")
     bars = fx.bars_hourly(spark, sf_dir)
-    for symbol, folder, header in (("click", "click.txt", "true"), ("view", "view", "false")):
-        _csv_record(bars.where(F.col("symbol") == symbol)).write.option("header", header).csv(f"{path}/{folder}")
+    for symbol, folder, header in (("click", "click.txt", "true"), ("view", "more/view", "false"), ("error", "error", "true")):
+        own = bars.where(F.col("symbol") == symbol)
+        for half in (0, 1):
+            _csv_record(own.where((F.hour("ts") < 12) == F.lit(half == 0))).write.option("header", header).csv(f"{path}/{folder}/part {half}")
     found, missing = ig.read_symbol_folders(spark, path, _TAKEN)
     per = found.groupBy(F.col("folder_symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close_sum"))
     none = missing.select(F.col("folder_symbol").alias("symbol"), F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("close_sum"))

@@ -6,10 +6,14 @@ uses ``format("kafka")``; tests and the checked queries use files.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickwise.session import cut_lineage
+
 # Fixed values that must equal the reference: bar record fields and defaults.
 BAR_FIELDS = ["Type", "Date", "Time", "open", "high", "low", "close", "volume"]
 BAR_CSV_SCHEMA = "Type string, Date long, Time string, open double, high double, low double, close double, volume double"
@@ -62,25 +66,31 @@ def line_quality(lines: DataFrame, spark: SparkSession | None = None, path: str
 
 
 def count_empty_files(spark: SparkSession, path: str) -> int:
-    """Zero-length files under ``path`` (file-system metadata; file scans skip them)."""
-    jvm = spark._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    it = hp.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hp, True)
-    n = 0
-    while it.hasNext():
-        st = it.next()
-        name = st.getPath().getName()
-        if st.getLen() == 0 and not name.startswith((".", "_")):
-            n += 1
-    return n
-
-
-def file_listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """File paths and sizes only (``binaryFile`` without touching the content column)."""
+    """Zero-length files under ``path``: those of Spark's own listing that its scan has no row for."""
+    files = _listed(spark, path)
+    return len(files.inputFiles()) - files.select("length").count()
+
+
+def _listed(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.load(path).select("path", "length")
+    return r.load(path)
+
+
+def file_listing(spark: SparkSession, path: str, glob: str | None = None, empty: bool = False) -> DataFrame:
+    """File paths and sizes only (``binaryFile`` without touching the content column).
+
+    A scan has no row for a zero-length file; with ``empty`` the names that only Spark's listing holds are added.
+    """
+    files = _listed(spark, path, glob)
+    df = files.select("path", F.col("_metadata.file_path").alias("file_path"), "length")
+    if empty:
+        names = files.inputFiles()
+        if len(names) > df.count():
+            every = spark.createDataFrame([(re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):///", r"\1:/", n),) for n in names], "file_path string")
+            plain = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+            df = df.unionByName(every.join(df, "file_path", "left_anti").select(plain.alias("path"), "file_path", F.lit(0).cast("long").alias("length")))
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
     return df.withColumn("file_name", name).withColumn("ext", ext)
@@ -88,7 +98,7 @@ def file_listing(spark: SparkSession, path: str, glob: str | None = None) -> Dat
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = "_nifty50_", top: int = 5) -> dict[str, DataFrame]:
     """Totals, top extensions and share of names matching ``pattern`` (case-insensitive)."""
-    files = file_listing(spark, path)
+    files = file_listing(spark, path, empty=True)
     match = F.lower("file_name").contains(pattern.lower())
     totals = files.agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count_if(match).alias("matching"),
@@ -109,8 +119,9 @@ def provenance_names(files: DataFrame, root: str) -> DataFrame:
 
     Files are grouped by their own name (extension included); numbering is by path within a group.
     """
-    root = root.rstrip("/")
-    path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    root = re.sub(scheme, "", root).rstrip("/")
+    path = F.regexp_replace("path", scheme, "")
     rel = F.when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 2**31 - 1)).otherwise(path)
     parts = F.split(rel, "/")
     base = F.element_at(parts, -1)
@@ -141,7 +152,7 @@ def human_size(size) -> Column:
 # CSV folders
 # ---------------------------------------------------------------------------
 
-def csv_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def csv_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Text lines of every file below ``path`` with their file and place."""
     r = spark.read.option("recursiveFileLookup", "true")
     if glob:
@@ -167,25 +178,72 @@ def csv_structure(lines: DataFrame) -> DataFrame:
     return first.withColumn("has_header", header).withColumn("columns", F.when(header, fields).otherwise(generic))
 
 
-def read_bars_csv(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Bar CSVs with and without headers, decided per file; only header lines are left out."""
+def csv_fields(line) -> Column:
+    """The fields of a CSV line, without the quotes and white space around them; commas in quotes do not part."""
+    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(parts, lambda x: F.replace(F.regexp_replace(F.trim(x), r'^"|"$', ""), F.lit('""'), F.lit('"')))
+
+
+def read_bars_csv(spark: SparkSession, path: str | list[str], glob: str | None = None, missing: str = "error") -> DataFrame:
+    """Bar CSVs with and without headers, decided per file; columns go by the file's names (in any case and order).
+
+    Only header lines are left out.  A file without one of the bar columns is
+    an error; with ``missing="null"`` that column is null in its rows.
+    """
     lines = csv_lines(spark, path, glob)
-    heads = csv_structure(lines).where("has_header").select("file_path", F.col("first_line").alias("_head"))
-    rows = lines.join(heads, "file_path", "left").where(~F.coalesce(F.col("value") == F.col("_head"), F.lit(False)) & (F.length(F.trim("value")) > 0))
-    return rows.select(F.from_csv("value", F.lit(BAR_CSV_SCHEMA)).alias("r"), "file_path", "file_name").select("r.*", "file_path", "file_name")
+    names = F.transform("columns", lambda c: F.lower(F.regexp_replace(c, '"', "")))
+    heads = csv_structure(lines).select("file_path", F.when(F.col("has_header"), F.col("first_line")).alias("_head"), names.alias("_names"))
+    rows = lines.join(heads, "file_path").where(~F.coalesce(F.col("value") == F.col("_head"), F.lit(False)) & (F.length(F.trim("value")) > 0))
+    rows = rows.withColumn("_fields", csv_fields(F.col("value")))
+
+    def field(name: str, kind: str) -> Column:
+        place = F.array_position("_names", F.lit(name.lower())).cast("int")
+        value = F.get("_fields", place - 1)
+        if missing == "error":
+            value = F.when(place == 0, F.raise_error(F.concat(F.lit(f"column {name} is missing in "), "file_path"))).otherwise(value)
+        return F.nullif(value, F.lit("")).try_cast(kind).alias(name)
+
+    kinds = [c.split() for c in BAR_CSV_SCHEMA.split(", ")]
+    return rows.select(*[field(n, k) for n, k in kinds], "file_path", "file_name")
+
+
+def symbol_files(spark: SparkSession, root: str, symbols: list[str]) -> DataFrame:
+    """The CSV files of the chosen symbols: (folder_symbol, folder, path, file_path).
+
+    A symbol's folder bears its name, with or without ``.txt``; one directly
+    below ``root`` comes before a deeper one, the plain name before ``.txt``.
+    Its files may lie in subfolders.
+    """
+    files = file_listing(spark, root, "*.csv")
+    base = "/" + root.split("://")[-1].split(":", 1)[-1].strip("/") + "/"
+    below = F.element_at(F.split("path", re.escape(base).replace("/", "/+"), 2), -1)
+    parts = F.split(below, "/+")
+    dirs = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda d, i: F.struct(i.alias("depth"), d.alias("name")))
+    each = files.select("path", "file_path", parts.alias("_parts"), F.explode(dirs).alias("_dir"))
+    name = F.regexp_replace("_dir.name", r"\.txt$", "")
+    wanted = spark.createDataFrame([(s,) for s in sorted({s.removesuffix(".txt") for s in symbols})], "folder_symbol string")
+    each = each.withColumn("folder_symbol", name).join(wanted, "folder_symbol", "left_semi")
+    folder = F.array_join(F.slice("_parts", 1, F.col("_dir.depth") + 1), "/")
+    rank = F.struct((F.col("_dir.depth") > 0).alias("deep"), (F.col("_dir.name") != F.col("folder_symbol")).alias("txt"), folder.alias("folder"))
+    each = each.select("folder_symbol", "path", "file_path", rank.alias("_rank"))
+    best = each.groupBy("folder_symbol").agg(F.min("_rank").alias("_best"))   # a row per requested symbol
+    return each.join(best, "folder_symbol").where("_rank = _best").select("folder_symbol", F.col("_rank.folder").alias("folder"), "path", "file_path")
 
 
 def read_symbol_folders(spark: SparkSession, root: str, symbols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Recursive CSV scan of chosen symbols (folder named by symbol, with or without .txt).
+    """CSV scan of the chosen symbols' folders and their subfolders (see :func:`symbol_files`); no other folder is read.
 
     Returns ``(bars, missing)`` where ``missing`` lists requested symbols without data.
     """
-    bars = read_bars_csv(spark, root, "*.csv")
-    folder = F.element_at(F.split(F.col("file_path"), "/"), -2)
-    bars = bars.withColumn("folder_symbol", F.regexp_replace(folder, r"\.txt$", "")).filter(F.col("folder_symbol").isin(symbols))
-    wanted = spark.createDataFrame([(s,) for s in symbols], "folder_symbol string")
-    missing = wanted.join(bars.select("folder_symbol").distinct(), "folder_symbol", "left_anti")
-    return bars, missing
+    files = cut_lineage(symbol_files(spark, root, symbols))
+    folders = [r[0] for r in files.select("folder").distinct().collect()]   # at most one per requested symbol
+    wanted = spark.createDataFrame([(s.removesuffix(".txt"),) for s in symbols], "folder_symbol string")
+    missing = wanted.join(files.select("folder_symbol").distinct(), "folder_symbol", "left_anti")
+    if not folders:
+        empty = spark.createDataFrame([], f"{BAR_CSV_SCHEMA}, file_path string, file_name string, folder_symbol string")
+        return empty, missing
+    bars = read_bars_csv(spark, [f"{root.rstrip('/')}/{f}" for f in folders], "*.csv")
+    return bars.join(files.select("file_path", "folder_symbol"), "file_path").select(*bars.columns, "folder_symbol"), missing
 
 
 def load_bars(csv_bars: DataFrame) -> DataFrame:
@@ -222,10 +280,8 @@ def documents_wide(bars: DataFrame, start: str = DOC_EPOCH, suffix: str = ".csv"
     from tickwise.operators import chunking
 
     # ordinal = global row number - 1 from the series layout (no whole-symbol window)
-    lay = chunking.layout(bars.drop(*[c for c in ("rn", "n_sym") if c in bars.columns]), halo=0)
-    rows = lay.rows
-    if "rn" not in rows.columns:
-        rows = rows.withColumn("rn", F.row_number().over(lay.spec.base()))
+    lay = chunking.layout(bars.drop(*[c for c in ("rn", "n_sym") if c in bars.columns]), halo=0, ties=True)
+    rows = lay.numbered()
     rows = lay.own(rows)
     rec = bar_record(rows).withColumn("ordinal", (F.col("rn") - 1).cast("long"))
     docs = rec.groupBy("ordinal").agg(
