@@ -41,14 +41,16 @@ def test_sequences_scalers_and_state(spark, tmp_dir):
     assert (m.lookback, m.n_features) == (60, 21) and m.sequences == prep["sequences"].count()
     sk.save_scalers(prep["scalers"], f"{tmp_dir}/scalers")
     assert sk.load_scalers(spark, f"{tmp_dir}/scalers").count() == prep["scalers"].count()
-    default = sk.load_state(spark, f"{tmp_dir}/nothing").first()
-    assert default.cash == 10_000_000.0
-    ports = fx.portfolios(spark, SF001)
-    pos = fx.positions(spark, SF001)
-    hist = spark.createDataFrame([("click", [1.2, 1.3])], "symbol string, signal_history array<double>")
-    state = sk.portfolio_state(ports, pos, hist)
-    sk.save_state(state, f"{tmp_dir}/state")
+
+
+def test_portfolio_state_round_trip(spark, tmp_dir):
+    default = sk.load_state(spark, f"{tmp_dir}/nothing")
+    assert default["portfolios"].first().cash == 10_000_000.0 and default["positions"].count() == default["history"].count() == 0
+    ports, pos = fx.portfolios(spark, SF001), fx.positions(spark, SF001)
+    hist = spark.createDataFrame([("click", [1.2, 1.3], 5.0)], "symbol string, signal_history array<double>, price double")
+    sk.save_state(ports, pos, hist, f"{tmp_dir}/state", 4)
     got = sk.load_state(spark, f"{tmp_dir}/state")
-    assert got.count() == ports.count()
-    one = json.loads(got.filter(F.col("portfolio_id") == pos.first().portfolio_id).first().state)
-    assert one["signal_history"]["click"] == [1.2, 1.3] and len(one["positions"]) >= 1
+    rows = lambda df, cols: sorted(tuple(r) for r in df.select(*cols).collect())
+    assert rows(got["positions"], pos.columns) == rows(pos.join(ports, "portfolio_id", "left_semi"), pos.columns)
+    assert rows(got["portfolios"], ports.columns) == rows(ports, ports.columns)
+    assert {r.cycle for r in got["portfolios"].collect()} == {4} and got["history"].first().signal_history == [1.2, 1.3]

@@ -1,11 +1,12 @@
-"""Vectorised windowed EMA/MACD (and MACD alignment) for ``mapInArrow``.
-
-Input rows carry their trailing frame ``_h`` (``array<double>``, NaN for a
-missing close, oldest first).  Frames are left-padded with NaN into a
-``rows x width`` matrix - leading gaps do not change a pandas EWM - and the
-recurrence of :mod:`tickwise.functions.exprs` is run column by column over
-the whole batch at once, with the same operations in the same order, so the
-doubles equal those of the SQL fold.
+"""Trailing frames of sorted series in one Arrow pass (``mapInArrow``): EMA/MACD, MACD alignment, rank and median.
+
+Rows come sorted by series and time, one value per row; a row's frame is a
+sliding view over the values before it, and what a frame needs from an earlier
+batch is carried along.  Nothing is collected into the rows.  The recurrence
+of :mod:`tickwise.functions.exprs` runs column by column over the views of a
+whole batch (left-padded with NaN: leading gaps do not change a pandas EWM),
+with the same operations in the same order, so the doubles equal those of the
+SQL fold.
 """
 
 from __future__ import annotations
@@ -33,22 +34,13 @@ def _ew(e, w, x, a, obs):
     return new_e, new_w
 
 
-def frame_matrix(h: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Left-padded ``rows x width`` matrix of the list column's values, and the list lengths."""
-    n = len(h)
-    lengths = pc.list_value_length(h).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = pc.list_flatten(h)
-    if pa.types.is_struct(flat.type):
-        flat = flat.field(0)
-    vals = flat.to_numpy(zero_copy_only=False).astype(np.float64)
-    m = np.full((n, width), np.nan)
-    if len(vals):
-        rows = np.repeat(np.arange(n), lengths)
-        starts = np.cumsum(lengths) - lengths
-        pos = np.arange(len(vals)) - np.repeat(starts, lengths)
-        cols = np.repeat(width - lengths, lengths) + pos
-        m[rows, cols] = vals
-    return m, lengths
+def sliding(values: np.ndarray, before: np.ndarray, width: int) -> np.ndarray:
+    """``rows x width``: the values up to each of the last ``len(before)`` rows, NaN beyond its ``before`` predecessors."""
+    rows = np.arange(len(before)) + len(values) - len(before)
+    place = rows[:, None] + np.arange(1 - width, 1)
+    out = values[np.maximum(place, 0)]
+    out[np.arange(1 - width, 1) < -before[:, None]] = np.nan
+    return out
 
 
 def ema_macd_matrix(m: np.ndarray) -> dict[str, np.ndarray]:
@@ -85,82 +77,114 @@ def _masked(fn, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return np.where(ok.any(axis=1), fn(np.where(ok, x, fill), axis=1), np.nan)
 
 
-def with_macd_alignment(m: np.ndarray, lengths: np.ndarray, adjacent: np.ndarray, width: int) -> dict[str, np.ndarray]:
-    """EMA/MACD of each row plus E2 (MACD alignment) from ``width + 14``-wide frames.
-
-    ``adjacent[i]``: row ``i-1`` of the batch is the direct predecessor of row
-    ``i`` in the same series.  The line of row ``r-k`` is then read from the
-    row ``k`` places earlier; otherwise it is recomputed from the frame (which
-    holds the values ending at ``r-k``).  Both give the same doubles.  E2 is
-    the window definition: range of the 15 lines (at least 1e-8), velocity
-    against the line 9 rows back, line - signal against the largest gap.
-    """
-    n = m.shape[0]
-    back = m.shape[1] - width
-    base = ema_macd_matrix(m[:, back:])
-    idx = np.arange(n)
-    last_break = np.maximum.accumulate(np.where(adjacent, 0, idx))
-    run = idx - last_break                       # adjacent predecessors in this batch
-    avail = lengths - 1                          # predecessors inside the window partition
-    lines = np.full((n, back + 1), np.nan)
-    sigs = np.full((n, back + 1), np.nan)
-    lines[:, 0], sigs[:, 0] = base["macd_line"], base["macd_signal"]
-    for k in range(1, back + 1):
-        j = idx[(run >= k) & (avail >= k)]
-        lines[j, k], sigs[j, k] = base["macd_line"][j - k], base["macd_signal"][j - k]
-        far = idx[(run < k) & (avail >= k)]
-        if len(far):
-            r = ema_macd_matrix(m[far, back - k: back - k + width])
-            lines[far, k], sigs[far, k] = r["macd_line"], r["macd_signal"]
-    exists = np.arange(back + 1)[None, :] <= avail[:, None]
+def macd_alignment(lines: np.ndarray, signals: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """E2 of the last ``len(before)`` rows: range of the 15 lines (at least 1e-8), velocity against the line 9
+    rows back, line - signal against the largest gap."""
+    back = E2_BACK
+    line_view, signal_view = sliding(lines, before, back + 1), sliding(signals, before, back + 1)
+    exists = np.arange(-back, 1) >= -before[:, None]
     with np.errstate(invalid="ignore", divide="ignore"):
-        hi, lo = _masked(np.max, lines, exists), _masked(np.min, lines, exists)
+        hi, lo = _masked(np.max, line_view, exists), _masked(np.min, line_view, exists)
         rng = np.where(np.isnan(hi), 1e-8, np.maximum(hi - lo, 1e-8))
-        lag9 = np.where(exists[:, 9], lines[:, 9], np.nan)
-        line, sig = lines[:, 0], sigs[:, 0]
-        velocity = (line - lag9) / rng
-        gap = _masked(np.max, np.abs(lines - sigs), exists)
-        den = gap + 1e-8
+        line, sig = line_view[:, -1], signal_view[:, -1]
+        velocity = (line - line_view[:, back - 9]) / rng
+        den = _masked(np.max, np.abs(line_view - signal_view), exists) + 1e-8
         position = np.where(den == 0, np.nan, (line - sig) / den)
         combined = 0.6 * velocity + 0.4 * position
-        base[E2_OUT] = np.where(np.isnan(combined), np.nan, np.maximum(-1.0, np.minimum(1.0, combined)))
-    return base
+        return np.where(np.isnan(combined), np.nan, np.maximum(-1.0, np.minimum(1.0, combined)))
+
+
+def below_last(view: np.ndarray) -> np.ndarray:
+    """How many values of each frame are less than its last."""
+    return (view < view[:, -1:]).sum(axis=1)
+
+
+def median(view: np.ndarray) -> np.ndarray:
+    """The middle of the values present in each frame, or the mean of the two; NaN without any."""
+    ordered = np.sort(view, axis=1)              # NaN come last
+    n = (~np.isnan(view)).sum(axis=1)
+    row = np.arange(len(view))
+    low, high = ordered[row, np.maximum(n - 1, 0) // 2], ordered[row, np.minimum(n // 2, view.shape[1] - 1)]
+    return np.where(n % 2 == 1, low, (low + high) / 2.0)
+
+
+class Carry:
+    """The last values of the series that a batch ends in, for the next batch."""
+
+    def __init__(self) -> None:
+        self.key, self.run, self.values = None, 0, {}
+
+    def before(self, keys: list[pa.Array]) -> np.ndarray:
+        """Predecessors of each row of the batch in its series; forgets the carried values if a new series begins."""
+        n = len(keys[0])
+        start = np.zeros(n, bool)
+        for k in keys:
+            start[1:] |= ~pc.fill_null(pc.equal(k.slice(1), k.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+        if self.key != tuple(k[0].as_py() for k in keys):
+            start[0] = True
+            self.run, self.values = 0, {}
+        idx = np.arange(n)
+        first = np.maximum.accumulate(np.where(start, idx, -1))
+        before = np.where(first >= 0, idx - first, idx + self.run)
+        self.key, self.run = tuple(k[-1].as_py() for k in keys), int(before[-1]) + 1
+        return before
+
+    def joined(self, name: str, x: np.ndarray, width: int) -> np.ndarray:
+        """The carried values and the batch's; the last ``width`` are carried on."""
+        both = np.concatenate([self.values.get(name, np.zeros(0)), x])
+        self.values[name] = both[max(len(both) - width, 0):]
+        return both
 
 
 def _col(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
 
 
-def make_mapper(hist_col: str, width: int, keep: list[str], e2_part: list[str] | None = None, extra: int = 0):
-    """Return a ``mapInArrow`` function adding OUT_COLS (and E2 when ``e2_part``
-    names the series key) and dropping ``hist_col`` (``width + extra`` closes)."""
-    outs = list(OUT_COLS) + ([E2_OUT] if e2_part is not None else [])
+RANK_OUT, ROWS_OUT, MEDIAN_OUT = "_below", "_rows", "_median"
+
+
+def make_mapper(close: str, width: int, keep: list[str], part: list[str], e2: bool = False, rank: str | None = None,
+                middle: tuple[str, int] | None = None, only: str | None = None):
+    """A ``mapInArrow`` function adding OUT_COLS over frames of ``width`` rows of ``close`` to the columns ``keep``.
+
+    Rows must be sorted by the series key ``part`` and time.  ``e2`` adds the
+    MACD alignment, ``rank`` the rank of a column's value in its frame
+    (RANK_OUT of ROWS_OUT rows), ``middle`` the median of a column over so many
+    rows (MEDIAN_OUT).  Rows whose column ``only`` is not true are read but not
+    returned.
+    """
+
+    def doubles(b: pa.RecordBatch, name: str) -> np.ndarray:
+        return pc.fill_null(_col(b, name), float("nan")).to_numpy(zero_copy_only=False).astype(np.float64)
 
     def mapper(batches):
+        carry = Carry()
         for b in batches:
-            m, lengths = frame_matrix(_col(b, hist_col), width + extra)
-            if e2_part is None:
-                out = ema_macd_matrix(m[:, extra:])
-            else:
-                rn = _col(b, "rn").to_numpy(zero_copy_only=False)
-                adjacent = np.zeros(len(rn), dtype=bool)
-                if len(rn) > 1:
-                    same = rn[1:] == rn[:-1] + 1
-                    for c in e2_part:
-                        v = _col(b, c)
-                        eq = pc.equal(v.slice(1), v.slice(0, len(v) - 1)).fill_null(False)
-                        same &= eq.to_numpy(zero_copy_only=False)
-                    adjacent[1:] = same
-                out = with_macd_alignment(m, lengths, adjacent, width)
-            arrays = [_col(b, c) for c in keep]
-            for c in outs:
-                v = out[c]
-                arrays.append(pa.array(v, mask=np.isnan(v), type=pa.float64()))
-            yield pa.RecordBatch.from_arrays(arrays, names=list(keep) + outs)
+            if b.num_rows == 0:
+                continue
+            before = carry.before([_col(b, c) for c in part])
+            out = ema_macd_matrix(sliding(carry.joined("close", doubles(b, close), width), before, width))
+            if e2:
+                lines = carry.joined("line", out["macd_line"], E2_BACK + 1)
+                signals = carry.joined("signal", out["macd_signal"], E2_BACK + 1)
+                out[E2_OUT] = macd_alignment(lines, signals, before)
+            if rank is not None:
+                out[RANK_OUT] = below_last(sliding(carry.joined("rank", doubles(b, rank), width), before, width)).astype(np.float64)
+                out[ROWS_OUT] = np.minimum(before + 1, width).astype(np.float64)
+            if middle is not None:
+                out[MEDIAN_OUT] = median(sliding(carry.joined("middle", doubles(b, middle[0]), middle[1]), before, middle[1]))
+            arrays = [_col(b, c) for c in keep] + [pa.array(v, mask=np.isnan(v), type=pa.float64()) for v in out.values()]
+            made = pa.RecordBatch.from_arrays(arrays, names=list(keep) + list(out))
+            yield made if only is None else made.filter(pc.fill_null(_col(b, only), False))
 
     return mapper
 
 
+def out_columns(e2: bool = False, rank: str | None = None, middle: tuple[str, int] | None = None) -> list[str]:
+    """Names that :func:`make_mapper` adds, in order."""
+    return [*OUT_COLS, *([E2_OUT] if e2 else []), *([RANK_OUT, ROWS_OUT] if rank else []), *([MEDIAN_OUT] if middle else [])]
+
+
 def _ship_by_value():
     """Python workers may not have this package on their path: send the
     module's code with the task instead of a reference to it."""

@@ -78,43 +78,37 @@ def with_history(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = HISTORY, src:
 
 
 EMA_METHOD = "arrow"
-E2_BACK = 14
 
 
-def ema_macd(df: DataFrame, spec: SeriesSpec = PLAIN, hist: str = "_h", method: str | None = None,
-             extra: int = 0, with_e2: bool = False) -> DataFrame:
+def ema_macd(df: DataFrame, spec: SeriesSpec = PLAIN, method: str | None = None, with_e2: bool = False, rank: str | None = None,
+             middle: tuple[str, int] | None = None, only: str | None = None) -> DataFrame:
     """EMA 7/11 and MACD line/signal over the 60-row frame.
 
-    ``hist`` holds the trailing ``60 + extra`` closes.  ``method="fold"``
-    evaluates the recurrence as a JVM higher-order ``aggregate`` per row;
-    ``"arrow"`` (default) runs the same recurrence vectorised over Arrow batches
-    (``mapInArrow``, a narrow per-partition map), several times faster because
-    Spark interprets lambdas.  Both give the same doubles.  With ``with_e2``
-    the Arrow path also returns ``signal_2_macd`` (E2 needs the line of the 14
-    previous rows, ``extra`` must be 14): no window has to run after the map,
-    whose output Spark no longer knows to be partitioned by the series key.
+    ``"arrow"`` (default) is one pass over the sorted series
+    (:mod:`tickwise.functions.ewm_arrow`): a row brings one close, its frame is
+    a view over those before it.  In the same pass ``with_e2`` gives
+    ``signal_2_macd``, ``rank`` the place of a column's value in its frame and
+    ``middle`` a running median, so no window has to run after it; rows whose
+    column ``only`` is not true are left out of the result.  The input is
+    sorted already where a window ran on the series before, and then Spark
+    plans no sort.  ``method="fold"`` evaluates the recurrence as a JVM
+    higher-order ``aggregate`` over collected frames.  Both give the same
+    doubles.
     """
     method = method or EMA_METHOD
-    if hist not in df.columns:
-        # collected last: earlier window operators would copy the array with every row
-        df = with_history(df, spec, n=HISTORY + extra, name=hist)
     if method == "fold":
-        h = F.col(hist) if extra == 0 else F.slice(F.col(hist), F.greatest(F.size(hist) - F.lit(HISTORY - 1), F.lit(1)), F.lit(HISTORY))
-        out = df.withColumn("_hf", h).withColumn("_acc", F.expr(ema_fold_sql("_hf", "spark")))
+        df = with_history(df, spec).withColumn("_acc", F.expr(ema_fold_sql("_h", "spark")))
         for name, sql in ema_outputs("_acc").items():
-            out = out.withColumn(name, F.expr(sql))
-        return out.drop("_acc", "_hf", hist)
+            df = df.withColumn(name, F.expr(sql))
+        return df.drop("_acc", "_h")
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    from tickwise.functions.ewm_arrow import E2_OUT, OUT_COLS, make_mapper
+    from tickwise.functions.ewm_arrow import make_mapper, out_columns
 
-    if with_e2 and extra != E2_BACK:
-        raise ValueError(f"E2 needs {E2_BACK} extra history rows")
-    outs = list(OUT_COLS) + ([E2_OUT] if with_e2 else [])
-    keep = [c for c in df.columns if c != hist]
-    schema = StructType([f for f in df.schema.fields if f.name != hist] + [StructField(c, DoubleType()) for c in outs])
-    mapper = make_mapper(hist, HISTORY, keep, e2_part=list(spec.part) if with_e2 else None, extra=extra)
-    return df.mapInArrow(mapper, schema)
+    keep = df.columns
+    schema = StructType(list(df.schema.fields) + [StructField(c, DoubleType()) for c in out_columns(with_e2, rank, middle)])
+    mapper = make_mapper("close", HISTORY, keep, list(spec.part), with_e2, rank, middle, only)
+    return df.sortWithinPartitions(*spec.part, *spec.order).mapInArrow(mapper, schema)
 
 
 def rsi_stream(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = 14, name: str = "rsi_14") -> DataFrame:
@@ -178,15 +172,13 @@ def bollinger(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = 20, k: float = 2
     )
 
 
-def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, ema_method: str | None = None, with_ema: bool = True,
-           extra_history: int = 0) -> DataFrame:
+def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, ema_method: str | None = None, with_ema: bool = True) -> DataFrame:
     """The 15 stream indicators (no gate; see :func:`warm_rows`).
 
     Adds ``rn`` (row number in the series) unless present, and ``n_sym`` (rows
     in the symbol) unless present.  Every window shares one partition/order
     spec, so the plan has a single exchange + sort on the series key.
-    ``with_ema=False`` stops before the EMA step (:func:`ema_macd` collects the
-    ``60 + extra_history``-row frame itself, as the last window).
+    ``with_ema=False`` stops before the EMA step.
     """
     df = bars
     if "rn" not in df.columns:
@@ -204,7 +196,7 @@ def enrich(bars: DataFrame, spec: SeriesSpec = PLAIN, ema_method: str | None = N
     df = rsi_stream(df, spec)
     df = price_change(df, spec)
     if with_ema:   # last: the map's output is no longer known to be partitioned
-        df = ema_macd(df, spec, method=ema_method, extra=extra_history)
+        df = ema_macd(df, spec, method=ema_method)
     for c in INDICATOR_COLS:           # C2: NaN / Inf never leave the operator
         if c in df.columns:
             df = df.withColumn(c, nan_to_null(F.col(c)))

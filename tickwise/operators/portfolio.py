@@ -32,6 +32,7 @@ MIN_CONFIDENCE, BASE_ALLOCATION = 0.3, 0.15
 INITIAL_CAPITAL = 10_000_000.0
 STRENGTH_RANGE = 2.0 - WEAK_BUY            # evaluated in double, as in the reference
 DEFAULT_MAX_AGE_S = 6 * 3600               # reference: 60 s on 1 s bars
+DAY_S = 86_400                             # cycle period; reference: 300 s
 
 
 # ---------------------------------------------------------------------------
@@ -58,28 +59,38 @@ def with_flags(df: DataFrame, score: str = "marker_final_score") -> DataFrame:
     )
 
 
-def cycle_of(ts: str = "ts"):
-    """The first rebalancing time at or after ``ts`` (midnight cycles)."""
-    day = F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")
-    return F.when(day == F.col(ts), day).otherwise(day + F.expr("INTERVAL 1 DAY"))
+EPOCH = "1970-01-01 00:00:00"
 
 
-def fresh_signals(signals: DataFrame, max_age_s: int = DEFAULT_MAX_AGE_S) -> DataFrame:
-    """C10 + H8: newest signal per (cycle time, symbol) no older than ``max_age_s``.
+def epoch_micros(ts):
+    """Microseconds of a zone-free time since the epoch (no session time zone in it)."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    day = F.datediff(c.cast("date"), F.lit(EPOCH).cast("date")).cast("long") * F.lit(86_400)
+    seconds = day + F.hour(c) * F.lit(3600) + F.minute(c) * F.lit(60)
+    return seconds * F.lit(1_000_000) + (F.extract(F.lit("SECONDS"), c) * F.lit(1_000_000)).cast("long")
 
-    Each signal can only be the freshest candidate of the first cycle at or
-    after it, so the as-of lookup is an aggregation on (cycle, symbol) - no
-    range join.  Future signals never reach an earlier cycle.
+
+def fresh_signals(signals: DataFrame, max_age_s: int = DEFAULT_MAX_AGE_S, period_s: int = DAY_S) -> DataFrame:
+    """C10 + H8: newest signal per (cycle time, symbol) no older than ``max_age_s``; cycles are the multiples of ``period_s``.
+
+    The last signal before a cycle is the only one of its period that a cycle
+    can see, so signals are first reduced to one per (symbol, period).  Each of
+    them serves the cycles from its own up to its age, or to the next signal's
+    first cycle: a sequence per row, for any period and age, without a range
+    join.  Future signals never reach an earlier cycle.
     """
-    s = signals.withColumn("cycle_ts", cycle_of("ts"))
-    s = s.filter(F.col("cycle_ts") - F.col("ts") <= F.make_dt_interval(secs=F.lit(max_age_s)))
     keep = ["ts", "close", "atr_14", "marker_final_score", "regime", "regime_confidence", "volume"]
-    return (
-        s.groupBy("cycle_ts", "symbol")
-        .agg(F.max_by(F.struct(*keep), F.col("ts")).alias("s"))
-        .select("cycle_ts", "symbol", *[F.col(f"s.{c}").alias(c) for c in keep])
-        .withColumnRenamed("ts", "signal_ts")
-    )
+    s = signals.withColumn("_us", epoch_micros("ts"))
+    period, age = period_s * 1_000_000, max_age_s * 1_000_000
+    s = s.withColumn("_first", F.expr(f"_us div {period}L + if(pmod(_us, {period}L) = 0, 0L, if(_us > 0, 1L, 0L))"))
+    s = s.groupBy("symbol", "_first").agg(F.max_by(F.struct(*keep, "_us"), F.col("ts")).alias("s"))
+    later = F.lead("_first").over(Window.partitionBy("symbol").orderBy("_first"))
+    end = f"(s._us + {age}L)"
+    last = F.expr(f"({end} - pmod({end}, {period}L)) div {period}L")
+    s = s.withColumn("_last", F.least(last, F.coalesce(later - 1, last))).where("_last >= _first")
+    s = s.withColumn("_cycle", F.explode(F.sequence("_first", "_last")))
+    time = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("_cycle") * F.lit(period_s)).cast("decimal(18,6)"))
+    return s.select(time.alias("cycle_ts"), "symbol", *[F.col(f"s.{c}").alias("signal_ts" if c == "ts" else c) for c in keep])
 
 
 def number_cycles(fresh: DataFrame) -> DataFrame:
@@ -101,7 +112,11 @@ def number_cycles(fresh: DataFrame) -> DataFrame:
 def score_history(fresh: DataFrame) -> DataFrame:
     """D26 + F7: kept history (last 20 scores incl. this cycle) and confidence from the last 4."""
     w = Window.partitionBy("symbol").orderBy("cycle")
-    df = fresh.withColumn("signal_history", F.collect_list("marker_final_score").over(w.rowsBetween(-(HISTORY_KEPT - 1), 0)))
+    return confidence(fresh.withColumn("signal_history", F.collect_list("marker_final_score").over(w.rowsBetween(-(HISTORY_KEPT - 1), 0))))
+
+
+def confidence(df: DataFrame) -> DataFrame:
+    """confidence from the last 4 scores of ``signal_history``."""
     start = F.greatest(F.size("signal_history") - F.lit(CONFIDENCE_LOOKBACK - 1), F.lit(1))
     df = df.withColumn("_h4", F.slice(F.col("signal_history"), start, F.lit(CONFIDENCE_LOOKBACK)))
     n = F.size("_h4").cast("double")
@@ -150,21 +165,31 @@ def position_size():
 # valuation
 # ---------------------------------------------------------------------------
 
+def carried_prices(fresh: DataFrame, n_cycles: int) -> DataFrame:
+    """(symbol, cycle, price): the newest fresh close so far, carried over the cycles without one.
+
+    A row per symbol and cycle, made once, not once per position.
+    """
+    later = F.lead("cycle").over(Window.partitionBy("symbol").orderBy("cycle"))
+    span = F.sequence(F.col("cycle"), F.coalesce(F.col("_next") - 1, F.lit(n_cycles).cast("long")))
+    return fresh.withColumn("_next", later).select("symbol", F.explode(span).alias("cycle"), F.col("close").alias("_px"))
+
+
 def positions_by_cycle(positions: DataFrame, fresh: DataFrame, n_cycles: int) -> DataFrame:
     """F4 (+H1): every position at every cycle, marked to the newest fresh close so far.
 
     Positions are expanded over the cycle numbers with ``explode(sequence)``
-    (a generator, not a join); prices come from a left join on
-    (symbol, cycle) and are carried forward per position.
+    (a generator, not a join) and looked up in the carried prices.
     """
     pc = positions.withColumn("cycle", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_cycles).cast("long"))))
-    px = fresh.select("symbol", "cycle", F.col("close").alias("_px"))
-    pc = pc.join(px, ["symbol", "cycle"], "left")
-    w = Window.partitionBy("portfolio_id", "symbol").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
-    price = F.coalesce(F.last("_px", ignorenulls=True).over(w), F.col("avg_price"))
-    return pc.withColumn("current_price", price).drop("_px").withColumn(
-        "market_value", F.col("shares").cast("double") * F.col("current_price")
-    )
+    prices, _ = broadcast_if_small(cut_lineage(carried_prices(fresh, n_cycles)))
+    return marked(pc.join(prices, ["symbol", "cycle"], "left"))
+
+
+def marked(pos: DataFrame) -> DataFrame:
+    """Positions with ``_px`` valued at it, or at their average price where there is none."""
+    pos = pos.withColumn("current_price", F.coalesce("_px", "avg_price")).drop("_px")
+    return pos.withColumn("market_value", F.col("shares").cast("double") * F.col("current_price"))
 
 
 def position_valuation(pos: DataFrame) -> DataFrame:
@@ -206,23 +231,34 @@ def _fmt_pct1(x):
     return F.concat(F.format_string("%.1f", F.floor(x * F.lit(1000.0) + F.lit(0.5)).cast("double") / F.lit(10.0)), F.lit("%"))
 
 
-def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, max_age_s: int = DEFAULT_MAX_AGE_S) -> dict[str, DataFrame]:
+def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, max_age_s: int = DEFAULT_MAX_AGE_S,
+              period_s: int = DAY_S) -> dict[str, DataFrame]:
     """all cycles for all portfolios.  Returns the intermediate tables and ``orders``.
 
     portfolios: portfolio_id, cash, trades_used; positions: portfolio_id, symbol,
     shares, avg_price, last_action_signal; signals: SIGNAL rows (E11).
     """
     configure(signals.sparkSession)
-    fresh = cut_lineage(fresh_signals(signals, max_age_s))      # signals are computed once
+    fresh = cut_lineage(fresh_signals(signals, max_age_s, period_s))      # signals are computed once
     fresh = cut_lineage(score_history(number_cycles(fresh)))
     fresh = volatility_base(fresh).withColumn("signal_strength", strength())
     n_cycles = max(1, fresh.agg(F.max("cycle")).first()[0] or 0)
-    fresh_b, _ = broadcast_if_small(cut_lineage(fresh))
+    fresh = cut_lineage(fresh)
 
     pos_cycle = positions_by_cycle(positions, fresh, n_cycles)
     pcycle = portfolios.withColumn("cycle", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_cycles).cast("long"))))
     cycles_ts = fresh.select("cycle", "cycle_ts").distinct()
-    pcycle = pcycle.join(F.broadcast(cycles_ts), "cycle")
+    cycles_ts, _ = broadcast_if_small(cut_lineage(cycles_ts))
+    return orders_of(fresh, pos_cycle, pcycle.join(cycles_ts, "cycle"))
+
+
+def orders_of(fresh: DataFrame, pos_cycle: DataFrame, pcycle: DataFrame) -> dict[str, DataFrame]:
+    """F3, F5 - F18 for the cycles of ``pcycle`` (portfolio_id, cycle, cycle_ts, cash, trades_used).
+
+    ``fresh``: written rows (cycle, symbol) with confidence, strength and mean
+    ATR; ``pos_cycle``: the positions valued at each cycle.
+    """
+    fresh_b, _ = broadcast_if_small(fresh)
     pval = portfolio_valuation(pcycle, pos_cycle)
 
     # Candidates: every fresh signal of the cycle for every portfolio (F5), with ownership (H2).
@@ -298,7 +334,7 @@ def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, m
     raw = raw.withColumn("_seq", F.row_number().over(gen))
     raw = raw.withColumn("order_id", F.format_string("ORD-%04d-%03d", F.col("cycle"), F.col("_seq")))
 
-    orders = validate_and_cap(raw, portfolios)
+    orders = validate_and_cap(raw, pcycle.select("portfolio_id", "trades_used").distinct())
     return {"fresh": fresh, "positions": pos_cycle, "portfolios": pval, "candidates": cand, "orders": orders}
 
 
@@ -318,17 +354,19 @@ def validate_and_cap(raw: DataFrame, portfolios: DataFrame, max_trades: int = MA
     grouped = raw.groupBy("portfolio_id", "cycle", "cycle_ts", "cash").agg(
         F.array_sort(F.collect_list(F.struct(*ORDER_FIELDS))).alias("_orders")
     )
-    empty = F.filter(F.col("_orders"), lambda o: F.lit(False))
-    init = F.struct(F.col("cash").alias("c"), empty.alias("k"))
+    # only rejected orders are written down, so the fold is linear in the orders that are kept
+    init = F.struct(F.col("cash").alias("c"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, o):
         sell = o["action"] == "SELL"
-        ok = ~sell & (acc["c"] >= o["dollar_amount"])
-        return F.when(sell, F.struct((acc["c"] + o["dollar_amount"]).alias("c"), F.concat(acc["k"], F.array(o)).alias("k"))).when(
-            ok, F.struct((acc["c"] - o["dollar_amount"]).alias("c"), F.concat(acc["k"], F.array(o)).alias("k"))
-        ).otherwise(acc)
-
-    val = grouped.withColumn("_kept", F.aggregate("_orders", init, step)["k"]).withColumn("_n", F.size("_kept"))
+        ok = sell | (acc["c"] >= o["dollar_amount"])
+        cash = F.when(sell, acc["c"] + o["dollar_amount"]).when(ok, acc["c"] - o["dollar_amount"]).otherwise(acc["c"])
+        return F.struct(cash.alias("c"), (acc["i"] + 1).alias("i"), F.when(ok, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["i"]))).alias("out"))
+
+    out = F.col("_out")
+    val = grouped.withColumn("_out", F.aggregate("_orders", init, step)["out"])
+    kept = F.when(F.size(out) == 0, F.col("_orders")).otherwise(F.filter("_orders", lambda o, i: ~F.array_contains(out, i)))
+    val = val.withColumn("_kept", kept).withColumn("_n", F.size("_kept")).drop("_orders", "_out")
     # Lifetime cap: orders kept in earlier cycles count against it.
     pw = Window.partitionBy("portfolio_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
     val = val.join(portfolios.select("portfolio_id", "trades_used"), "portfolio_id")
@@ -349,3 +387,36 @@ def order_summary(orders: DataFrame) -> DataFrame:
         F.count_if(buy).alias("buy_orders"), F.coalesce(F.sum(F.when(buy, F.col("dollar_amount"))), F.lit(0.0)).alias("buy_amount"),
         F.count_if(sell).alias("sell_orders"), F.coalesce(F.sum(F.when(sell, F.col("dollar_amount"))), F.lit(0.0)).alias("sell_amount"),
     ).withColumn("net_flow", F.col("buy_amount") - F.col("sell_amount"))
+
+
+# ---------------------------------------------------------------------------
+# K5: one cycle from stored state
+# ---------------------------------------------------------------------------
+
+def next_cycle(portfolios: DataFrame, positions: DataFrame, history: DataFrame, latest: DataFrame, cycle: int, cycle_ts,
+               max_age_s: int = DEFAULT_MAX_AGE_S) -> dict[str, DataFrame]:
+    """The cycle number ``cycle`` at ``cycle_ts`` from what the cycles before have left; equals that cycle of :func:`rebalance`.
+
+    portfolios: portfolio_id, cash, trades_used; positions: portfolio_id,
+    symbol, shares, avg_price, last_action_signal; history: symbol,
+    signal_history (newest last), price (last fresh close); latest: the newest
+    signal per symbol.  Returns ``orders`` of this cycle and the new
+    ``portfolios`` and ``history``.
+    """
+    at = F.lit(cycle_ts).cast("timestamp_ntz")
+    young = epoch_micros(at) - epoch_micros("ts") <= F.lit(max_age_s * 1_000_000)
+    fresh = latest.where((F.col("ts") <= at) & young).withColumnRenamed("ts", "signal_ts")
+    fresh = fresh.withColumn("cycle", F.lit(cycle).cast("long")).withColumn("cycle_ts", at)
+    both = history.join(fresh.select("symbol", F.col("marker_final_score").alias("_s"), F.col("close").alias("_c")), "symbol", "full")
+    scores = F.concat(F.coalesce("signal_history", F.array().cast("array<double>")), F.when(F.col("_s").isNotNull(), F.array("_s")).otherwise(F.array().cast("array<double>")))
+    tail = F.slice(scores, F.greatest(F.size(scores) - F.lit(HISTORY_KEPT - 1), F.lit(1)), F.lit(HISTORY_KEPT))
+    history = cut_lineage(both.select("symbol", tail.alias("signal_history"), F.coalesce("_c", "price").alias("price")))
+    fresh = confidence(fresh.join(history.select("symbol", "signal_history"), "symbol"))
+    fresh = cut_lineage(volatility_base(fresh).withColumn("signal_strength", strength()))
+    pos = marked(positions.withColumn("cycle", F.lit(cycle).cast("long")).join(history.select("symbol", F.col("price").alias("_px")), "symbol", "left"))
+    pcycle = portfolios.withColumn("cycle", F.lit(cycle).cast("long")).withColumn("cycle_ts", at)
+    orders = cut_lineage(orders_of(fresh, pos, pcycle)["orders"])
+    made = orders.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("_n"))
+    used = F.col("trades_used") + F.coalesce("_n", F.lit(0))
+    portfolios = portfolios.join(made, "portfolio_id", "left").withColumn("trades_used", used).drop("_n")
+    return {"orders": orders, "portfolios": portfolios, "history": history}

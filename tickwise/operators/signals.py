@@ -15,6 +15,7 @@ from tickwise.functions.exprs import EPS_PERCENT, EPS_SMALL, EPS_VOLUME, clip, n
 from tickwise.operators.indicators import HISTORY, SIGNAL_READY, full_frame, last_present_rn
 from tickwise.operators.series import PLAIN, SeriesSpec
 
+MEDIAN_ROWS = 15      # rows of the volume median (E5)
 SIGNAL_COLS = [
     "signal_1_momentum", "signal_2_macd", "signal_3_rsi",
     "signal_4_bollinger", "signal_5_volume", "signal_6_trend_quality",
@@ -124,26 +125,34 @@ def bollinger_dynamics(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
     return df.withColumn("signal_4_bollinger", clip(F.col("_pos") * adj, -1, 1)).drop("_pb", "_vu", "_vl", "_wc", "_pos")
 
 
-def volume_conviction(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
-    """E5 (+D19, D21): net % move of 10 rows scaled by the volume surge over the 15-row median."""
+def volume_parts(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
+    """Inputs of E5 but the median (+D21): net % move and share of busy rows in the last 10."""
     w10 = spec.last(10)
     net = F.when(full_frame("price_change_pct", spec, 10), F.sum("price_change_pct").over(w10))
-    sorted15 = F.array_sort(F.collect_list("volume_ratio").over(spec.last(15)))
-    df = df.withColumn("_net", net).withColumn("_s15", sorted15)
-    n = F.size("_s15")
-    mid = (n / 2).cast("int")
+    return df.withColumn("_net", net).withColumn("_busy", F.count_if(F.col("volume_ratio") > 1.2).over(w10) / F.lit(10.0))
+
+
+def running_median(df: DataFrame, spec: SeriesSpec = PLAIN, n: int = MEDIAN_ROWS, name: str = "_median") -> DataFrame:
+    """D19 as a collected frame: the path without the Arrow pass."""
+    df = df.withColumn("_s", F.array_sort(F.collect_list("volume_ratio").over(spec.last(n))))
+    size = F.size("_s")
+    mid = (size / 2).cast("int")
     median = (
-        F.when(n == 0, F.lit(None).cast("double"))
-        .when(n % 2 == 1, F.element_at("_s15", ((n + 1) / 2).cast("int")))
-        .otherwise((F.element_at("_s15", mid) + F.element_at("_s15", mid + 1)) / F.lit(2.0))
+        F.when(size == 0, F.lit(None).cast("double"))
+        .when(size % 2 == 1, F.element_at("_s", ((size + 1) / 2).cast("int")))
+        .otherwise((F.element_at("_s", mid) + F.element_at("_s", mid + 1)) / F.lit(2.0))
     )
-    baseline = F.greatest(median, F.lit(0.5))
+    return df.withColumn(name, median).drop("_s")
+
+
+def volume_conviction(df: DataFrame) -> DataFrame:
+    """E5: net % move of 10 rows scaled by the volume surge over the 15-row median."""
+    baseline = F.greatest("_median", F.lit(0.5))
     surge = tdiv(F.col("volume_ratio"), baseline) - F.lit(1.0)
-    consistency = F.count_if(F.col("volume_ratio") > 1.2).over(w10) / F.lit(10.0)
     net = F.col("_net")
     align = F.abs(net) * surge * F.signum(net)
-    adjusted = F.when(consistency > 0.6, align * F.lit(1.3)).otherwise(align)
-    return df.withColumn("signal_5_volume", clip(F.tanh(adjusted * F.lit(2.0)), -1, 1)).drop("_net", "_s15")
+    adjusted = F.when(F.col("_busy") > 0.6, align * F.lit(1.3)).otherwise(align)
+    return df.withColumn("signal_5_volume", clip(F.tanh(adjusted * F.lit(2.0)), -1, 1)).drop("_net", "_busy", "_median")
 
 
 def trend_quality(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
@@ -162,17 +171,23 @@ def trend_quality(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
     return df.withColumn("signal_6_trend_quality", clip(raw, -1, 1)).drop("_d", "_ad")
 
 
-def volatility_regime(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
-    """E7 (+D20): strict percentile rank of ATR in its 60-row window and its 4-row change."""
-    w60 = spec.last(HISTORY)
-    hist = F.collect_list("atr_14").over(w60)
-    df = df.withColumn("_ah", hist).withColumn("_rows", F.count(F.lit(1)).over(w60))
-    below = F.size(F.filter(F.col("_ah"), lambda x: x < F.col("atr_14")))
-    pct = below / F.col("_rows") * F.lit(100.0)
+def atr_rate(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
+    """Input of E7: change of the ATR over 4 rows."""
     a4 = _lag("atr_14", 4, spec)
-    rate = tdiv(F.col("atr_14") - a4, a4 + F.lit(EPS_SMALL))
-    df = df.withColumn("_p", pct).withColumn("_r", rate)
-    p, r = F.col("_p"), F.col("_r")
+    return df.withColumn("_rate", tdiv(F.col("atr_14") - a4, a4 + F.lit(EPS_SMALL)))
+
+
+def rank_in_frame(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
+    """D20 as a collected frame: the path without the Arrow pass."""
+    w60 = spec.last(HISTORY)
+    df = df.withColumn("_ah", F.collect_list("atr_14").over(w60)).withColumn("_rows", F.count(F.lit(1)).over(w60).cast("double"))
+    return df.withColumn("_below", F.size(F.filter(F.col("_ah"), lambda x: x < F.col("atr_14"))).cast("double")).drop("_ah")
+
+
+def volatility_regime(df: DataFrame) -> DataFrame:
+    """Strict percentile rank of ATR in its 60-row window (``_below`` of ``_rows``) and its 4-row change."""
+    df = df.withColumn("_p", F.col("_below") / F.col("_rows") * F.lit(100.0))
+    p, r = F.col("_p"), F.col("_rate")
     regime = (
         F.when((p > 75) & (r > 0.15), "EXPLOSIVE").when(p > 55, "TRENDING").when(p < 35, "MEAN_REVERSION").otherwise("NEUTRAL")
     )
@@ -182,7 +197,7 @@ def volatility_regime(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
         .when(p < 35, (F.lit(35.0) - p) / F.lit(35.0))
         .otherwise(F.lit(0.5))
     )
-    return df.withColumn("regime", regime).withColumn("regime_confidence", conf).drop("_ah", "_rows", "_p", "_r")
+    return df.withColumn("regime", regime).withColumn("regime_confidence", conf).drop("_below", "_rows", "_p", "_rate")
 
 
 def volume_stats(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
@@ -247,10 +262,11 @@ def signal_table(enriched: DataFrame, spec: SeriesSpec = PLAIN, extra: tuple[str
     """SIGNAL rows for every ready bar; rows with any missing signal are dropped.
 
     ``enriched`` is the ungated output of :func:`tickwise.operators.indicators.enrich`
-    (all rows, so windows can look back), preferably with ``with_ema=False,
-    extra_history=14``: then every window runs first and the EMA/MACD step
-    (which also yields E2) runs last, so the plan keeps one exchange on the
-    series key.  A frame that already has the MACD columns is also accepted.
+    (all rows, so windows can look back), preferably with ``with_ema=False``:
+    then every window runs first and one Arrow pass over the sorted series
+    gives the EMA/MACD, E2, the ATR's rank and the volume median, so the plan
+    keeps one exchange on the series key.  A frame that already has the MACD
+    columns is also accepted.
     """
     from tickwise.operators import indicators as ind
 
@@ -259,26 +275,25 @@ def signal_table(enriched: DataFrame, spec: SeriesSpec = PLAIN, extra: tuple[str
     df = momentum_strength(df, spec)
     df = rsi_reversion(df, spec)
     df = bollinger_dynamics(df, spec)
-    df = volume_conviction(df, spec)
+    df = volume_parts(df, spec)
     df = trend_quality(df, spec)
-    df = volatility_regime(df, spec)
+    df = atr_rate(df, spec)
     df = volume_stats(df, spec)
-    if "macd_line" in df.columns:
+    method = ema_method or ind.EMA_METHOD
+    if "macd_line" in df.columns or method == "fold":
+        df = rank_in_frame(running_median(df, spec), spec)
+        if "macd_line" not in df.columns:
+            df = ind.ema_macd(df, spec, method=method)
+            for c in ("ema_7", "ema_11", "macd_line", "macd_signal"):
+                df = df.withColumn(c, nan_to_null(F.col(c)))
         df = macd_alignment(df, spec)
     else:
-        method = ema_method or ind.EMA_METHOD
-        if method == "arrow":
-            # frame first (needs every row), then only ready rows and the columns
-            # still needed cross into Python; predecessors that are filtered out
-            # are recomputed from the frame inside the map (exact).
-            df = ind.with_history(df, spec, n=ind.HISTORY + ind.E2_BACK)
-            keep = [c for c in df.columns if c not in ("n_sym", "sma_5", "vma_10", "is_enriched")]
-            df = df.filter(F.col("_ready")).select(*keep)
-        df = ind.ema_macd(df, spec, method=method, extra=ind.E2_BACK, with_e2=(method == "arrow"))
+        # every row passes, since frames reach back over rows that are not ready; only ready ones come out
+        df = df.select(*[c for c in df.columns if c not in ("n_sym", "sma_5", "vma_10", "is_enriched")])
+        df = ind.ema_macd(df, spec, method=method, with_e2=True, rank="atr_14", middle=("volume_ratio", MEDIAN_ROWS), only="_ready")
         for c in ("ema_7", "ema_11", "macd_line", "macd_signal"):
             df = df.withColumn(c, nan_to_null(F.col(c)))
-        if method != "arrow":
-            df = macd_alignment(df, spec)
+    df = volatility_regime(volume_conviction(df))
     for c in SIGNAL_COLS:
         df = df.withColumn(c, nan_to_null(F.col(c)))
     df = df.filter(F.col("_ready"))

@@ -181,6 +181,66 @@ def h08_fresh_signals_by_cycle(spark, sf_dir):
     return round_doubles(fresh.select(*FRESH_COLS))
 
 
+_ASOF_SQL = (
+    f"WITH {q.enriched_ctes(q.BARS_HOURLY)}, {q.signal_ctes()}, m AS MATERIALIZED (SELECT symbol, ts, close, marker_final_score FROM sig), "
+    "c AS (SELECT unnest(generate_series((SELECT min(ts) FROM m), (SELECT max(ts) FROM m) + INTERVAL 2 DAY, INTERVAL {period} SECOND)) AS cycle_ts), "
+    "cs AS (SELECT cycle_ts, symbol FROM c CROSS JOIN (SELECT DISTINCT symbol FROM m)) "
+    "SELECT cs.cycle_ts, cs.symbol, m.ts AS signal_ts, " + q.r6("m.close") + " AS close, " + q.r6("m.marker_final_score") + " AS marker_final_score "
+    "FROM cs ASOF JOIN m ON m.symbol = cs.symbol AND cs.cycle_ts >= m.ts WHERE cs.cycle_ts - m.ts <= INTERVAL {age} SECOND"
+)
+
+
+def _asof(spark, sf_dir, period, age):
+    found = pf.fresh_signals(hourly_signals(spark, sf_dir), age, period)
+    return round_doubles(found.select("cycle_ts", "symbol", "signal_ts", "close", "marker_final_score"))
+
+
+@register("h08_asof_5min", _ASOF_SQL.replace("{period}", "300").replace("{age}", "9000"))
+def h08_asof_5min(spark, sf_dir):
+    """C10 + H8: cycles every 300 s that see signals of up to two and a half hours."""
+    return _asof(spark, sf_dir, 300, 9000)
+
+
+@register("h08_asof_days_old", _ASOF_SQL.replace("{period}", "7200").replace("{age}", "100000").replace("(SELECT min(ts) FROM m)", "(SELECT date_trunc('day', min(ts)) FROM m)"))
+def h08_asof_days_old(spark, sf_dir):
+    """C10 + H8: an age of more than a day, beyond the end of the signals too."""
+    return _asof(spark, sf_dir, 7200, 100_000)
+
+
+@register("k05_rebalance_triggers", _PF_SQL + "SELECT " + r6_select(pf.ORDER_COLS, {"price", "dollar_amount", "target_weight", "current_weight", "signal_score", "signal_strength", "confidence"}) + " FROM ords WHERE cycle = 3")
+def k05_rebalance_triggers(spark, sf_dir):
+    """K5 + B12 + B13: three triggers, each one cycle from the state before; the pending orders are the third's."""
+    from tickwise.session import cut_lineage, shared_path
+    from tickwise.streaming import engine
+
+    run = engine.Rebalancer(shared_path(spark, "rebalance"), period_s=pf.DAY_S, max_age_s=pf.DEFAULT_MAX_AGE_S)
+    run.begin(fx.portfolios(spark, sf_dir), fx.positions(spark, sf_dir))
+    day = F.ceil(pf.epoch_micros("ts") / F.lit(float(pf.DAY_S * 1_000_000))).cast("long")
+    signals = cut_lineage(hourly_signals(spark, sf_dir).withColumn("_day", day))
+    young = cut_lineage(pf.fresh_signals(signals).select("cycle_ts").distinct().orderBy("cycle_ts"))
+    days = [r[0] for r in young.select(F.floor(pf.epoch_micros("cycle_ts") / F.lit(pf.DAY_S * 1_000_000))).limit(3).collect()]   # three cycles are the feature
+    for n, d in enumerate(sorted(days)):
+        run(signals.where(F.col("_day") == d).drop("_day"), n)
+    return round_doubles(spark.read.parquet(f"{run.root}/pending").select(*pf.ORDER_COLS))
+
+
+@register(
+    "b13_portfolio_state",
+    f"WITH pos AS ({q.POSITIONS}), pf AS ({q.PORTFOLIOS}) SELECT portfolio_id, symbol, shares, {q.r6('avg_price')} AS avg_price, {q.r6('cash')} AS cash, "
+    "CAST(0 AS BIGINT) AS trades_used, CAST(7 AS BIGINT) AS cycle FROM pf LEFT JOIN pos USING (portfolio_id)",
+)
+def b13_portfolio_state(spark, sf_dir):
+    """Portfolios with their positions stored and loaded again; those without positions too."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "state")
+    history = spark.createDataFrame([], "symbol string, signal_history array<double>, price double")
+    sk.save_state(fx.portfolios(spark, sf_dir), fx.positions(spark, sf_dir), history, path, 7)
+    back = sk.load_state(spark, path)
+    out = back["portfolios"].join(back["positions"], "portfolio_id", "left")
+    return round_doubles(out.select("portfolio_id", "symbol", "shares", "avg_price", "cash", "trades_used", "cycle"))
+
+
 @register(
     "f03_portfolio_valuation",
     _PF_SQL + "SELECT portfolio_id, cycle, " + q.r6("cash") + " AS cash, " + q.r6("total_value") + " AS total_value, position_count, "

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from tickwise.operators.indicators import BAR_COLS
 
-PORTFOLIO_STATE_SCHEMA = "portfolio_id long, cash double, cycle long, trades_used long, state string"
-
 
 def latest_per_symbol(df: DataFrame, order=("ts", "partition", "offset")) -> DataFrame:
     """Newest row per symbol; ties on time go to the later arrival."""
@@ -144,28 +142,31 @@ def replace_pending(orders: DataFrame, path: str) -> None:
     orders.write.mode("overwrite").parquet(path)
 
 
-def portfolio_state(portfolios: DataFrame, positions: DataFrame, history: DataFrame) -> DataFrame:
-    """B13 save form: one row per portfolio with positions and score history as nested JSON.
+#: a position as it is stored with its portfolio
+POSITION = "array<struct<symbol: string, shares: long, avg_price: double, last_action_signal: double>>"
 
-    ``history``: (symbol, signal_history array<double>) of the latest cycle.
-    """
-    pos = positions.groupBy("portfolio_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("symbol", F.struct(*[c for c in positions.columns if c not in ("portfolio_id",)])))).alias("positions")
-    )
-    hist_map = history.agg(F.map_from_entries(F.collect_list(F.struct("symbol", "signal_history"))).alias("signal_history"))
-    out = portfolios.join(pos, "portfolio_id", "left").join(F.broadcast(hist_map), how="left")
-    return out.select("portfolio_id", "cash", F.coalesce("trades_used", F.lit(0)).cast("long").alias("trades_used"),
-                      F.to_json(F.struct(F.coalesce("positions", F.create_map()).alias("positions"), "signal_history")).alias("state"))
 
+def portfolio_state(portfolios: DataFrame, positions: DataFrame, cycle: int) -> DataFrame:
+    """B13 save form: one row per portfolio with its cash, counters and its own positions as JSON."""
+    own = positions.groupBy("portfolio_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "shares", "avg_price", "last_action_signal"))).alias("positions"))
+    out = portfolios.join(own, "portfolio_id", "left")
+    return out.select("portfolio_id", "cash", F.coalesce("trades_used", F.lit(0)).cast("long").alias("trades_used"), F.lit(cycle).cast("long").alias("cycle"),
+                      F.to_json(F.coalesce("positions", F.array().cast(POSITION))).alias("positions"))
 
-def save_state(state: DataFrame, path: str) -> None:
-    state.write.mode("overwrite").parquet(path)
 
+def save_state(portfolios: DataFrame, positions: DataFrame, history: DataFrame, path: str, cycle: int) -> None:
+    """The portfolios with their positions, and the symbols' score history as a table of its own."""
+    portfolio_state(portfolios, positions, cycle).write.mode("overwrite").parquet(f"{path}/portfolios")
+    history.write.mode("overwrite").parquet(f"{path}/history")
 
-def load_state(spark: SparkSession, path: str, initial_capital: float = 10_000_000.0) -> DataFrame:
-    """B13 load: stored state, or one default portfolio with the initial capital."""
-    hp, fs = _folder(spark, path)
+
+def load_state(spark: SparkSession, path: str, initial_capital: float = 10_000_000.0) -> dict[str, DataFrame]:
+    """B13 load: the stored ``portfolios``, ``positions`` (parsed) and ``history``; without a store one portfolio with the initial capital."""
+    hp, fs = _folder(spark, f"{path}/portfolios")
     if fs.exists(hp):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([(0, float(initial_capital), 0, '{"positions":{},"signal_history":{}}')],
-                                 "portfolio_id long, cash double, trades_used long, state string")
+        stored, history = spark.read.parquet(f"{path}/portfolios"), spark.read.parquet(f"{path}/history")
+    else:
+        stored = spark.createDataFrame([(0, float(initial_capital), 0, 0, "[]")], "portfolio_id long, cash double, trades_used long, cycle long, positions string")
+        history = spark.createDataFrame([], "symbol string, signal_history array<double>, price double")
+    positions = stored.select("portfolio_id", F.explode(F.from_json("positions", POSITION)).alias("p")).select("portfolio_id", "p.*")
+    return {"portfolios": stored.drop("positions"), "positions": positions, "history": history}

@@ -15,6 +15,7 @@ is delivered twice leaves the tables as they were.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +58,9 @@ class BarSinks:
         try:
             self.write_bars(rows.filter("is_new"), batch_id)
             # all frames of a released or new row lie inside the kept rows; a series' first kept row is not its first row
-            base = ind.enrich(rows, ARRIVED, with_ema=False, extra_history=ind.E2_BACK)
+            base = ind.enrich(rows, ARRIVED, with_ema=False)
             if "enriched" in self.sinks:
-                enriched = ind.ema_macd(base, ARRIVED, extra=ind.E2_BACK)
+                enriched = ind.ema_macd(base, ARRIVED)
                 for c in ("ema_7", "ema_11", "macd_line", "macd_signal"):
                     enriched = enriched.withColumn(c, F.when(F.isnan(c), None).otherwise(F.col(c)))
                 out = enriched.filter(F.col("is_enriched") & ~F.col("released"))
@@ -159,12 +160,45 @@ class ProgressTotals(StreamingQueryListener):
                 "rows_per_s": self.rows / self.seconds if self.seconds else None}
 
 
-def rebalance_batch(portfolios: DataFrame, positions: DataFrame, signals_path: str, orders_path: str, max_age_s: int):
-    """K5 + B12: a rebalancing cycle over the stored signal table (run on a slow trigger)."""
-    from tickwise.operators import portfolio as pf
+@dataclass
+class Rebalancer:
+    """K5 + B12 + B13: one rebalancing cycle per trigger, from stored state.
+
+    A ``foreachBatch`` function over a stream of signals (trigger: the cycle's
+    period).  State ``v=N`` (portfolios with positions, score history, newest
+    signals) is written from ``v=N-1`` and the batch alone, and ``pending``
+    holds the orders of the last cycle only, so a batch delivered again changes
+    nothing.  A batch's cycle is the first multiple of ``period_s`` at or after
+    its newest signal.
+    """
+
+    root: str
+    period_s: int = 300
+    max_age_s: int = 60
+    initial_capital: float = 10_000_000.0
+
+    def begin(self, portfolios: DataFrame, positions: DataFrame) -> None:
+        """Store the portfolios that the first cycle starts from."""
+        history = portfolios.sparkSession.createDataFrame([], "symbol string, signal_history array<double>, price double")
+        sk.save_state(portfolios, positions, history, f"{self.root}/v=-1", 0)
 
-    spark = portfolios.sparkSession
-    signals = spark.read.parquet(signals_path)
-    orders = pf.rebalance(portfolios, positions, signals, max_age_s)["orders"]
-    sk.replace_pending(orders, orders_path)
-    return orders_path
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        from tickwise.operators import portfolio as pf
+
+        spark = batch.sparkSession
+        configure(spark)
+        state = sk.load_state(spark, f"{self.root}/v={batch_id - 1}", self.initial_capital)
+        keep = ["symbol", "ts", "close", "atr_14", "marker_final_score", "regime", "regime_confidence", "volume"]
+        sk.upsert_latest(batch.select(*keep), f"{self.root}/latest", batch_id, order=("ts",))
+        latest = spark.read.parquet(f"{self.root}/latest/v={batch_id}")
+        period = self.period_s * 1_000_000
+        newest = batch.agg(F.max(pf.epoch_micros("ts"))).first()[0]
+        if newest is None:     # no signals, no cycle: the state goes on
+            done = {"portfolios": state["portfolios"], "history": state["history"]}
+            cycle = state["portfolios"].agg(F.max("cycle")).first()[0]
+        else:
+            cycle_ts = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=-(-newest // period) * period)
+            cycle = state["portfolios"].agg(F.max("cycle")).first()[0] + 1
+            done = pf.next_cycle(state["portfolios"].drop("cycle"), state["positions"], state["history"], latest, cycle, cycle_ts, self.max_age_s)
+            sk.replace_pending(done["orders"], f"{self.root}/pending")
+        sk.save_state(done["portfolios"], state["positions"], done["history"], f"{self.root}/v={batch_id}", cycle)
