@@ -249,11 +249,11 @@ def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, m
     pcycle = portfolios.withColumn("cycle", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_cycles).cast("long"))))
     cycles_ts = fresh.select("cycle", "cycle_ts").distinct()
     cycles_ts, _ = broadcast_if_small(cut_lineage(cycles_ts))
-    return orders_of(fresh, pos_cycle, pcycle.join(cycles_ts, "cycle"))
+    return orders_of(fresh, pos_cycle, pcycle.join(cycles_ts, "cycle"), portfolios)
 
 
-def orders_of(fresh: DataFrame, pos_cycle: DataFrame, pcycle: DataFrame) -> dict[str, DataFrame]:
-    """F3, F5 - F18 for the cycles of ``pcycle`` (portfolio_id, cycle, cycle_ts, cash, trades_used).
+def orders_of(fresh: DataFrame, pos_cycle: DataFrame, pcycle: DataFrame, portfolios: DataFrame) -> dict[str, DataFrame]:
+    """F3, F5 - F18 for the cycles of ``pcycle`` (the ``portfolios`` with cycle and cycle_ts).
 
     ``fresh``: written rows (cycle, symbol) with confidence, strength and mean
     ATR; ``pos_cycle``: the positions valued at each cycle.
@@ -334,7 +334,7 @@ def orders_of(fresh: DataFrame, pos_cycle: DataFrame, pcycle: DataFrame) -> dict
     raw = raw.withColumn("_seq", F.row_number().over(gen))
     raw = raw.withColumn("order_id", F.format_string("ORD-%04d-%03d", F.col("cycle"), F.col("_seq")))
 
-    orders = validate_and_cap(raw, pcycle.select("portfolio_id", "trades_used").distinct())
+    orders = validate_and_cap(raw, portfolios)
     return {"fresh": fresh, "positions": pos_cycle, "portfolios": pval, "candidates": cand, "orders": orders}
 
 
@@ -415,7 +415,7 @@ def next_cycle(portfolios: DataFrame, positions: DataFrame, history: DataFrame,
     fresh = cut_lineage(volatility_base(fresh).withColumn("signal_strength", strength()))
     pos = marked(positions.withColumn("cycle", F.lit(cycle).cast("long")).join(history.select("symbol", F.col("price").alias("_px")), "symbol", "left"))
     pcycle = portfolios.withColumn("cycle", F.lit(cycle).cast("long")).withColumn("cycle_ts", at)
-    orders = cut_lineage(orders_of(fresh, pos, pcycle)["orders"])
+    orders = cut_lineage(orders_of(fresh, pos, pcycle, portfolios)["orders"])
     made = orders.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("_n"))
     used = F.col("trades_used") + F.coalesce("_n", F.lit(0))
     portfolios = portfolios.join(made, "portfolio_id", "left").withColumn("trades_used", used).drop("_n")
