@@ -100,23 +100,53 @@ def _ema(x: np.ndarray, span: int, seed: float = np.nan, gap: int = 0) -> np.nda
     return pd.Series(np.concatenate([head, x])).ewm(span=span, adjust=False).mean().to_numpy()[len(head):]
 
 
-def _ewm_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """D3 + D6 for one series or chunk (sorted by ts): EMAs from its seeds on, none for halo rows."""
-    pdf = pdf.sort_values("ts", kind="mergesort")
-    for c in EWM_OUT:
-        pdf[c] = np.nan
-    own = (pdf["_own_chunk"] >= pdf["chunk"]).to_numpy() if "_own_chunk" in pdf.columns else np.ones(len(pdf), bool)
-    if not own.any():
-        return pdf
-    close = pdf["close"].astype("float64").to_numpy()[own]
-    seed = {c: float("nan") if pd.isna(pdf[c].iloc[0]) else float(pdf[c].iloc[0]) for c in SEEDS} if "_gap" in pdf.columns else {}
-    gap = int(seed["_gap"]) if seed else 0
-    ema = {n: _ema(close, n, seed.get(f"_ema{n}", np.nan), gap) for n in SPANS}
-    line = ema[12] - ema[26]
-    signal = _ema(line, SIGNAL_SPAN, seed.get("_signal", np.nan))
-    for c, v in zip(EWM_OUT, (ema[7], ema[11], line, signal, line - signal)):
-        pdf.loc[own, c] = v
-    return pdf
+def _ewm_mapper(part: list[str], keep: list[str], chunked: bool):
+    """D3 + D6 in one Arrow pass over sorted rows: EMAs from a series' seeds on, none for halo rows.
+
+    A series that goes on in the next batch goes on from its last values; the
+    other columns pass untouched.
+    """
+    import pyarrow as pa
+
+    from tickwise.functions.ewm_arrow import Carry
+
+    def column(b, name):
+        return b.column(b.schema.get_field_index(name))
+
+    def numbers(b, name):
+        return column(b, name).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+
+    def run(batches):
+        carry = Carry()
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            before = carry.before([column(b, c) for c in part])
+            close = numbers(b, "close")
+            own = numbers(b, "_own_chunk") >= numbers(b, "chunk") if chunked else np.ones(len(close), bool)
+            seeds = {c: numbers(b, c) for c in SEEDS} if chunked else {}
+            out = {c: np.full(len(close), np.nan) for c in EWM_OUT}
+            starts = np.flatnonzero(before == 0).tolist()
+            for at, end in zip([0, *starts] if 0 not in starts else starts, [*(starts if 0 not in starts else starts[1:]), len(close)]):
+                if before[at] == 0:
+                    carry.values = {c: float(seeds[c][at]) if chunked else np.nan for c in SEEDS}
+                    carry.values["_gap"] = 0.0 if np.isnan(carry.values["_gap"]) else carry.values["_gap"]
+                place = np.arange(at, end)[own[at:end]]
+                if not len(place):
+                    continue
+                x, state = close[place], carry.values
+                ema = {n: _ema(x, n, state[f"_ema{n}"], int(state["_gap"])) for n in SPANS}
+                line = ema[12] - ema[26]
+                signal = _ema(line, SIGNAL_SPAN, state["_signal"])
+                for c, v in zip(EWM_OUT, (ema[7], ema[11], line, signal, line - signal)):
+                    out[c][place] = v
+                seen = np.flatnonzero(~np.isnan(x))
+                gap = len(x) - 1 - int(seen[-1]) if len(seen) else 0 if np.isnan(ema[7][-1]) else int(state["_gap"]) + len(x)
+                carry.values = {f"_ema{n}": float(ema[n][-1]) for n in SPANS} | {"_signal": float(signal[-1]), "_gap": float(gap)}
+            arrays = [column(b, c) for c in keep] + [pa.array(v, mask=np.isnan(v), type=pa.float64()) for v in out.values()]
+            yield pa.RecordBatch.from_arrays(arrays, names=keep + list(out))
+
+    return run
 
 
 def _chunk_end(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,11 +209,15 @@ def _fold_ends(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["symbol", "chunk", *SEEDS, "_close0"])
 
 
-def chunk_seeds(lay: chunking.Layout) -> DataFrame:
-    """(symbol, chunk, seeds): one row per chunk, folded per symbol in chunk order."""
+def chunk_seeds(lay: chunking.Layout, chunk_rows: int) -> DataFrame:
+    """(symbol, chunk, seeds): one row per chunk of the symbols that have several, folded per symbol in chunk order.
+
+    A symbol of at most ``chunk_rows`` rows is one chunk, which starts from nothing.
+    """
     key = [f for f in lay.rows.schema.fields if f.name in ("symbol", "chunk")]
     key.sort(key=lambda f: f.name, reverse=True)
-    own = lay.rows.filter(lay.is_own()).select("symbol", "chunk", "ts", "close", F.col("close").isNotNull().alias("_given"))
+    several = lay.rows.filter(lay.is_own() & (F.col("n_sym") > F.lit(chunk_rows)))
+    own = several.select("symbol", "chunk", "ts", "close", F.col("close").isNotNull().alias("_given"))
     ends = T.StructType(key + [T.StructField(c, T.LongType()) for c in _END_LONGS] + [T.StructField("given", T.BooleanType())]
                         + [T.StructField(c, T.DoubleType()) for c in _END_DOUBLES])
     seeds = T.StructType(key + [T.StructField(c, T.DoubleType()) for c in [*SEEDS, "_close0"]])
@@ -191,13 +225,13 @@ def chunk_seeds(lay: chunking.Layout) -> DataFrame:
 
 
 def ewm_features(df: DataFrame, spec: SeriesSpec = PLAIN) -> DataFrame:
-    """Unbounded EMAs and MACD as one grouped-pandas pass per series or chunk.
+    """Unbounded EMAs and MACD in one Arrow pass over the sorted series or chunks.
 
-    Grouped by the series key the data is already hash-partitioned on, so no
-    extra exchange is planned; the chunked layout bounds each group.
+    The windows before have dealt and sorted the rows by the same key, so Spark plans neither again.
     """
     schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType()) for c in EWM_OUT])
-    return df.groupBy(*spec.part).applyInPandas(_ewm_group, schema)
+    run = _ewm_mapper(list(spec.part), df.columns, "_own_chunk" in df.columns)
+    return df.sortWithinPartitions(*spec.part, *spec.order).mapInArrow(run, schema)
 
 
 def ml_features(bars: DataFrame, chunk_rows: int | None = chunking.DEFAULT_CHUNK_ROWS, force_chunks: bool = False):
@@ -213,8 +247,8 @@ def ml_features(bars: DataFrame, chunk_rows: int | None = chunking.DEFAULT_CHUNK
     if "rn" not in df.columns:
         df = df.withColumn("rn", F.row_number().over(lay.spec.base()).cast("long"))
     if lay.chunked:
-        seeds, _ = broadcast_if_small(cut_lineage(chunk_seeds(lay)))
-        df = df.join(seeds, ["symbol", "chunk"])
+        seeds, _ = broadcast_if_small(cut_lineage(chunk_seeds(lay, chunk_rows)))
+        df = df.join(seeds, ["symbol", "chunk"], "left")
     df = window_features(df, lay.spec).drop("_close0")
     df = ewm_features(df, lay.spec).drop(*SEEDS)
     for c in FEATURES + ["target"]:      # C2: inf / NaN never leave the operator
@@ -318,15 +352,13 @@ def apply_scalers(df: DataFrame, scalers: DataFrame) -> DataFrame:
     wide = scalers.groupBy("symbol").agg(
         *[F.first(F.when(F.col("feature") == c, F.struct("center", "scale")), ignorenulls=True).alias(f"_s_{c}") for c in FEATURES]
     )
-    wide, _ = broadcast_if_small(cut_lineage(wide))
-    missing = df.select("symbol").distinct().join(wide, "symbol", "left_anti")
-    if missing.limit(1).count() > 0:
-        names = [r[0] for r in missing.limit(10).collect()]
-        raise ValueError(f"no scaler fitted for symbols {names}")
-    out = df.join(wide, "symbol")
+    wide, _ = broadcast_if_small(cut_lineage(wide.withColumn("_fitted", F.lit(True))))
+    out = df.join(wide, "symbol", "left")
     for c in FEATURES:
-        out = out.withColumn(c, (F.col(c) - F.col(f"_s_{c}.center")) / F.col(f"_s_{c}.scale"))
-    return out.drop(*[f"_s_{c}" for c in FEATURES])
+        scaled = (F.col(c) - F.col(f"_s_{c}.center")) / F.col(f"_s_{c}.scale")
+        out = out.withColumn(c, F.when(F.coalesce("_fitted", F.lit(False)), scaled).otherwise(
+            F.raise_error(F.concat(F.lit("no scaler fitted for symbol "), F.coalesce("symbol", F.lit("null"))))))
+    return out.drop("_fitted", *[f"_s_{c}" for c in FEATURES])
 
 
 def sequences(df: DataFrame, spec: SeriesSpec = PLAIN, lookback: int = LOOKBACK) -> DataFrame:
@@ -368,17 +400,31 @@ def naive_last_change_model(feature_index: int):
 
 
 def score(df: DataFrame, model, x_col: str = "X", name: str = "prediction") -> DataFrame:
-    """Batch scoring of ``array<array<double>>`` sequences with a supplied numpy model
-    (Arrow batches via ``pandas_udf``; the model sees a ``(n, steps, features)`` array)."""
-
-    @F.pandas_udf(T.DoubleType())
-    def _predict(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype="float64")
-        batch = np.stack([np.stack(list(v)) for v in x])
-        return pd.Series(np.asarray(model(batch), dtype="float64"))
+    """Batch scoring of ``array<array<double>>`` sequences with a supplied numpy model.
 
-    return df.withColumn(name, _predict(F.col(x_col)))
+    The model sees a ``(n, steps, features)`` array: the flat values of an
+    Arrow batch, reshaped once.  Sequences of a batch have one shape; a null
+    sequence has a null score.
+    """
+    import pyarrow as pa
+
+    keep = [c for c in df.columns if c != name]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
+
+    def run(batches):
+        for b in batches:
+            x = b.column(b.schema.get_field_index(x_col))
+            out = np.full(len(x), np.nan)
+            given = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+            if len(given):
+                rows = x.flatten()
+                flat = rows.flatten().to_numpy(zero_copy_only=False)
+                steps = len(rows) // len(given)
+                out[given] = np.asarray(model(flat.reshape(len(given), steps, -1)), dtype="float64")
+            arrays = [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(out, mask=np.isnan(out))]
+            yield pa.RecordBatch.from_arrays(arrays, names=keep + [name])
+
+    return df.mapInArrow(run, schema)
 
 
 def regression_metrics(df: DataFrame, y: str = "y", p: str = "prediction") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickwise.functions.exprs import round_doubles
@@ -1038,3 +1038,157 @@ def j03_sizes(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     total = events.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("props")).alias("b"))
     return total.select("rows", F.lit(False).alias("none"), ig.human_size("b").alias("size"))
+
+
+# ---------------------------------------------------------------------------
+# Operators behind other queries, each on its own
+# ---------------------------------------------------------------------------
+
+@register("d28_ml_features_chunked", ORACLE["d28_ml_features"])
+def d28_ml_features_chunked(spark, sf_dir):
+    """D3 + D6 + D28: every symbol in chunks of about 150 rows; EMA state and last closes go from chunk to chunk."""
+    feats, lay = ml.ml_features(fx.bars_hourly(spark, sf_dir), chunk_rows=150, force_chunks=True)
+    return round_doubles(lay.own(feats).select("symbol", "ts", *ml.FEATURES, "target"))
+
+
+_BLANKED = "CASE WHEN hour(ts) % 5 < 3 THEN NULL ELSE {c} END"
+_FILL_SQL = (
+    _ML_SQL + "SELECT symbol, ts, "
+    + ", ".join(q.r6(f"last({_BLANKED.format(c=c)} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+                + f" AS {c}" for c in ml.FEATURES)
+    + f", {q.r6('target')} AS target FROM mlf QUALIFY target IS NOT NULL"
+)
+
+
+def _filled(spark, sf_dir, **how):
+    feats, lay = ml.ml_features(fx.bars_hourly(spark, sf_dir), **how)
+    for c in ml.FEATURES:       # three hours of five are missing
+        feats = feats.withColumn(c, F.when(F.hour("ts") % 5 >= 3, F.col(c)))
+    return round_doubles(lay.own(ml.clean_features(feats, "fill", lay.spec)).select("symbol", "ts", *ml.FEATURES, "target"))
+
+
+@register("c12_filled_features", _FILL_SQL)
+def c12_filled_features(spark, sf_dir):
+    """Features carried forward over missing ones."""
+    return _filled(spark, sf_dir)
+
+
+@register("c12_filled_features_chunked", _FILL_SQL)
+def c12_filled_features_chunked(spark, sf_dir):
+    """C12 across chunks of about 150 rows."""
+    return _filled(spark, sf_dir, chunk_rows=150, force_chunks=True)
+
+
+@register(
+    "l03_minmax_features",
+    _ML_SQL + "SELECT m.symbol, m.ts, m.split, "
+    + ", ".join(q.r6(f"(m.{c} - w.{c}__min) / (CASE WHEN w.{c}__max - w.{c}__min < {q.d(10 * 2.220446049250313e-16)} THEN 1.0 ELSE w.{c}__max - w.{c}__min END)") + f" AS {c}"
+                for c in ml.FEATURES)
+    + " FROM mls m JOIN mlw w ON w.symbol = m.symbol",
+)
+def l03_minmax_features(spark, sf_dir):
+    """L3: min-max scaling per symbol with bounds of the training rows."""
+    z = ml.prepare(fx.bars_hourly(spark, sf_dir), method="minmax")["scaled"]
+    return round_doubles(z.select("symbol", "ts", "split", *ml.FEATURES))
+
+
+@register(
+    "a15_sequence_tables",
+    _SEQ_SQL + "SELECT CAST(max(len(X)) AS INTEGER) AS lookback, CAST(max(len(X[1])) AS INTEGER) AS n_features, "
+    "array_to_string(list_sort(list(DISTINCT symbol)), ',') AS markers, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits, "
+    "CAST(count(*) AS BIGINT) AS sequences FROM seq WHERE split_pos >= 60 AND len(X) = 60",
+)
+def a15_sequence_tables(spark, sf_dir):
+    """A15 + B10: sequences stored by split and read again with their metadata."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "sequences")
+    sk.write_sequences(hourly_prep(spark, sf_dir)["sequences"], path)
+    _, meta = ig.read_sequences(spark, path)
+    return meta.withColumn("markers", F.array_join("markers", ",")).withColumn("splits", F.array_join("splits", ","))
+
+
+@register("b11_stored_scalers", ORACLE["g08_train_stats"])
+def b11_stored_scalers(spark, sf_dir):
+    """Scalers stored and loaded."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "scalers")
+    sk.save_scalers(hourly_prep(spark, sf_dir)["scalers"], path)
+    return round_doubles(sk.load_scalers(spark, path).select("symbol", "feature", "mean", "std", "min", "max"))
+
+
+@register("a13_documents", f"WITH o AS (SELECT row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ordinal FROM ({q.BARS_HOURLY})) "
+          "SELECT CAST(ordinal AS BIGINT) AS place, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(ordinal) AS timestamp, CAST(count(*) AS INTEGER) AS entries FROM o GROUP BY ordinal")
+def a13_documents(spark, sf_dir):
+    """Stored documents in the order of their time; ``place`` is that of the written rows."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "documents")
+    ig.documents_wide(fx.bars_hourly(spark, sf_dir)).write.parquet(path)
+    ig.read_documents(spark, path).select("timestamp", F.size("bars").alias("entries")).write.parquet(f"{path}-sorted")
+    m = F.col("_metadata")
+    rows = spark.read.parquet(f"{path}-sorted").select("timestamp", "entries", m["file_name"].alias("f"), m["row_index"].alias("i"))
+    order = Window.orderBy("f", "i")      # a document per second of the range: the check of the order itself
+    return rows.select((F.row_number().over(order) - 1).cast("long").alias("place"), "timestamp", "entries")
+
+
+_SIG_SQL = f"WITH {q.enriched_ctes(q.BARS_HOURLY)}, {q.signal_ctes()} "
+
+
+@register("b03_signal_points", _SIG_SQL + f"SELECT symbol, regime, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS points, {q.r6('sum(marker_final_score)')} AS score_sum FROM sig GROUP BY 1, 2, 3")
+def b03_signal_points(spark, sf_dir):
+    """Signal points tagged with symbol and regime; a batch delivered twice stands once."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "signal-points")
+    signals = hourly_signals(spark, sf_dir)
+    for batch_id, late in ((0, False), (1, True), (1, True)):
+        part = signals.where((F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")) == F.lit(late))
+        sk.append_points(part, path, "trading_signals", tags=("symbol", "regime"), batch_id=batch_id)
+    back = spark.read.parquet(path).where("measurement = 'trading_signals'")
+    found = back.groupBy("symbol", "regime", F.col("day").cast("string").alias("day"))
+    return round_doubles(found.agg(F.count(F.lit(1)).alias("points"), F.sum("marker_final_score").alias("score_sum")))
+
+
+@register("b05_signal_columns", _SIG_SQL + f"SELECT {r6_select(sg.SIGNAL_OUT, SIG_DOUBLES)}, CAST(33 AS INTEGER) AS n_columns FROM sig")
+def b05_signal_columns(spark, sf_dir):
+    """The signal table with update and ingest time; a signal without event time takes its update time."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "signal-columns")
+    signals = hourly_signals(spark, sf_dir).withColumn("last_updated", F.col("ts"))
+    sk.append_columnar(signals.withColumn("ts", F.when(F.hour("ts") % 4 > 0, F.col("ts"))), path, fallback_ts="last_updated")
+    back = spark.read.parquet(path).where("inserted_at IS NOT NULL")
+    return round_doubles(back.select(*sg.SIGNAL_OUT, F.lit(len(back.columns)).alias("n_columns")))
+
+
+@register("c04_extra_fields", f"SELECT symbol, ts, {q.r6('high - low')} AS spread, 'n' || CAST(CAST(volume AS BIGINT) AS VARCHAR) AS note FROM ({q.BARS_HOURLY})")
+def c04_extra_fields(spark, sf_dir):
+    """C4 + B6: fields beyond those of a bar go into the audit line and come back."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "extra")
+    bars = fx.bars_hourly(spark, sf_dir).withColumn("spread", F.col("high") - F.col("low")).withColumn("note", F.concat(F.lit("n"), F.col("volume").cast("long").cast("string")))
+    sk.to_audit_json(bars, 1).write.text(path)
+    back = spark.read.text(path).select(F.from_json("value", "data struct<symbol:string,ts:timestamp_ntz,spread:double,note:string>").alias("j"))
+    return round_doubles(back.select("j.data.*"))
+
+
+@register("c14_conformed", f"SELECT symbol, {q.r6('close')} AS close, ts FROM ({q.BARS_HOURLY})")
+def c14_conformed(spark, sf_dir):
+    """C14: columns in the wanted order, the others left out."""
+    return round_doubles(cl.conform(fx.bars_hourly(spark, sf_dir), ["close", "ts", "symbol"]))
+
+
+@register("i03_sorted_tables", f"SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS out_of_order FROM ({q.BARS_DAILY})")
+def i03_sorted_tables(spark, sf_dir):
+    """I3 + B4: inside every file of the columnar table rows stand by symbol and time."""
+    from tickwise.session import shared_path
+
+    path = shared_path(spark, "sorted")
+    sk.append_columnar(fx.bars_daily(spark, sf_dir), path)
+    m = F.col("_metadata")
+    rows = spark.read.parquet(path).select("symbol", "ts", m["file_path"].alias("f"), m["row_index"].alias("i"))
+    before = F.lag(F.struct("symbol", "ts")).over(Window.partitionBy("f").orderBy("i"))
+    return rows.select((before > F.struct("symbol", "ts")).alias("bad")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("bad").alias("out_of_order"))
