@@ -12,8 +12,9 @@ and without benchmark windows, and it has no tokens.  Rows without an id take
 part like others, except that no label can name them.  Repeated rows are
 judged alike.  Texts of any length are read whole.  An empty table gives none.
 
-Arrow hands texts to Python in batches of about ``BATCH_BYTES``; a session
-that has a bound of its own keeps it.
+Two settings bound memory (``BOUNDS``), where the session has none of its own:
+texts go to Python in batches of some megabytes, and the driver keeps no plan
+descriptions of any length (the quality model is a constant of its plan).
 """
 
 from __future__ import annotations
@@ -33,13 +34,16 @@ from tickwise.llm.queries import PATTERN, RANKS, toxic_field
 
 #: words of a shingle of the near-duplicate stage
 SHINGLE = 5
-BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: without the first a batch is 10,000 texts of any size
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.maxPlanStringLength": 100_000}
+#: Spark's own value of the second, which stands for no bound
+UNBOUND = str(2**31 - 16)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Texts are long: without a bound a batch is 10,000 rows of any size."""
-    if spark.conf.get(BATCH_LIMIT, None) is None:
-        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+def bound(spark: SparkSession) -> None:
+    for key, value in BOUNDS.items():
+        if spark.conf.get(key, None) in (None, UNBOUND):
+            spark.conf.set(key, str(value))
 
 
 def give_back() -> None:
@@ -51,7 +55,7 @@ def give_back() -> None:
 
 def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but ``doc_id`` and ``text`` under private names, and the way back."""
-    bounded_batches(docs.sparkSession)
+    bound(docs.sparkSession)
     names = {c: c if c in ("doc_id", "text") else f"_in_{i}" for i, c in enumerate(docs.columns)}
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     hidden = docs.select(*[quoted(c).alias(n) for c, n in names.items()])
@@ -121,7 +125,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as empty: no ids, and the empty text comes back.
     Columns of ``docs`` beyond these end here.
     """
-    bounded_batches(spark)
+    bound(spark)
     coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), RANKS, PATTERN)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
