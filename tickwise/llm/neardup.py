@@ -14,7 +14,8 @@ least id) are compared.  Within a bucket no pairs are listed at first: every
 member is compared with the bucket's pivot, in rounds with other pivots.  Rows
 that are linked by then share a component.  Where a bucket still holds several
 components, exact prefix filtering on shingle frequencies finds the pairs
-between them that can be similar at all.  Links are confirmed on the full sets in integers, ``100 * both >= percent * either``.
+between them that can be similar at all; parity bits of both sets bound their
+difference inside that join.  Links are confirmed on the full sets in integers, ``100 * both >= percent * either``.
 Pairs whose sketches agree in fewer than ``AGREE`` coordinates are not
 confirmed (at 0.8 the probability of so few is about 1e-7).
 Components are contracted along random priorities, in about log(n) rounds.
@@ -42,6 +43,8 @@ BINS, BANDS, ROWS = 128, 32, 4
 #: least agreeing coordinates of a candidate pair
 AGREE = 78
 STAR_ROUNDS = 2
+#: 64-bit words of a set's parity bits
+PARITY = 8
 #: rows of 16 bytes that may be broadcast; beyond, they are shuffled
 MAX_BROADCAST = 2_000_000
 _U = np.uint64
@@ -219,6 +222,25 @@ def tokens_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "root", "n_shingles", "items").mapInArrow(run, "node long, root long, n long, token long")
 
 
+def parity_of(nodes: DataFrame) -> DataFrame:
+    """(node, p0 ...): bit i is the parity of the shingles that hash to i.
+
+    A shingle that both sets hold changes neither parity, so two sets differ
+    in at least as many shingles as their bits differ: a bound without error.
+    """
+
+    def run(batches):
+        for batch in batches:
+            bits = np.zeros((batch.num_rows, 64 * PARITY), np.uint8)
+            for row, v in zip(bits, batch.column("items")):
+                at = mix(np.frombuffer(v.as_buffer(), np.uint64)) % _U(64 * PARITY)
+                row[:] = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, words.T)], names=["node", *(f"p{i}" for i in range(PARITY))])
+
+    return nodes.select("node", "items").mapInArrow(run, "node long, " + ", ".join(f"p{i} long" for i in range(PARITY)))
+
+
 def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Candidates among the nodes whose buckets still hold several components, none of them missed.
 
@@ -227,6 +249,9 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataF
     shingles are left on both sides for the overlap that the sizes ask for.
     Of a pair in different components at least one is outside the component
     that leads a shingle, so only those rows are joined to all of its rows.
+    ``100 * both >= percent * either`` bounds the shingles of one set alone by
+    ``(100 - percent) / (100 + percent)`` of both sizes: more differing parity
+    bits rule a pair out.
     """
     several = members.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "h")
     open_ = salted_join(members, several, ["band", "h"]).select("node", "root").dropDuplicates()
@@ -238,9 +263,13 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataF
     share = first.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
     lead = share.groupBy("token").agg(F.max(F.struct("c", "root"))["root"].alias("lead"), F.count(F.lit(1)).alias("roots"))
     first = stash(salted_join(first, lead.where("roots > 1").select("token", "lead"), ["token"]), "open")
-    x = first.select("token", "lead", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    y = first.where("root <> lead").select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    first = stash(first.join(parity_of(nodes.join(open_, "node", "left_semi")), "node"), "open")
+    side = lambda s: [F.col(c).alias(f"{v}{s}") for c, v in [("root", "r"), ("n", "n"), ("i", "i"), *((f"p{i}", f"p{i}") for i in range(PARITY))]]
+    x = first.select("token", "lead", F.col("node").alias("a"), *side("a"))
+    y = first.where("root <> lead").select("token", F.col("node").alias("b"), *side("b"))
     fits = f"ra <> rb AND (ra = lead OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
+    differ = " + ".join(f"bit_count(p{i}a ^ p{i}b)" for i in range(PARITY))
+    fits += f" AND {100 + percent} * ({differ}) <= {100 - percent} * (na + nb)"
     pairs = salted_join(x, y, ["token"], on=F.expr(fits))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
 
