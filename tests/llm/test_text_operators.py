@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -210,6 +211,22 @@ def test_article_keeps_its_sources_and_named_sections():
         assert htmlmain.main_text(f"<article><p>{LONG}</p><section class='x {name}'><p>{LONG}</p></section></article>").count(LONG) == 1
 
 
+def test_form_around_the_page_is_no_form():
+    page = f"<body><form id=aspnet><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div></form></body>"
+    assert htmlmain.main_text(page).split("\n\n") == ["Title", LONG, LONG]
+    small = "<form><label>Your name, please, and your full address</label><input></form>"
+    assert htmlmain.main_text(f"<body><div><p>{LONG}</p>{small}<p>{LONG}</p></div>").split("\n\n") == [LONG, LONG]
+    assert htmlmain.main_text(page.replace("<p>", f"{small}<p>", 1)).count("address") == 0
+
+
+def test_end_tags_without_start_take_linear_time():
+    page = "<div>" * 20_000 + "</i>" * 20_000 + "deep text"
+    start = time.process_time()
+    assert htmlmain.main_text(page) == "deep text"
+    assert htmlmain.main_text("<i>" * 20_000 + "<hr>" * 20_000 + "deep text") == "deep text"
+    assert time.process_time() - start < 5
+
+
 def test_pages_keep_every_paragraph(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     rows = htmlmain.extract(pages).withColumn("n_p", F.regexp_count("html", F.lit("<p>"))).collect()

@@ -5,7 +5,9 @@ table cells and options; raw script and style contents; comments dropped).
 Subtrees that are never part of an article are cut first: menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments, hidden parts, by
 element, role, and the words of class and id.  A word that articles use too
-("related", "form") counts only where the whole name is that of a box.
+("related", "form") counts only where the whole name is that of a box.  A form
+around more than half of the page's runs of LONG characters is the page, no
+form to fill in, and stays.
 
 Each remaining block of text gives points for its length and commas, less its
 share of link text, to its parent, half to the grandparent and less to higher
@@ -21,12 +23,14 @@ joined by two line feeds.  Nothing else is dropped or cut.
 
 Defined results: null, empty and text-free pages give the empty text; markup
 that never ends is read as far as it goes; a head without its end tag ends
-before text or an element that cannot stand in it.  Equal pages give equal texts.
+before text or an element that cannot stand in it.  An end tag without its
+start is passed over.  Equal pages give equal texts; other columns are kept.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -64,6 +68,8 @@ BOX_WORDS = frozenset(
 #: start tags that do not end an open head
 HEAD_TAGS = frozenset("base basefont bgsound link meta title style script noscript template head".split())
 KEEP_TAGS = frozenset("html body article main".split())
+#: characters of a run of text that is no label
+LONG = 25
 #: ancestors that a block gives points to
 LEVELS = 8
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -104,7 +110,7 @@ class Tree:
 
 
 def unwanted(tag: str, raw: str) -> bool:
-    if tag in CUT:
+    if tag in CUT and tag != "form":
         return True
     if not raw.strip(" \t\r\n\f/") or tag in ("html", "body"):
         return False
@@ -130,16 +136,20 @@ def names_box(name: str) -> bool:
 def read(page: str) -> Tree:
     tree = Tree()
     stack, links, at = [0], 0, 0  # links: how many open a elements
+    opened: Counter[str] = Counter()  # open elements by name: an end tag that fits none is passed over at once
 
     def pop(to: int) -> None:
         nonlocal links
         while len(stack) > to:
             e = stack.pop()
+            opened[tree.tag[e]] -= 1
             if tree.tag[e] in BLOCK:
                 tree.parts.append((e, None, False))
             links -= tree.tag[e] == "a"
 
     def close(tags, stops) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if tree.tag[stack[i]] in stops:
                 return
@@ -165,6 +175,8 @@ def read(page: str) -> Tree:
             continue
         tag, ends, raw = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ends:
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if tree.tag[stack[i]] == tag:
                     pop(i)
@@ -176,7 +188,7 @@ def read(page: str) -> Tree:
             close({"p"}, NOT_P)
             if tag in HEADINGS:
                 close(HEADINGS, NOT_HEADING)
-        if tag in ("body", "html", "head") and tag in (tree.tag[e] for e in stack):
+        if tag in ("body", "html", "head") and opened[tag]:
             if tag == "body" and tree.tag[stack[-1]] == "head":
                 pop(len(stack) - 1)
             continue
@@ -194,17 +206,35 @@ def read(page: str) -> Tree:
         e = tree.add(stack[-1], tag, unwanted(tag, raw))
         if not (raw.rstrip().endswith("/") and tag not in BLOCK and tag != "a"):
             stack.append(e)
+            opened[tag] += 1
             links += tag == "a"
     return tree
 
 
+def small_forms(tree: Tree) -> set[int]:
+    """Forms with at most half of the page's long runs of text."""
+    forms = {e for e, tag in enumerate(tree.tag) if tag == "form"}
+    if not forms:
+        return forms
+    n = len(tree.tag)
+    gone, held = [False] * n, [0] * n
+    for e in range(1, n):
+        gone[e] = gone[tree.parent[e]] or tree.cut[e]
+    for e, text, _ in tree.parts:
+        if text and not gone[e] and len(text.strip()) >= LONG:
+            held[e] += len(text.strip())
+    for e in range(n - 1, 0, -1):
+        held[tree.parent[e]] += held[e]
+    return {e for e in forms if 2 * held[e] <= held[0]}
+
+
 def blocks_of(tree: Tree) -> list[tuple[int, str, int]]:
     """(innermost block element, text, characters in links) of every block of text outside cut subtrees."""
     n = len(tree.tag)
-    gone, home = [False] * n, [0] * n
+    gone, home, forms = [False] * n, [0] * n, small_forms(tree)
     for e in range(1, n):
         up = tree.parent[e]
-        gone[e] = gone[up] or tree.cut[e]
+        gone[e] = gone[up] or tree.cut[e] or e in forms
         home[e] = e if tree.tag[e] in BLOCK else home[up]
     out: list[tuple[int, str, int]] = []
     parts: list[str] = []
@@ -243,7 +273,7 @@ def main_text(page: str | None) -> str:
         size[e] += len(text)
         linked[e] += k
         count[e] += k > 0
-        worth = (1 + len(COMMAS.findall(text)) + min(len(text) / 100, 30)) * (1 - k / len(text)) if len(text) >= 25 or tree.tag[e] == "p" else 0.0
+        worth = (1 + len(COMMAS.findall(text)) + min(len(text) / 100, 30)) * (1 - k / len(text)) if len(text) >= LONG or tree.tag[e] == "p" else 0.0
         up, level = (tree.parent[e] if tree.tag[e] not in ("article", "main", "div", "section", "body", "td") else e), 1
         while up >= 0 and level <= LEVELS:
             points[up] += worth / (1 if level == 1 else 2 if level == 2 else 3 * level)
