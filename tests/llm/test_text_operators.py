@@ -219,6 +219,30 @@ def test_form_around_the_page_is_no_form():
     assert htmlmain.main_text(page.replace("<p>", f"{small}<p>", 1)).count("address") == 0
 
 
+def test_every_section_and_article_of_the_main_text_stays():
+    long = [f"{LONG} This is paragraph {i}, a little longer than the others." for i in range(6)]
+    p = [f"<p>{t}</p>" for t in long]
+    page = f"<body><div><section>{p[0]}{p[1]}{p[2]}{p[3]}</section><section><h2>Part</h2>{p[4]}</section></div></body>"
+    assert htmlmain.main_text(page).split("\n\n") == [*long[:4], "Part", long[4]]
+    page = f"<body><main><h1>Both</h1><article>{p[0]}{p[1]}{p[2]}</article><div><article>{p[3]}</article></div></main><article>{p[4]}</article></body>"
+    assert htmlmain.main_text(page).split("\n\n") == ["Both", *long[:4]]
+    page = f"<body><header><h1>Site name of this page here</h1></header><article><header><h1>Title</h1></header>{p[0]}{p[1]}</article></body>"
+    assert htmlmain.main_text(page).split("\n\n") == ["Title", *long[:2]]
+    cards = "".join(f"<li><a href=/{i}>Another story number {i}, with its long title in a link</a></li>" for i in range(4))
+    page = f"<body><main><article>{p[0]}{p[1]}</article><article><ul>{cards}</ul></article><section class=comments>{p[2]}</section></main></body>"
+    assert htmlmain.main_text(page).split("\n\n") == long[:2]
+
+
+def test_names_with_other_words_cut_small_parts_only():
+    p = f"<p>{LONG}</p>"
+    for name in ("hidden-figures", "menu-history", "advert-free"):
+        assert htmlmain.main_text(f"<body><div class='{name}'>{p}{p}</div><div>x</div></body>") == f"{LONG}\n\n{LONG}"
+        assert htmlmain.main_text(f"<body><div>{p}{p}</div><div class='{name}'>{p}</div></body>") == f"{LONG}\n\n{LONG}"
+    for name in ("user-comments-2024", "comments", "sidebar"):
+        assert htmlmain.main_text(f"<body><div><p>{LONG}</p></div><div class='{name}'>{p}{p}{p}</div></body>") == LONG
+    assert htmlmain.main_text(f"<article><h2 id=menu-history>Menus</h2>{p}<h2 class=menu>Menu</h2></article>") == f"Menus\n\n{LONG}"
+
+
 def test_end_tags_without_start_take_linear_time():
     page = "<div>" * 20_000 + "</i>" * 20_000 + "deep text"
     start = time.process_time()

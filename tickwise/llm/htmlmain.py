@@ -5,15 +5,20 @@ table cells and options; raw script and style contents; comments dropped).
 Subtrees that are never part of an article are cut first: menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments, hidden parts, by
 element, role, and the words of class and id.  A word that articles use too
-("related", "form") counts only where the whole name is that of a box.  A form
-around more than half of the page's runs of LONG characters is the page, no
-form to fill in, and stays.
+("related", "form") counts only where the whole name is that of a box; the id
+of a heading names its subject and does not count.  A form around more than
+half of the page's runs of LONG characters is the page, no form to fill in, and
+stays; so does a part of that size whose name has other words too
+("hidden-figures"), unless they are of comments.  A header inside an article or
+a main element is the article's and stays.
 
 Each remaining block of text gives points for its length and commas, less its
 share of link text, to its parent, half to the grandparent and less to higher
 ancestors; a container's points are discounted by its link density.  The best
 container is kept (or the article or main element around it), together with
-siblings that score a fifth of it or are long paragraphs with few links.  Lists
+siblings that score a fifth of it or are paragraphs, headings, sections or
+articles of running text with few links; of a main element every article with
+few links is kept.  Lists
 and boxes made of links go outside of what is kept, and on a page of which no
 part but the body stands out; a list of sources in an article stays.
 
@@ -65,14 +70,19 @@ BOX_WORDS = frozenset(
     """area articles bar block bottom box boxes button buttons col column container content entries group icons inner items left
     links list media module news outer pages panel posts right section site stories top topics wrap wrapper""".split()
 )
+#: words whose boxes go at any size
+COMMENT_WORDS = frozenset("comment comments reply replies respond discussion disqus".split())
 #: start tags that do not end an open head
 HEAD_TAGS = frozenset("base basefont bgsound link meta title style script noscript template head".split())
 KEEP_TAGS = frozenset("html body article main".split())
 #: characters of a run of text that is no label
 LONG = 25
+#: characters outside links that make a sibling running text
+RUNNING = 100
 #: ancestors that a block gives points to
 LEVELS = 8
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SIBLINGS = HEADINGS | {"p", "blockquote", "pre"}
 NOT_P, NOT_HEADING = BLOCK - {"p"}, BLOCK - HEADINGS
 #: an element of the key ends open elements of the value, up to the nearest element of STOPS
 IMPLIED = {
@@ -98,39 +108,48 @@ class Tree:
     """Elements as parallel lists in page order; element 0 is the page."""
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.cut = [-1], [""], [False]
+        self.parent, self.tag, self.cut = [-1], [""], [0]
         #: (element, text, inside a link) in page order; text None marks the edge of a block
         self.parts: list[tuple[int, str | None, bool]] = []
 
-    def add(self, parent: int, tag: str, cut: bool) -> int:
+    def add(self, parent: int, tag: str, cut: int) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.cut.append(cut)
         return len(self.tag) - 1
 
 
-def unwanted(tag: str, raw: str) -> bool:
-    if tag in CUT and tag != "form":
-        return True
+def unwanted(tag: str, raw: str, in_article: bool) -> int:
+    """1 for no article text, 2 for none unless it is most of the page, else 0."""
+    if tag in CUT and tag != "form" and not (tag == "header" and in_article):
+        return 1
+    named = 2 if tag == "form" else 0
     if not raw.strip(" \t\r\n\f/") or tag in ("html", "body"):
-        return False
+        return named
     for name, a, b, c in ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 1
         if name == "role" and value.lower() in CUT_ROLES:
-            return True
+            return 1
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and tag not in KEEP_TAGS and any(names_box(n) for n in unescape(value).split()):
-            return True
-    return False
+            return 1
+        if name == "class" and tag not in KEEP_TAGS or name == "id" and tag not in KEEP_TAGS | HEADINGS:
+            found = {names_box(n) for n in unescape(value).split()}
+            if 1 in found:
+                return 1
+            named = 2 if 2 in found else named
+    return named
 
 
-def names_box(name: str) -> bool:
-    """True for a class or id that marks a part as no article text."""
+def names_box(name: str) -> int:
+    """1 for a class or id that marks a part as no article text, 2 for one with other words too, else 0."""
     words = {w.lower() for w in WORD.findall(name)}
-    return bool(words & CUT_WORDS) and (bool(words & (CUT_WORDS - WEAK_WORDS)) or words <= CUT_WORDS | BOX_WORDS)
+    if not words & CUT_WORDS:
+        return 0
+    if words <= CUT_WORDS | BOX_WORDS:
+        return 1
+    return 0 if words & CUT_WORDS <= WEAK_WORDS else 1 if words & COMMENT_WORDS else 2
 
 
 def read(page: str) -> Tree:
@@ -203,7 +222,7 @@ def read(page: str) -> Tree:
             continue
         if tag in BLOCK:
             tree.parts.append((stack[-1], None, False))
-        e = tree.add(stack[-1], tag, unwanted(tag, raw))
+        e = tree.add(stack[-1], tag, unwanted(tag, raw, opened["article"] + opened["main"] > 0))
         if not (raw.rstrip().endswith("/") and tag not in BLOCK and tag != "a"):
             stack.append(e)
             opened[tag] += 1
@@ -211,30 +230,30 @@ def read(page: str) -> Tree:
     return tree
 
 
-def small_forms(tree: Tree) -> set[int]:
-    """Forms with at most half of the page's long runs of text."""
-    forms = {e for e, tag in enumerate(tree.tag) if tag == "form"}
-    if not forms:
-        return forms
+def small_boxes(tree: Tree) -> set[int]:
+    """Elements marked 2 with at most half of the long runs of text outside those marked 1."""
+    boxes = {e for e, cut in enumerate(tree.cut) if cut == 2}
+    if not boxes:
+        return boxes
     n = len(tree.tag)
     gone, held = [False] * n, [0] * n
     for e in range(1, n):
-        gone[e] = gone[tree.parent[e]] or tree.cut[e]
+        gone[e] = gone[tree.parent[e]] or tree.cut[e] == 1
     for e, text, _ in tree.parts:
         if text and not gone[e] and len(text.strip()) >= LONG:
             held[e] += len(text.strip())
     for e in range(n - 1, 0, -1):
         held[tree.parent[e]] += held[e]
-    return {e for e in forms if 2 * held[e] <= held[0]}
+    return {e for e in boxes if 2 * held[e] <= held[0]}
 
 
 def blocks_of(tree: Tree) -> list[tuple[int, str, int]]:
     """(innermost block element, text, characters in links) of every block of text outside cut subtrees."""
     n = len(tree.tag)
-    gone, home, forms = [False] * n, [0] * n, small_forms(tree)
+    gone, home, boxes = [False] * n, [0] * n, small_boxes(tree)
     for e in range(1, n):
         up = tree.parent[e]
-        gone[e] = gone[up] or tree.cut[e] or e in forms
+        gone[e] = gone[up] or tree.cut[e] == 1 or e in boxes
         home[e] = e if tree.tag[e] in BLOCK else home[up]
     out: list[tuple[int, str, int]] = []
     parts: list[str] = []
@@ -298,12 +317,26 @@ def main_text(page: str | None) -> str:
         if tree.tag[e] == "article" or (tree.tag[e] == "main" and around < 0):
             around = e
         e = tree.parent[e]
-    kept = {around if around >= 0 else best}
-    if around < 0 and best > 0:
+    top = around if around >= 0 else best
+    kept = {top}
+    if top > 0:
+        main, e = -1, tree.parent[top]
+        while e > 0:
+            main = e if tree.tag[e] == "main" else main
+            e = tree.parent[e]
+        within = [False] * n
         for e in range(1, n):
-            if e != best and tree.parent[e] == tree.parent[best] and size[e]:
-                density = linked[e] / size[e]
-                if scored[e] >= max(3.0, 0.2 * scored[best]) or (tree.tag[e] in ("p", "h1", "h2", "h3", "blockquote", "pre") and density < 0.25):
+            within[e] = e == main or within[tree.parent[e]]
+            if not size[e] or e == top:
+                continue
+            few = linked[e] < 0.25 * size[e]
+            running = few and size[e] - linked[e] >= RUNNING
+            if tree.tag[e] == "article" and within[e] and few:
+                kept.add(e)
+            elif tree.parent[e] == tree.parent[top]:
+                if tree.tag[e] in SIBLINGS and few or tree.tag[e] in ("section", "article") and running:
+                    kept.add(e)
+                elif around < 0 and scored[e] >= max(3.0, 0.2 * scored[best]):
                     kept.add(e)
     inside = [False] * n
     for e in range(n):
