@@ -178,8 +178,12 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     usable = rows.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()
     each = max(1, max_rows // max(1, len(counts)))
+    # only hashes below a bound are ranked, some thousand rows of a language: the least ``each`` lie far below it
+    bounds = [(r["lang"], min((1 << 63) - 1, int((4 * each + 1000) / r["n"] * 2.0**64) - (1 << 63))) for r in counts]
+    bounds = rows.sparkSession.createDataFrame(bounds, "lang string, top long")
     order = F.struct(F.xxhash64("k"), F.col("k"))
-    chosen = usable.select("k", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(order))).where(F.col("r") <= each).select("k", "lang")
+    low = usable.select("k", "lang").join(F.broadcast(bounds), "lang").where(F.xxhash64("k") <= F.col("top"))
+    chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(order))).where(F.col("r") <= each).select("k", "lang")
     picked = usable.join(F.broadcast(chosen.dropDuplicates()), ["k", "lang"], "left_semi").dropDuplicates(["k", "lang"]).select("lang", "text")
     kept, schema = appended(picked.select("lang"), [("x", pa.binary(), "binary")])
 
