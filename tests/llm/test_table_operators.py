@@ -154,6 +154,26 @@ def test_contamination_equals_brute_force(spark, sf_small):
     assert ours(frame(spark).limit(0), make(short)) == []
 
 
+def test_items_of_every_length_a_shared_window_and_no_id(spark, sf_small):
+    common = "p1 p2 p3 p4 p5 p6 p7 p8 p9 p10"
+    bench = [(100 + n, " ".join(f"q{n}x{i}" for i in range(n))) for n in range(1, 12)] + [(200 + i, f"{common} u{i} {common} v{i}") for i in range(40)]
+    bench += [(None, "no id but ten words that mark their documents all the same"), (300, "q5x0 q5x1 q5x2 q5x3 q5x4 q5x0 q5x1 q5x2 q5x3 q5x4")]
+    docs = [(n, f"a b {bench[n][1]} c " + " ".join(f"q{n + 1}x{i}" for i in range(n))) for n in range(11)]
+    docs += [(50, f"x {common} y"), (51, common), (52, common[:-1]), (53, "z " * 3000 + bench[0][1]), (54, " ".join(t for _, t in bench[:11])), (55, bench[-1][1])]
+    got = ours(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string"))
+    assert got == brute_hits(docs, bench)
+    # an item without an id marks words and is not counted
+    text = bench[-2][1]
+    assert ours(frame(spark, [(1, text)]), spark.createDataFrame([(None, text)], "item_id long, text string"))[0][1:4] == (12, 12, 0)
+
+
+def test_contamination_leaves_other_columns(spark):
+    docs = spark.createDataFrame([(1, "one", "mine", 7, "w"), (None, "one", "other", 8, "w")], "doc_id long, text string, k string, _K int, w string")
+    out = decontam.contamination(docs, spark.createDataFrame([(1, "one")], "item_id long, text string"))
+    assert out.columns[:5] == docs.columns
+    assert sorted((r["k"], r["_K"], r["w"], r["n_hit"]) for r in out.collect()) == [("mine", 7, "w", 1), ("other", 8, "w", 1)]
+
+
 def test_large_benchmark_is_joined_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontam, "MAX_BROADCAST", 0)
     short = [(1, "b c a"), (5, "c d e f g h i j k l")]
