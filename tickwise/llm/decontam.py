@@ -90,7 +90,8 @@ def search(docs: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str = "
     def prints(m: Column) -> Column:
         return F.array_distinct(F.concat(m, *[runs("h", n) for n in short]) if short else m)
 
-    windows, marks = None, with_runs(items.where(F.col("n") == WINDOW)).select(F.explode("m").alias("f"))
+    # an exploded plain column would get a filter on its size, pushed below the hashing of runs (see common.barrier)
+    windows, marks = None, with_runs(items.where(F.col("n") == WINDOW)).select(F.explode(F.array_distinct("m")).alias("f"))
     for n in lengths:
         own = items.where(F.col("n") == n)
         rows = own.select("item", F.explode(runs("h", n)).alias("w"))
@@ -119,7 +120,7 @@ def search(docs: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str = "
     around = F.slice("w", low + 1, F.greatest(F.least(F.col("p") + 1, F.size("w")) - low, F.lit(0)))
     full = F.col("n") == WINDOW
     at = at.select("k", "doc_id", "n", F.when(full, low).otherwise(F.col("p")).alias("low"), "f", F.when(full, around).otherwise(F.array("f")).alias("ws"))
-    wide = near(at, marks, n_marks, ["f"], "inner").select("k", "doc_id", "n", "low", F.posexplode("ws").alias("i", "w"))
+    wide = near(at, marks, n_marks, ["f"], "inner").select("k", "doc_id", "n", "low", F.posexplode(F.array_compact("ws")).alias("i", "w"))
     found = near(wide, windows, n_windows, ["w"], "inner").select("k", "doc_id", (F.col("low") + F.col("i")).alias("start"), "n", "w")
     return stash(found.dropDuplicates(["k", "start", "n"]), "hits"), owners
 
