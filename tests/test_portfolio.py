@@ -56,6 +56,17 @@ def test_bullish_holding_without_capital_is_exited(spark):
     assert o.reason == "EXIT: Signal 1.60 bearish"
 
 
+def test_sells_are_numbered_in_position_order(spark):
+    at = dt.datetime(2024, 1, 1, 23)
+    sig = _signals(spark, [(s, at, 10.0, 1.0, 0.5, "NEUTRAL", 0.5, 1000.0) for s in "ABC"])
+    ports = spark.createDataFrame([(1, 1000.0, 0)], "portfolio_id long, cash double, trades_used long")
+    rows = [(1, "A", 10, 9.0, 0.0, 2), (1, "B", 10, 9.0, 0.0, 3), (1, "C", 10, 9.0, 0.0, 1)]
+    pos = spark.createDataFrame(rows, "portfolio_id long, symbol string, shares long, avg_price double, last_action_signal double, position_no int")
+    ids = lambda p: {r.symbol: r.order_id[-3:] for r in pf.rebalance(ports, p, sig)["orders"].collect()}
+    assert ids(pos) == {"C": "001", "A": "002", "B": "003"}
+    assert ids(pos.drop("position_no")) == {"A": "001", "B": "002", "C": "003"}
+
+
 def test_entry_sizes_and_scaling(spark):
     sig = _signals(spark, [
         ("A", dt.datetime(2024, 1, 1, 23), 10.0, 1.0, 1.9, "TRENDING", 0.5, 1000.0),

@@ -162,20 +162,11 @@ def _typed(name: str, sql: str) -> str:
     return f"CAST({sql} AS {_ACC_TYPES.get(name, 'DOUBLE')})"
 
 
-def ema_fold_sql(hist: str, dialect: str = "spark") -> str:
-    """SQL text folding ``hist`` into the EMA accumulator.
-
-    Spark's history is ``array<double>`` with NaN for a missing close (see
-    ``with_history``); DuckDB's windowed ``list`` keeps NULLs as they are.
-    """
-    x = "nullif(x, CAST('NaN' AS DOUBLE))" if dialect == "spark" else "x"
-    step = ema_fold_step(x=x)
-    init = _init_fields()
-    if dialect == "spark":
-        mk = lambda fs: "named_struct(" + ", ".join(f"'{n}', {_typed(n, s)}" for n, s in fs) + ")"
-        return f"aggregate({hist}, {mk(init)}, (acc, x) -> {mk(step)})"
-    mk = lambda fs: "{" + ", ".join(f"'{n}': {_typed(n, s)}" for n, s in fs) + "}"
-    return f"list_reduce({hist}, lambda acc, x: {mk(step)}, {mk(init)})"
+def ema_fold_sql(hist: str) -> str:
+    """SQL text folding ``hist`` (``array<double>``, NaN for a missing close, see ``with_history``) into the EMA accumulator."""
+    missing = "nullif(x, CAST('NaN' AS DOUBLE))"
+    mk = lambda fs: "named_struct(" + ", ".join(f"'{n}', {_typed(n, s)}" for n, s in fs) + ")"
+    return f"aggregate({hist}, {mk(_init_fields())}, (acc, x) -> {mk(ema_fold_step(x=missing))})"
 
 
 def ema_outputs(acc: str) -> dict[str, str]:
@@ -187,12 +178,3 @@ def ema_outputs(acc: str) -> dict[str, str]:
         "macd_line": f"CASE WHEN {acc}.n >= 26 THEN {acc}.e12 - {acc}.e26 END",
         "macd_signal": f"CASE WHEN {ng} >= 9 THEN CAST({sg} AS DOUBLE) END",
     }
-
-
-def sorted_median_sql(arr: str) -> str:
-    """Median of a non-empty sorted numeric array (mean of the two middle values)."""
-    n = f"size({arr})"
-    return (
-        f"CASE WHEN {n} = 0 THEN NULL WHEN {n} % 2 = 1 THEN element_at({arr}, CAST(({n} + 1) / 2 AS INT)) "
-        f"ELSE (element_at({arr}, CAST({n} / 2 AS INT)) + element_at({arr}, CAST({n} / 2 AS INT) + 1)) / 2.0 END"
-    )

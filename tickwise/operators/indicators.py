@@ -97,7 +97,7 @@ def ema_macd(df: DataFrame, spec: SeriesSpec = PLAIN, method: str | None = None,
     """
     method = method or EMA_METHOD
     if method == "fold":
-        df = with_history(df, spec).withColumn("_acc", F.expr(ema_fold_sql("_h", "spark")))
+        df = with_history(df, spec).withColumn("_acc", F.expr(ema_fold_sql("_h")))
         for name, sql in ema_outputs("_acc").items():
             df = df.withColumn(name, F.expr(sql))
         return df.drop("_acc", "_h")

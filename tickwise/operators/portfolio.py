@@ -9,7 +9,8 @@ independent given those three, which are windows over ``cycle``.
 
 Sums the reference takes in a definite order (position order, signal order)
 are taken in the same order here (ordered window frames / array folds), so
-share counts truncated with ``int()`` do not depend on the plan.
+share counts truncated with ``int()`` do not depend on the plan.  Position
+order is a column ``position_no`` of the positions, else the symbols' order.
 """
 
 from __future__ import annotations
@@ -200,9 +201,14 @@ def position_valuation(pos: DataFrame) -> DataFrame:
     )
 
 
+def position_order(pos: DataFrame) -> list[str]:
+    """Order of one portfolio's positions: ``position_no`` (then symbol) where there is one, else symbol."""
+    return ["position_no", "symbol"] if "position_no" in pos.columns else ["symbol"]
+
+
 def portfolio_valuation(portfolios: DataFrame, pos_cycle: DataFrame, keys=("portfolio_id", "cycle")) -> DataFrame:
     """total = cash + sum of market values (position order), cash share, position count."""
-    w = Window.partitionBy(*keys).orderBy("symbol").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys).orderBy(*position_order(pos_cycle)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per_pos = pos_cycle.withColumn("_mv_sum", F.sum("market_value").over(w))
     agg = per_pos.groupBy(*keys).agg(F.first("_mv_sum").alias("_mv_sum"), F.count(F.lit(1)).alias("position_count"))
     out = portfolios.join(agg, "portfolio_id", "left") if "cycle" not in portfolios.columns else portfolios.join(agg, list(keys), "left")
@@ -236,7 +242,8 @@ def rebalance(portfolios: DataFrame, positions: DataFrame, signals: DataFrame, m
     """all cycles for all portfolios.  Returns the intermediate tables and ``orders``.
 
     portfolios: portfolio_id, cash, trades_used; positions: portfolio_id, symbol,
-    shares, avg_price, last_action_signal; signals: SIGNAL rows (E11).
+    shares, avg_price, last_action_signal and, if their order counts,
+    position_no; signals: SIGNAL rows (E11).
     """
     configure(signals.sparkSession)
     fresh = cut_lineage(fresh_signals(signals, max_age_s, period_s))      # signals are computed once
@@ -261,9 +268,11 @@ def orders_of(fresh: DataFrame, pos_cycle: DataFrame, pcycle: DataFrame, portfol
     fresh_b, _ = broadcast_if_small(fresh)
     pval = portfolio_valuation(pcycle, pos_cycle)
 
+    order = position_order(pos_cycle)
+
     # Candidates: every fresh signal of the cycle for every portfolio (F5), with ownership (H2).
     cand = pval.join(fresh_b.drop("cycle_ts"), "cycle").join(
-        pos_cycle.select("portfolio_id", "cycle", "symbol", "shares", "current_price", "market_value", "last_action_signal"),
+        pos_cycle.select("portfolio_id", "cycle", "shares", "current_price", "market_value", "last_action_signal", *order),
         ["portfolio_id", "cycle", "symbol"], "left",
     )
     owned = F.col("shares").isNotNull()
@@ -315,6 +324,7 @@ def orders_of(fresh: DataFrame, pos_cycle: DataFrame, pcycle: DataFrame, portfol
         .otherwise(F.concat(F.lit("TRIM: Rebalance to "), _fmt_pct1(t))).alias("reason"),
         F.lit(1).alias("priority"), t.alias("target_weight"), w.alias("current_weight"),
         F.col("marker_final_score").alias("signal_score"), "signal_strength", "confidence", F.lit(0).alias("_side"),
+        (F.col(order[0]) if len(order) > 1 else F.lit(0)).cast("long").alias("_place"),
     )
     # buys (target present and non-zero, above weight).
     tb = F.col("target_weight")
@@ -327,10 +337,11 @@ def orders_of(fresh: DataFrame, pos_cycle: DataFrame, pcycle: DataFrame, portfol
         (F.lit(2) + ((F.lit(2.0) - F.col("marker_final_score")) * F.lit(10.0)).cast("int")).alias("priority"),
         tb.alias("target_weight"), w.alias("current_weight"),
         F.col("marker_final_score").alias("signal_score"), "signal_strength", "confidence", F.lit(1).alias("_side"),
+        F.lit(0).cast("long").alias("_place"),
     )
     raw = sells.unionByName(buys).withColumn("dollar_amount", F.col("shares").cast("double") * F.col("price"))
     # F16: ids in generation order (sells by position, buys by symbol).
-    gen = Window.partitionBy("portfolio_id", "cycle").orderBy("_side", "symbol")
+    gen = Window.partitionBy("portfolio_id", "cycle").orderBy("_side", "_place", "symbol")
     raw = raw.withColumn("_seq", F.row_number().over(gen))
     raw = raw.withColumn("order_id", F.format_string("ORD-%04d-%03d", F.col("cycle"), F.col("_seq")))
 

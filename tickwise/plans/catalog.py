@@ -272,6 +272,16 @@ def f21_rebalance_orders(spark, sf_dir):
     return round_doubles(rebalance_all(spark, sf_dir)["orders"].select(*pf.ORDER_COLS))
 
 
+@register(
+    "f16_position_order",
+    f"WITH {q.enriched_ctes(q.BARS_HOURLY)}, {q.signal_ctes()}, {q.portfolio_ctes(numbered=True)} SELECT " + r6_select(pf.ORDER_COLS, ORDER_DOUBLES) + " FROM ords",
+)
+def f16_position_order(spark, sf_dir):
+    """F16: sells numbered in the order in which the positions were opened."""
+    out = pf.rebalance(fx.portfolios(spark, sf_dir), fx.positions(spark, sf_dir, numbered=True), hourly_signals(spark, sf_dir))
+    return round_doubles(out["orders"].select(*pf.ORDER_COLS))
+
+
 @register(
     "f19_order_summary",
     _PF_SQL + "SELECT portfolio_id, cycle, CAST(count_if(action = 'BUY') AS BIGINT) AS buy_orders, "

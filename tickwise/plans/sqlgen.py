@@ -131,11 +131,32 @@ INDICATOR_COLS = [
 ]
 
 
+def _ewm(mean: str, weight: str, x: str, span: int) -> tuple[str, str]:
+    """Mean and weight after ``x``: no adjustment, a missing ``x`` only ages the weight of what came before."""
+    a = d(2.0 / (span + 1.0))
+    aged = f"({weight} * (1.0 - {a}))"
+    new = f"(CASE WHEN {x} IS NULL THEN {mean} WHEN {mean} IS NULL OR {mean} = {x} THEN {x} ELSE ({aged} * {mean} + {a} * {x}) / ({aged} + {a}) END)"
+    return new, f"(CASE WHEN {x} IS NULL AND {mean} IS NOT NULL THEN {aged} ELSE CAST(1.0 AS DOUBLE) END)"
+
+
+def ema_states(values: str) -> str:
+    """EMAs of a list of closes (7, 11, 12, 26), the MACD signal and their counts after its last value, stated apart from the library's."""
+    spans = (7, 11, 12, 26)
+    price = {s: _ewm(f"s.e{s}", f"s.w{s}", "x", s) for s in spans}
+    n = "(s.n + CASE WHEN x IS NULL THEN 0 ELSE 1 END)"
+    line = f"(CASE WHEN {n} >= 26 THEN {price[12][0]} - {price[26][0]} END)"
+    signal, weight = _ewm("s.sig", "s.wsig", line, 9)
+    step = {"n": n, "lines": f"(s.lines + CASE WHEN {n} >= 26 THEN 1 ELSE 0 END)", "sig": signal, "wsig": weight}
+    start = {"n": "0", "lines": "0", "sig": "NULL", "wsig": "1.0"}
+    for s in spans:
+        step |= {f"e{s}": price[s][0], f"w{s}": price[s][1]}
+        start |= {f"e{s}": "NULL", f"w{s}": "1.0"}
+    typed = lambda fields: "{" + ", ".join(f"'{k}': CAST({v} AS {'BIGINT' if k in ('n', 'lines') else 'DOUBLE'})" for k, v in fields.items()) + "}"
+    return f"list_reduce({values}, lambda s, x: {typed(step)}, {typed(start)})"
+
+
 def enriched_ctes(bars_sql: str) -> str:
     """CTE chain ``bars`` -> ``enr`` with the 15 indicators, rn, n_sym, is_enriched."""
-    from tickwise.functions.exprs import ema_fold_sql, ema_outputs
-
-    ema = ema_outputs("acc")
     return f"""
 bars AS ({bars_sql}),
 e1 AS (
@@ -157,7 +178,7 @@ e2 AS (
     greatest(high - low, abs(high - prev_close), abs(low - prev_close)) AS tr,
     CASE WHEN close - prev_close > 0 THEN close - prev_close ELSE CAST(0.0 AS DOUBLE) END AS gain,
     CASE WHEN close - prev_close < 0 THEN -(close - prev_close) ELSE CAST(0.0 AS DOUBLE) END AS loss,
-    {ema_fold_sql('h', 'duckdb')} AS acc
+    {ema_states('h')} AS acc
   FROM e1
 ),
 e3 AS (
@@ -169,10 +190,10 @@ e4 AS (
   SELECT *,
     {lavg_full('c5', 5)} AS sma_5,
     {lavg_full('c10', 10)} AS sma_10,
-    {ema['ema_7']} AS ema_7,
-    {ema['ema_11']} AS ema_11,
-    {ema['macd_line']} AS macd_line,
-    {ema['macd_signal']} AS macd_signal,
+    CASE WHEN acc.n >= 7 THEN acc.e7 END AS ema_7,
+    CASE WHEN acc.n >= 11 THEN acc.e11 END AS ema_11,
+    CASE WHEN acc.n >= 26 THEN acc.e12 - acc.e26 END AS macd_line,
+    CASE WHEN acc.lines >= 9 THEN acc.sig END AS macd_signal,
     {lavg_full('tr14', 14)} AS atr_14,
     CASE WHEN {lcnt('c20')} = 20 THEN {lavg('c20')} END AS bb_mid,
     CASE WHEN {lcnt('c20')} = 20 THEN {lstd('c20')} END AS bb_sd,
@@ -343,14 +364,21 @@ SELECT user_id AS portfolio_id, event_type AS symbol,
        CAST(0.0 AS DOUBLE) AS last_action_signal
 FROM events GROUP BY 1, 2
 """
+POSITIONS_NUMBERED = f"""
+SELECT p.*, row_number() OVER (PARTITION BY portfolio_id ORDER BY first_ts, symbol) AS position_no
+FROM ({POSITIONS}) p JOIN (SELECT user_id AS portfolio_id, event_type AS symbol, min(ts) AS first_ts FROM events GROUP BY 1, 2)
+  USING (portfolio_id, symbol)
+"""
 
 
 def _kw(order: str = "symbol") -> str:
     return f"OVER (PARTITION BY portfolio_id, cycle ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
-def portfolio_ctes(max_age_s: int = 6 * 3600) -> str:
-    """CTE chain ``sig`` -> fresh signals, valuation, candidates, ``ords`` (orders)."""
+def portfolio_ctes(max_age_s: int = 6 * 3600, numbered: bool = False) -> str:
+    """CTE chain ``sig`` -> fresh signals, valuation, candidates, ``ords`` (orders); ``numbered``: positions have an order of their own."""
+    no, by_no = (", position_no", "position_no, symbol") if numbered else ("", "symbol")
+    m_no, place = (", m.position_no", "position_no") if numbered else ("", "0")
     from tickwise.operators import portfolio as pf
 
     strength = (
@@ -400,7 +428,7 @@ fresh AS (
   FROM ff
 ),
 pf AS ({PORTFOLIOS}),
-pos AS ({POSITIONS}),
+pos AS ({POSITIONS_NUMBERED if numbered else POSITIONS}),
 ncyc AS (SELECT max(cycle) AS n FROM fresh),
 posc AS (
   SELECT p.*, c.cycle, f.close AS px
@@ -408,13 +436,13 @@ posc AS (
   LEFT JOIN fresh f ON f.symbol = p.symbol AND f.cycle = c.cycle
 ),
 posv AS (
-  SELECT portfolio_id, symbol, cycle, shares, avg_price, last_action_signal,
+  SELECT portfolio_id, symbol, cycle, shares, avg_price, last_action_signal{no},
     coalesce(last(px IGNORE NULLS) OVER (PARTITION BY portfolio_id, symbol ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), avg_price) AS current_price
   FROM posc
 ),
 posm AS (SELECT *, CAST(shares AS DOUBLE) * current_price AS market_value FROM posv),
 pagg AS (
-  SELECT portfolio_id, cycle, list_reduce(list(market_value ORDER BY symbol), lambda a, b: a + b, CAST(0.0 AS DOUBLE)) AS mv_sum,
+  SELECT portfolio_id, cycle, list_reduce(list(market_value ORDER BY {by_no}), lambda a, b: a + b, CAST(0.0 AS DOUBLE)) AS mv_sum,
          CAST(count(*) AS BIGINT) AS position_count
   FROM posm GROUP BY 1, 2
 ),
@@ -426,7 +454,7 @@ pval AS (
 ),
 ca AS (
   SELECT v.*, f.symbol, f.signal_ts, f.close, f.atr_14, f.marker_final_score, f.regime, f.confidence, f.signal_strength, f.atr_mean,
-    m.shares, m.current_price, m.market_value, m.last_action_signal, (m.shares IS NOT NULL) AS owned,
+    m.shares, m.current_price, m.market_value, m.last_action_signal{m_no}, (m.shares IS NOT NULL) AS owned,
     CASE WHEN f.marker_final_score > 1.1 THEN 'buy'
          WHEN NOT f.marker_final_score < 0.9 AND m.shares IS NOT NULL THEN 'hold'
          WHEN f.marker_final_score < 0.9 AND m.shares IS NOT NULL THEN 'sell' END AS bucket
@@ -466,7 +494,7 @@ osell AS (
     CASE WHEN coalesce(target_weight, 0.0) = 0 THEN 'EXIT: Signal ' || {fmt2} || ' bearish'
          ELSE 'TRIM: Rebalance to ' || printf('%.1f', floor(coalesce(target_weight, 0.0) * 1000.0 + 0.5) / 10.0) || '%' END AS reason,
     1 AS priority, coalesce(target_weight, 0.0) AS target_weight, current_weight,
-    marker_final_score AS signal_score, signal_strength, confidence, 0 AS side
+    marker_final_score AS signal_score, signal_strength, confidence, 0 AS side, {place} AS place
   FROM cand WHERE owned AND coalesce(target_weight, 0.0) < current_weight AND {should('coalesce(target_weight, 0.0)')}
 ),
 obuy AS (
@@ -475,12 +503,12 @@ obuy AS (
     close AS price,
     CASE WHEN owned THEN 'ADD: Signal ' || {fmt2} || ' strengthening' ELSE 'ENTER: Signal ' || {fmt2} || ' bullish' END AS reason,
     2 + CAST(trunc((2.0 - marker_final_score) * 10.0) AS INTEGER) AS priority, target_weight, current_weight,
-    marker_final_score AS signal_score, signal_strength, confidence, 1 AS side
+    marker_final_score AS signal_score, signal_strength, confidence, 1 AS side, 0 AS place
   FROM cand WHERE target_weight IS NOT NULL AND target_weight <> 0 AND target_weight > current_weight AND {should('target_weight')}
 ),
 oraw AS (
   SELECT *, CAST(shares AS DOUBLE) * price AS dollar_amount,
-    row_number() OVER (PARTITION BY portfolio_id, cycle ORDER BY side, symbol) AS seq
+    row_number() OVER (PARTITION BY portfolio_id, cycle ORDER BY side, place, symbol) AS seq
   FROM (SELECT * FROM osell WHERE shares > 0 UNION ALL SELECT * FROM obuy WHERE shares > 0)
 ),
 oid AS (SELECT *, printf('ORD-%04d-%03d', cycle, seq) AS order_id FROM oraw),

@@ -6,7 +6,7 @@ aggregation over a scanned table, so it scales with the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -77,19 +77,24 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def positions(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
     """Holdings from activity: a user holds each event type it touched.
 
     shares = sum of ``props.k``, avg_price = mean value in cents, rounded to a cent.
-    Customers without events hold nothing (pure cash portfolios).
+    Customers without events hold nothing (pure cash portfolios).  ``numbered``
+    adds ``position_no``: the order in which a user first touched the types.
     """
-    ev = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "props")
-    return (
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "props", "ts")
+    held = (
         ev.groupBy(F.col("user_id").alias("portfolio_id"), F.col("event_type").alias("symbol"))
         .agg(
             F.sum(F.get_json_object("props", "$.k").cast("long")).alias("shares"),
             # mean of whole cents (exact integer sum), rounded half up to a cent
             (F.floor(F.sum(F.floor(F.col("value") * 100.0 + 0.5)) / F.count(F.lit(1)) + F.lit(0.5)).cast("double") / F.lit(100.0)).alias("avg_price"),
+            F.min("ts").alias("_first"),
         )
         .withColumn("last_action_signal", F.lit(0.0))
     )
+    if numbered:
+        held = held.withColumn("position_no", F.row_number().over(Window.partitionBy("portfolio_id").orderBy("_first", "symbol")))
+    return held.drop("_first")
